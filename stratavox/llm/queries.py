@@ -5,9 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing
-from .common import documents
+from . import mixing, quality_rules, secrets
+from .common import documents, labels
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf_dir))
+    digest = F.sha2(secrets.span_text(F.col("base_spans")), 256)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", digest.alias("base_sha256"), secrets.span_text(F.col("spans")).alias("spans"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = quality_rules.trusted_ids(labels(spark, sf_dir))
+    return quality_rules.apply_rules(documents(spark, sf_dir), trusted)
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +27,8 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
+    "op4_quality_rules": op4_quality_rules,
     "op10_source_mixing": op10_source_mixing,
 }
 
