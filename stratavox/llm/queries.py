@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, secrets
+from . import fingerprints, mixing, quality_rules, secrets
 from .common import documents, labels
 
 
@@ -17,6 +17,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", digest.alias("base_sha256"), secrets.span_text(F.col("spans")).alias("spans"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = fingerprints.edited_pairs(documents(spark, sf_dir))
+    return pairs.withColumns({c: fingerprints.fingerprint_text(F.col(c)) for c in ("fingerprint", "edited_fingerprint")})
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = quality_rules.trusted_ids(labels(spark, sf_dir))
     return quality_rules.apply_rules(documents(spark, sf_dir), trusted)
@@ -28,6 +33,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op3_fingerprints": op3_fingerprints,
     "op4_quality_rules": op4_quality_rules,
     "op10_source_mixing": op10_source_mixing,
 }
