@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, quality_rules, secrets
-from .common import documents, labels
+from . import fingerprints, mixing, quality_rules, secrets, sp_codec, token_counts
+from .common import documents, labels, shared_path, text_or_empty
+
+TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +30,19 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(documents(spark, sf_dir), trusted)
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(documents(spark, sf_dir), TOKENIZER, shared_path(spark, "token_cache"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = sp_codec.model_bytes(TOKENIZER)
+    docs = documents(spark, sf_dir).select("doc_id", sp_codec.encode(text_or_empty(), model).alias("ids"))
+    docs = docs.withColumn("decoded", sp_codec.decode(F.col("ids"), model))
+    ids_text = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids_text, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(documents(spark, sf_dir))
 
@@ -35,6 +51,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op3_fingerprints": op3_fingerprints,
     "op4_quality_rules": op4_quality_rules,
+    "op5_token_counts": op5_token_counts,
+    "op6_sentencepiece": op6_sentencepiece,
     "op10_source_mixing": op10_source_mixing,
 }
 
