@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, quality_rules, secrets, sp_codec, token_counts
-from .common import documents, labels, shared_path, text_or_empty
+from . import fingerprints, langid, mixing, quality_rules, secrets, sp_codec, token_counts
+from .common import documents, id_remainder, labels, shared_path, text_or_empty
 
 TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -43,6 +43,14 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids_text, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = id_remainder(5) == 0
+    model = langid.fit(docs.filter(~held_out))
+    found = docs.select("doc_id", held_out.alias("held_out"), langid.predict(F.col("text"), model).alias("found"))
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(documents(spark, sf_dir))
 
@@ -53,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_token_counts": op5_token_counts,
     "op6_sentencepiece": op6_sentencepiece,
+    "op9_language_id": op9_language_id,
     "op10_source_mixing": op10_source_mixing,
 }
 

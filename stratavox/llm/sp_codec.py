@@ -225,9 +225,12 @@ class Codec:
         The space of the dummy prefix goes. Byte pieces in a row are read as UTF-8, each byte that
         belongs to no character becoming one replacement character.
         """
-        ids = ids[~self.is_silent[ids]]
-        if not len(ids):
+        shown = ids[~self.is_silent[ids]]
+        if not len(shown):
             return ""
+        if self.is_silent[ids[:-1]].any():
+            return self._decode_broken(ids)
+        ids = shown
         data = b"".join([self.output[i] for i in ids.tolist()])
         if self.is_normal[ids[0]] and data[:1] == b" ":
             data = data[1:]
@@ -237,7 +240,7 @@ class Codec:
             return self._decode_broken(ids)
 
     def _decode_broken(self, ids: np.ndarray) -> str:
-        parts, run = [], bytearray()
+        parts, run, first = [], bytearray(), True
 
         def flush() -> None:
             at = 0
@@ -247,13 +250,14 @@ class Codec:
                 at += size or 1
             run.clear()
 
-        for k, i in enumerate(ids.tolist()):
+        for i in ids.tolist():
             if self.is_byte[i]:
                 run.extend(self.output[i])
             else:
                 flush()
                 own = self.output[i].decode()
-                parts.append(own[1:] if k == 0 and self.is_normal[i] and own[:1] == " " else own)
+                parts.append(own[1:] if first and self.is_normal[i] and own[:1] == " " else own)
+            first &= bool(self.is_silent[i])
         flush()
         return "".join(parts)
 
