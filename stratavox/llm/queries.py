@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, mixing, quality_rules, secrets, sp_codec, token_counts
+from . import fingerprints, langid, mixing, quality_model, quality_rules, secrets, sp_codec, token_counts
 from .common import documents, id_remainder, labels, shared_path, text_or_empty
 
 TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
@@ -20,6 +20,13 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", digest.alias("base_sha256"), secrets.span_text(F.col("spans")).alias("spans"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    marks = labels(spark, sf_dir).select("doc_id", "quality").filter(id_remainder(3) != 1)
+    scored = quality_model.classify(docs, marks)
+    return scored.select("doc_id", (id_remainder(3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = fingerprints.edited_pairs(documents(spark, sf_dir))
     return pairs.withColumns({c: fingerprints.fingerprint_text(F.col(c)) for c in ("fingerprint", "edited_fingerprint")})
@@ -57,6 +64,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_fingerprints": op3_fingerprints,
     "op4_quality_rules": op4_quality_rules,
     "op5_token_counts": op5_token_counts,
