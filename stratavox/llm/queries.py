@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, langid, mixing, quality_model, quality_rules, secrets, sp_codec, token_counts
+from . import fingerprints, jaccard, langid, lm, mixing, quality_model, quality_rules, secrets, sp_codec, token_counts
 from .common import documents, id_remainder, labels, shared_path, text_or_empty
 
 TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
@@ -50,6 +50,12 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids_text, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = lm.score(docs, docs.filter(id_remainder(7) != 2))
+    return scored.withColumn("held_out", id_remainder(7) == 2)
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(documents(spark, sf_dir), percent=90, width=3)
 
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_token_counts": op5_token_counts,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_lm_scores": op7_lm_scores,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_language_id": op9_language_id,
     "op10_source_mixing": op10_source_mixing,

@@ -159,8 +159,37 @@ def discovery_level(tested: DataFrame, rate: float) -> float:
     return level
 
 
+def _found(text: Column) -> dict[str, Column]:
+    """Spans of the three patterns (start, kind, end), and the judged tokens of a text."""
+    of_kind = lambda spans, kind: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
+    return {
+        "assign": of_kind(_spans(text, ASSIGN, 2, 8), 0),
+        "access": of_kind(_spans(text, ACCESS), 1),
+        "hex": of_kind(_spans(text, HEX), 2),
+        "tokens": _judged(_spans(text, TOKEN)),
+    }
+
+
+def _level(tokens: DataFrame, rate: float) -> float:
+    """The discovery level of rows with an array of judged tokens (``tokens``)."""
+    rows = tokens.select(F.explode("tokens").alias("x"))
+    return discovery_level(rows.select(F.col("x.p.p_text").alias("p_text"), (F.col("x.p.p_uniform") >= UNIFORM_LEVEL).alias("random")), rate)
+
+
+def _with_random(base: Column, tokens: Column, level: float) -> Column:
+    """All spans: the base ones, and the tokens that are discoveries at ``level`` and overlap none of them."""
+    chosen = F.filter(
+        tokens,
+        lambda x: (x["p"]["p_uniform"] >= UNIFORM_LEVEL)
+        & (F.lit(10.0) ** (-_log_bin(x["p"]["p_text"]) / 10.0) <= F.lit(level * 1.0000001))
+        & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
+    )
+    added = F.transform(chosen, lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")))
+    return F.array_sort(F.concat(base, added))
+
+
 def scan(docs: DataFrame, rate: float = 0.01) -> DataFrame:
-    """Per document: doc_id, n_assign, n_access, n_hex, base_spans, spans (arrays of start, end, kind).
+    """Per document: doc_id, n_assign, n_access, n_hex, base_spans, spans (arrays of start, kind, end).
 
     Base spans are those of the three patterns. The method adds spans of kind ``random``: maximal
     runs of token characters whose battery does not reject uniform randomness in their inferred
@@ -171,30 +200,26 @@ def scan(docs: DataFrame, rate: float = 0.01) -> DataFrame:
     empty table gives no rows. Texts are read whole, once; what is kept between the two passes are
     spans and p-values, never texts.
     """
-    text = F.col("text")
     found = docs.select("doc_id", text_or_empty().alias("text"))
-    of_kind = lambda spans, kind: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
-    found = found.select(
-        "doc_id",
-        of_kind(_spans(text, ASSIGN, 2, 8), 0).alias("assign"),
-        of_kind(_spans(text, ACCESS), 1).alias("access"),
-        of_kind(_spans(text, HEX), 2).alias("hex"),
-        _judged(_spans(text, TOKEN)).alias("tokens"),
-    )
-    found = materialise(found, "secret_spans")
-    tokens = found.select(F.explode("tokens").alias("x")).select(F.col("x.p.p_text").alias("p_text"), (F.col("x.p.p_uniform") >= UNIFORM_LEVEL).alias("random"))
-    level = discovery_level(tokens, rate)
-    base = F.array_sort(F.concat("assign", "access", "hex"))
-    found = found.withColumn("base", base)
-    chosen = F.filter(
-        "tokens",
-        lambda x: (x["p"]["p_uniform"] >= UNIFORM_LEVEL)
-        & (F.lit(10.0) ** (-_log_bin(x["p"]["p_text"]) / 10.0) <= F.lit(level * 1.0000001))
-        & ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
-    )
-    spans = F.array_sort(F.concat("base", of_kind(chosen, 3)))
+    found = materialise(found.select("doc_id", *[c.alias(k) for k, c in _found(F.col("text")).items()]), "secret_spans")
+    level = _level(found, rate)
+    found = found.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
     count = lambda c: F.size(c).cast("long").alias(f"n_{c}")
-    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.col("base").alias("base_spans"), spans.alias("spans"))
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.col("base").alias("base_spans"), _with_random(F.col("base"), F.col("tokens"), level).alias("spans"))
+
+
+def mask(docs: DataFrame, text: Column, to: str, rate: float = 0.01, mark: str = "[SECRET]") -> DataFrame:
+    """``docs`` with the masked text as column ``to``; the secrets are those of ``scan``.
+
+    The corpus is read twice: for the discovery level, of which a bounded histogram comes to the
+    driver, and for the rewriting, which looks at one row at a time. Texts are never shuffled.
+    """
+    whole = F.coalesce(text, F.lit(""))
+    level = _level(docs.select(_found(whole)["tokens"].alias("tokens")), rate)
+    found = _found(whole)
+    base = F.array_sort(F.concat(found["assign"], found["access"], found["hex"]))
+    spans = let(F.struct(base.alias("base"), found["tokens"].alias("tokens")), lambda x: _with_random(x["base"], x["tokens"], level))
+    return docs.withColumn(to, let(spans, lambda s: redact(whole, s, mark)))
 
 
 def span_text(spans: Column) -> Column:
