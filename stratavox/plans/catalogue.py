@@ -1,14 +1,596 @@
-"""The query catalogue of the driver contract."""
+"""The query catalogue of the driver contract: each query with the SQL that says the same."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import regions, scalars
+from ..operators import levels, mesh, volume
+from ..sources import safety, sequence
+from ..streaming import events as event_ops
+from ..streaming import progress
+from . import standin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+VOX = """vox AS (SELECT vec_id AS z, CAST((p - 1) // 8 AS BIGINT) AS y, CAST((p - 1) % 8 AS BIGINT) AS x,
+ CAST(floor((CAST(e AS DOUBLE) + 1) * 127.5) AS BIGINT) AS v
+ FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS p FROM embeddings))"""
+SPEC = f"""{VOX}, n AS (SELECT max(z) + 1 AS n FROM vox), spec AS (SELECT z, y, x,
+ v // 2 + CASE WHEN z >= (2 * n) // 5 AND z < (3 * n) // 5 AND y BETWEEN 2 AND 5 AND x BETWEEN 2 AND 5 THEN 128 ELSE 0 END AS v FROM vox, n)"""
+NAMES = """names AS (SELECT p_brand || '_' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') || '.' ||
+ CASE p_size % 4 WHEN 0 THEN 'tif' WHEN 1 THEN 'TIF' WHEN 2 THEN 'png' ELSE 'dat' END AS name FROM part),
+parsed AS (SELECT name, regexp_extract(name, '^(.*?)([0-9]+)\\.([A-Za-z0-9_]+)$', 1) AS prefix,
+ CAST(regexp_extract(name, '^(.*?)([0-9]+)\\.([A-Za-z0-9_]+)$', 2) AS BIGINT) AS number,
+ length(regexp_extract(name, '^(.*?)([0-9]+)\\.([A-Za-z0-9_]+)$', 2)) AS width,
+ lower(regexp_extract(name, '^(.*?)([0-9]+)\\.([A-Za-z0-9_]+)$', 3)) AS ext FROM names)"""
+SLICES = """slices AS (SELECT 'slice_' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') || '.tif' AS name FROM part WHERE p_partkey % 7 <> 0),
+want AS (SELECT CAST(i AS BIGINT) AS idx, 'slice_' || lpad(CAST(i AS VARCHAR), 6, '0') || '.tif' AS name
+ FROM (SELECT unnest(generate_series((SELECT min(p_partkey) FROM part WHERE p_partkey % 7 <> 0), (SELECT max(p_partkey) FROM part WHERE p_partkey % 7 <> 0))) AS i))"""
+LOG = """log AS (SELECT user_id AS run, ts, event_id AS seq, CAST(round(value * 100) AS BIGINT) AS weight, event_type AS kind, value,
+ CAST(epoch_us(ts) AS DOUBLE) / 1e6::DOUBLE AS sec FROM events),
+num AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY run) AS total, sec - min(sec) OVER (PARTITION BY run) AS elapsed,
+ sec - lag(sec) OVER w AS gap FROM log WINDOW w AS (PARTITION BY run ORDER BY ts, seq))"""
+RUNNING = f"""{LOG}, running AS (SELECT *, CASE WHEN step > 0 THEN elapsed / step * (work - step) END AS eta,
+ least(100.0::DOUBLE, CASE WHEN work > 0 THEN 100.0::DOUBLE * step / work ELSE 0 END) AS percent
+ FROM (SELECT *, CAST(sum(weight) OVER (PARTITION BY run ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS step,
+ CAST(sum(weight) OVER (PARTITION BY run) AS BIGINT) AS work FROM num))"""
+VELOCITY = """vel AS (SELECT *, CASE WHEN count(*) OVER w >= 5 THEN median(velocity) OVER w END AS median_velocity
+ FROM (SELECT *, 1 / gap AS velocity FROM num WHERE gap > 0) WINDOW w AS (PARTITION BY run ORDER BY ts, seq ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))"""
+STEPS = """gaps AS (SELECT run, list(gap ORDER BY gap) AS g, count(*) AS steps FROM
+ (SELECT *, row_number() OVER (PARTITION BY run ORDER BY ts DESC, seq DESC) AS k FROM num WHERE gap IS NOT NULL) WHERE k <= 100 GROUP BY run),
+trim AS (SELECT run, steps, CASE WHEN steps >= 10 THEN list_avg(g[greatest(1, steps // 10) + 1 : steps - greatest(1, steps // 10)]) END AS step_mean FROM gaps)"""
+HIST = "SELECT b AS bin, CAST(coalesce(c, 0) AS BIGINT) AS cnt FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS b) LEFT JOIN (SELECT v, count(*) AS c FROM {src} GROUP BY v) ON b = v"
+
+
+def _otsu(src: str) -> str:
+    return f"""hist AS ({HIST.format(src=src)}),
+cum AS (SELECT bin, CAST(cnt AS DOUBLE) AS c, sum(CAST(cnt AS DOUBLE)) OVER (ORDER BY bin) AS wb, sum(CAST(bin * cnt AS DOUBLE)) OVER (ORDER BY bin) AS sb,
+ sum(CAST(cnt AS DOUBLE)) OVER () AS total, sum(CAST(bin * cnt AS DOUBLE)) OVER () AS st FROM hist),
+tot AS (SELECT *, sum(c * pow(bin - st / total, 2)) OVER () * total AS tv FROM cum),
+bet AS (SELECT *, wb * (total - wb) * pow(sb / wb - (st - sb) / (total - wb), 2) AS bv FROM tot WHERE wb > 0 AND total - wb > 0),
+tie AS (SELECT *, row_number() OVER (ORDER BY bin) - 1 AS place, count(*) OVER () AS ties FROM (SELECT *, max(bv) OVER () AS best FROM bet) WHERE abs(bv - best) <= 1e-8 + 1e-9 * abs(best)),
+otsu AS (SELECT bin AS threshold, CASE WHEN tv > 0 THEN bv / tv ELSE 0 END AS separability FROM tie WHERE place = ties // 2)"""
+
+
+MARGINALS = """marg AS (SELECT 'z' AS axis, z AS position, CAST(sum(fg) AS BIGINT) AS cnt, count(*) AS n FROM marked GROUP BY z
+ UNION ALL SELECT 'y', y, CAST(sum(fg) AS BIGINT), count(*) FROM marked GROUP BY y UNION ALL SELECT 'x', x, CAST(sum(fg) AS BIGINT), count(*) FROM marked GROUP BY x)"""
+SPANS = """spans AS (SELECT axis, greatest(0.0::DOUBLE, (lo - (hi - lo) * 0.05::DOUBLE) / len) AS low, least(1.0::DOUBLE, (hi + (hi - lo) * 0.05::DOUBLE) / len) AS high FROM
+ (SELECT axis, min(position) AS lo, max(position) + 1 AS hi, max(len) AS len FROM
+ (SELECT *, max(position) OVER (PARTITION BY axis) + 1 AS len FROM marg) WHERE cnt >= greatest(1, floor(n * 0.001::DOUBLE)) GROUP BY axis))"""
+
+
+def _auto(src: str, body: str) -> str:
+    return f"""WITH {body}, {_otsu(src)}, marked AS (SELECT z, y, x, CASE WHEN v > threshold THEN 1 ELSE 0 END AS fg FROM {src}, otsu WHERE separability >= 0.2),
+{MARGINALS}, {SPANS}, fgr AS (SELECT sum(cnt) / sum(n) AS foreground FROM marg WHERE axis = 'z'),
+wide AS (SELECT {", ".join(f"max(CASE WHEN axis = '{a}' THEN {c} END) AS {a}_{c}" for a in "xyz" for c in ("low", "high"))}, count(*) AS axes FROM spans)
+SELECT threshold, round(separability, 6) AS separability, round(CAST(foreground AS DOUBLE), 6) AS foreground, {", ".join(f"round({a}_{c}, 6) AS {a}_{c}" for a in "xyz" for c in ("low", "high"))}
+FROM wide, fgr, otsu WHERE axes = 3 AND foreground BETWEEN 0.001 AND 0.95 AND separability >= 0.2
+ AND NOT ((x_high - x_low) * (y_high - y_low) >= 0.98 AND z_high - z_low >= 0.98)"""
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    """Integers of all widths as BIGINT, in a stable column order."""
+    return df.select(*[F.col(f.name).cast("bigint").alias(f.name) if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType)) else F.col(f.name) for f in df.schema.fields])
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = lambda spark, sf_dir: _plain(f(spark, sf_dir))
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
+    return df.withColumns({n: F.round(n, places) for n in names})
+
+
+# Sequences of files
+
+
+@query(f"WITH {NAMES} SELECT name, prefix, number, ext FROM parsed")
+def sequence_parse(spark, sf_dir):
+    return sequence.parsed(standin.file_names(spark, sf_dir)).select("name", "prefix", "number", "ext")
+
+
+@query(
+    f"""WITH {NAMES}, p AS (SELECT prefix FROM parsed GROUP BY prefix ORDER BY count(*) DESC, min(name) LIMIT 1),
+e AS (SELECT ext FROM parsed WHERE ext IN ('bmp', 'jpg', 'jpeg', 'png', 'tif', 'tiff') GROUP BY ext ORDER BY count(*) DESC, min(name) LIMIT 1)
+SELECT prefix, ext AS file_type, CAST(arg_min(width, (number, name)) AS BIGINT) AS index_length, min(number) AS seq_begin, max(number) AS seq_end, count(*) AS n_files
+FROM parsed JOIN p USING (prefix) JOIN e USING (ext) GROUP BY prefix, ext"""
+)
+def sequence_detect(spark, sf_dir):
+    return sequence.detect(standin.file_names(spark, sf_dir))
+
+
+@query(f"WITH {SLICES} SELECT idx AS index, name FROM want WHERE name NOT IN (SELECT name FROM slices)")
+def sequence_missing(spark, sf_dir):
+    files = standin.slice_names(spark, sf_dir)
+    return sequence.missing(sequence.detect(files), files)
+
+
+@query(f"WITH {SLICES} SELECT idx AS index, name FROM want WHERE name IN (SELECT name FROM slices)")
+def sequence_present(spark, sf_dir):
+    files = standin.slice_names(spark, sf_dir)
+    return sequence.present(sequence.detect(files), files)
+
+
+@query(f"WITH {NAMES} SELECT prefix, name, row_number() OVER (PARTITION BY prefix ORDER BY number, name) - 1 AS z FROM parsed")
+def natural_sort(spark, sf_dir):
+    return sequence.ranked(standin.file_names(spark, sf_dir)).select("prefix", "name", "z")
+
+
+@query(f"WITH {NAMES} SELECT ext, count(*) AS n FROM parsed GROUP BY ext")
+def extension_counts(spark, sf_dir):
+    return sequence.parsed(standin.file_names(spark, sf_dir)).groupBy("ext").agg(F.count("*").alias("n"))
+
+
+@query("SELECT source, CAST(sum(n_chars) AS BIGINT) AS bytes, count(*) AS n FROM documents GROUP BY source")
+def directory_size(spark, sf_dir):
+    return standin.table(spark, sf_dir, "documents").groupBy("source").agg(F.sum("n_chars").alias("bytes"), F.count("*").alias("n"))
+
+
+@query(r"""SELECT page_id, NOT regexp_matches(url, '\.\.|^/|^\\|[<>:"|?*]|\x00') AND length(trim(url)) > 0 AS safe FROM pages""")
+def path_safety(spark, sf_dir):
+    return standin.table(spark, sf_dir, "pages").select("page_id", safety.is_safe(F.col("url")).alias("safe"))
+
+
+# Levels
+
+STACKS = "stacks AS (SELECT n_name AS stack_id, 200 + 137 * n_nationkey AS width, 300 + 91 * n_nationkey AS height, 10 + 13 * n_nationkey AS n FROM nation)"
+CATALOG = f"""{STACKS}, need AS (SELECT *, (SELECT min(k) FROM (SELECT unnest(range(32)) AS k) WHERE width >> k::INTEGER <= 500 AND height >> k::INTEGER <= 500) AS levels FROM stacks),
+cat AS (SELECT stack_id, CAST(level AS BIGINT) AS level, CAST(width >> level::INTEGER AS BIGINT) AS width, CAST(height >> level::INTEGER AS BIGINT) AS height, CAST((n + (1 << level::INTEGER) - 1) // (1 << level::INTEGER) AS BIGINT) AS n
+ FROM (SELECT *, unnest(range(levels + 1)) AS level FROM need))"""
+
+
+@query(f"WITH {CATALOG} SELECT * FROM cat")
+def level_catalog(spark, sf_dir):
+    return levels.catalog(standin.stacks(spark, sf_dir))
+
+
+@query(f"WITH {CATALOG} SELECT stack_id, level, n, CAST(pow(0.125, level - 1) AS DOUBLE) AS weight FROM cat WHERE level >= 1")
+def level_weights(spark, sf_dir):
+    return levels.group_weights(levels.catalog(standin.stacks(spark, sf_dir))).select("stack_id", "level", "n", "weight")
+
+
+@query(f"""WITH {CATALOG} SELECT stack_id, coalesce(min(level) FILTER (WHERE greatest(width, height) < 400), max(level)) AS level FROM cat GROUP BY stack_id""")
+def choose_level(spark, sf_dir):
+    return levels.choose_level(levels.catalog(standin.stacks(spark, sf_dir)), 400).select("stack_id", "level")
+
+
+@query(
+    """WITH r AS (SELECT event_type AS run, event_id % 2 AS half, CAST(count(*) AS DOUBLE) AS speed, sum(CAST(round(value * 100) AS BIGINT)) / 100.0::DOUBLE AS seconds,
+ CAST(max(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) AS memory FROM events GROUP BY ALL)
+SELECT run, round((c.speed - b.speed) / b.speed * 100, 2) AS speed_change, round((c.seconds - b.seconds) / b.seconds * 100, 2) AS seconds_change,
+ round((c.memory - b.memory) / b.memory * 100, 2) AS memory_change, round((c.speed - b.speed) / b.speed * 100, 2) < -20 AS regression
+FROM r c JOIN r b USING (run) WHERE c.half = 1 AND b.half = 0"""
+)
+def run_compare(spark, sf_dir):
+    log = standin.task_log(spark, sf_dir)
+    runs = log.groupBy(F.col("kind").alias("run"), (F.col("seq") % 2).alias("half")).agg(F.count("*").cast("double").alias("speed"), (F.sum("weight") / 100.0).alias("seconds"), F.max("weight").cast("double").alias("memory"))
+    return levels.run_comparison(runs.filter("half = 1").drop("half"), runs.filter("half = 0").drop("half"))
+
+
+# Pixels
+
+
+@query(f"WITH {VOX} SELECT z, y, x, v * 257 AS wide, (v * 257) >> 8 AS narrow, v << 8 AS up FROM vox")
+def bit_depth_up_down(spark, sf_dir):
+    wide = F.col("v") * 257
+    return standin.volume(spark, sf_dir).select("z", "y", "x", wide.alias("wide"), scalars.narrow(wide).alias("narrow"), scalars.widen(F.col("v")).alias("up"))
+
+
+@query(f"""WITH {VOX} SELECT z, y, x, CAST(floor((v * 251) * 255.0::DOUBLE / 65535.0::DOUBLE) AS BIGINT) AS histogram, (v * 251) // 256 AS display, round(v * 65535.0::DOUBLE / 255.0::DOUBLE, 6) AS back FROM vox""")
+def to_8bit(spark, sf_dir):
+    wide, v = F.col("v") * 251, F.col("v")
+    return standin.volume(spark, sf_dir).select("z", "y", "x", scalars.histogram_scale(wide, 65535).alias("histogram"), scalars.display_scale(wide, 65535).alias("display"), F.round(scalars.threshold_on_type(v, 65535), 6).alias("back"))
+
+
+@query(f"WITH {VOX} SELECT z, y, x, 255 - v AS v FROM vox")
+def invert(spark, sf_dir):
+    return standin.volume(spark, sf_dir).withColumn("v", scalars.inverted(F.col("v")))
+
+
+@query(f"WITH {VOX} SELECT z, y, x, CASE WHEN v > 120 AND x BETWEEN 1 AND 6 AND y BETWEEN 0 AND 5 THEN 200 ELSE v END AS v FROM vox")
+def threshold_mask(spark, sf_dir):
+    return standin.volume(spark, sf_dir).withColumn("v", scalars.threshold_paint(F.col("v"), F.col("x"), F.col("y"), 120, 200, (1, 0, 6, 5)))
+
+
+@query(f"WITH {VOX} SELECT z, count(*) FILTER (WHERE v <= 120) AS n FROM vox GROUP BY z")
+def threshold_inverse(spark, sf_dir):
+    painted = scalars.threshold_paint(F.col("v"), F.col("x"), F.col("y"), 120, -1, inverse=True)
+    return standin.volume(spark, sf_dir).groupBy("z").agg(F.count_if(painted == -1).alias("n"))
+
+
+@query(f"WITH {VOX} SELECT z // 2 AS z, y, x, CAST(sum(v) // count(*) AS BIGINT) AS v FROM vox GROUP BY ALL")
+def pair_average(spark, sf_dir):
+    return volume.pair_average(standin.volume(spark, sf_dir))
+
+
+@query(f"WITH {VOX} SELECT z, y // 2 AS y, x // 2 AS x, CAST((sum(v) + 2) // 4 AS BIGINT) AS v FROM vox GROUP BY ALL")
+def box_reduce_round(spark, sf_dir):
+    return volume.box_reduce(standin.volume(spark, sf_dir), 8, 8)
+
+
+@query(f"WITH {VOX}, p AS (SELECT z // 2 AS z, y, x, sum(v) // count(*) AS v FROM vox GROUP BY ALL) SELECT z, y // 2 AS y, x // 2 AS x, CAST(sum(v) // 4 AS BIGINT) AS v FROM p GROUP BY ALL")
+def box_reduce_floor(spark, sf_dir):
+    return volume.halve(standin.volume(spark, sf_dir), 8, 8, standin.depth(spark, sf_dir), "floor")
+
+
+@query(f"WITH {VOX} SELECT z, y // 3 AS y, x // 3 AS x, v FROM vox WHERE y % 3 = 0 AND x % 3 = 0")
+def subsample(spark, sf_dir):
+    return volume.subsample(standin.volume(spark, sf_dir), 3)
+
+
+@query(f"WITH {VOX} SELECT z, y // 3 AS y, x // 3 AS x, CAST(sum(v) // 9 AS BIGINT) AS v FROM vox WHERE y < 6 AND x < 6 GROUP BY ALL")
+def block_mean_3(spark, sf_dir):
+    return volume.block_mean(standin.volume(spark, sf_dir), 8, 8, 3)
+
+
+def _level(n: int, before: str) -> str:
+    return f"""a{n} AS (SELECT z, y // 2 AS y, x // 2 AS x, (sum(v) + 2) // 4 AS v FROM {before} GROUP BY ALL),
+l{n} AS (SELECT z // 2 AS z, y, x, CAST((sum(v) + count(*) // 2) // count(*) AS BIGINT) AS v FROM a{n} GROUP BY ALL)"""
+
+
+PYRAMID = f"{VOX}, {_level(1, 'vox')}, {_level(2, 'l1')}, {_level(3, 'l2')}"
+ALL_LEVELS = "SELECT z, y, x, v, CAST(1 AS BIGINT) AS level FROM l1 UNION ALL SELECT z, y, x, v, 2 FROM l2 UNION ALL SELECT z, y, x, v, 3 FROM l3"
+
+
+@query(f"WITH {PYRAMID} {ALL_LEVELS}")
+def pyramid_levels(spark, sf_dir):
+    return volume.pyramid(standin.volume(spark, sf_dir), 8, 8, standin.depth(spark, sf_dir), 3)
+
+
+@query(f"WITH {PYRAMID} SELECT level, count(*) AS voxels, count(DISTINCT z) AS slices FROM ({ALL_LEVELS}) GROUP BY level")
+def pyramid_counts(spark, sf_dir):
+    rows = volume.pyramid(standin.volume(spark, sf_dir), 8, 8, standin.depth(spark, sf_dir), 3)
+    return rows.groupBy("level").agg(F.count("*").alias("voxels"), F.countDistinct("z").alias("slices"))
+
+
+# Regions
+
+
+def _crop(spark, sf_dir) -> volume.Crop:
+    n = standin.depth(spark, sf_dir)
+    now = {"level": 0, "width": 8, "height": 8, "seq_begin": 0, "seq_end": n - 1}
+    small = {"level": 1, "width": 4, "height": 4, "seq_begin": 0, "seq_end": (n + 1) // 2 - 1}
+    return volume.crop_bounds(now, small, n // 10, n // 2, (2, 1, 7, 8))
+
+
+@query(
+    f"""WITH {VOX}, {_level(1, "vox")}, n AS (SELECT max(z) + 1 AS n FROM vox), b AS (SELECT n, (n + 1) // 2 AS d,
+ CAST(floor((n // 10) / CAST(n AS DOUBLE) * ((n + 1) // 2)) AS BIGINT) AS z0, CAST(floor((n // 2) / CAST(n AS DOUBLE) * ((n + 1) // 2)) AS BIGINT) AS z1 FROM n)
+SELECT z - z0 AS z, y - 0 AS y, x - 1 AS x, v FROM l1, b WHERE z >= z0 AND z < z1 AND y >= 0 AND y < 4 AND x >= 1 AND x < 3"""
+)
+def crop_volume(spark, sf_dir):
+    small = volume.halve(standin.volume(spark, sf_dir), 8, 8, standin.depth(spark, sf_dir))
+    return volume.crop(small, _crop(spark, sf_dir))
+
+
+@query(
+    f"""WITH {VOX}, roi AS (SELECT r_regionkey AS roi, CASE WHEN r_regionkey < 4 THEN r_regionkey END AS x1, r_regionkey % 3 AS y1, r_regionkey + 3 AS x2, r_regionkey % 3 + 4 AS y2 FROM region)
+SELECT CAST(roi AS BIGINT) AS roi, count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM vox JOIN roi ON x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2 GROUP BY roi"""
+)
+def roi_contains(spark, sf_dir):
+    key = F.col("r_regionkey")
+    rois = standin.table(spark, sf_dir, "region").select(key.alias("roi"), F.when(key < 4, key).alias("x1"), (key % 3).alias("y1"), (key + 3).alias("x2"), (key % 3 + 4).alias("y2"))
+    inside = regions.contains(*[F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")])
+    # Regions of interest are set by hand: five rows of the smallest table.
+    return standin.volume(spark, sf_dir).join(F.broadcast(rois.limit(1000)), inside).groupBy("roi").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+
+
+@query(f"""WITH {VOX} SELECT z, y, x, x * 4.0::DOUBLE AS down, x * 0.25::DOUBLE AS up, least(greatest(CAST(floor(z * 0.25::DOUBLE) AS BIGINT), 0), 9) AS other FROM vox""")
+def coord_scale(spark, sf_dir):
+    v = standin.volume(spark, sf_dir)
+    at = lambda a, b: regions.scale_between_levels(F.col("x"), F.lit(a), F.lit(b))
+    return v.select("z", "y", "x", at(2, 0).alias("down"), at(0, 2).alias("up"), regions.switch_level(F.col("z"), F.lit(0), F.lit(2), F.lit(10)).alias("other"))
+
+
+@query(f"""WITH {VOX} SELECT z, y, x, x / 8.0::DOUBLE AS nx, 0.0::DOUBLE AS none, CAST(trunc(x / 8.0::DOUBLE * 5) AS BIGINT) AS back FROM vox""")
+def coord_normalise(spark, sf_dir):
+    nx = regions.normalised(F.col("x"), F.lit(8))
+    return standin.volume(spark, sf_dir).select("z", "y", "x", nx.alias("nx"), regions.normalised(F.col("x"), F.lit(0)).alias("none"), regions.denormalised(nx, F.lit(5)).alias("back"))
+
+
+@query("SELECT p_partkey, CAST(round_even((p_partkey % 101) / 100.0::DOUBLE * (p_size + 10), 0) AS BIGINT) AS at FROM part")
+def roi_fraction_round(spark, sf_dir):
+    return standin.table(spark, sf_dir, "part").select("p_partkey", regions.from_fractions(F.col("p_partkey") % 101 / F.lit(100.0), F.col("p_size") + 10).alias("at"))
+
+
+@query(
+    """WITH s AS (SELECT p_partkey, CAST(p_size AS BIGINT) AS s, least(greatest(CAST(p_size AS BIGINT) - 20, 0), 24) AS bottom, least(greatest(CAST(p_size AS BIGINT) - 30, 0), 25) AS t FROM part)
+SELECT p_partkey, bottom, CASE WHEN t <= bottom THEN least(bottom + 1, 25) ELSE t END AS top, least(s % 7, s % 5) AS x1, greatest(s % 7, s % 5) AS x2 FROM s"""
+)
+def clamp_ranges(spark, sf_dir):
+    s = F.col("p_size")
+    bottom, top = regions.clamp_indices(s - 20, s - 30, F.lit(25))
+    x1, _, x2, _ = regions.from_corners(s % 7, s, s % 5, s)
+    return standin.table(spark, sf_dir, "part").select("p_partkey", bottom.alias("bottom"), top.alias("top"), x1.alias("x1"), x2.alias("x2"))
+
+
+@query(f"""WITH {STACKS} SELECT stack_id, CAST(n AS BIGINT) AS depth, round_even(CAST(n AS DOUBLE) * width * height / 1048576.0::DOUBLE, 2) AS mb FROM stacks""")
+def stack_size(spark, sf_dir):
+    w, h, n = (F.col(c) for c in ("width", "height", "n"))
+    d, _, _ = regions.cropped_dimensions(F.lit(0), n - 1, F.lit(0), F.lit(0), w, h)
+    return standin.stacks(spark, sf_dir).select("stack_id", d.alias("depth"), regions.slice_stack_megabytes(F.lit(0), n - 1, w, h).alias("mb"))
+
+
+@query(f"""WITH {VOX}, s AS (SELECT unnest([16, 80, 120, 136, 240]) AS p), d AS (SELECT z, y, x, v, min(abs(p - v)) AS m FROM vox, s GROUP BY ALL)
+SELECT z, y, x, CASE WHEN m <= 10 THEN CAST((SELECT min(p) FROM s WHERE abs(p - v) = m) AS BIGINT) ELSE v END AS v FROM d""")
+def snap_nearest(spark, sf_dir):
+    points = [F.lit(p) for p in (16, 80, 120, 136, 240)]
+    near = F.array_min(F.array(*[F.struct(F.abs(p - F.col("v")).alias("d"), p.alias("p")) for p in points]))
+    return standin.volume(spark, sf_dir).withColumn("v", F.when(near["d"] <= 10, near["p"]).otherwise(F.col("v")))
+
+
+# Statistics and thresholds
+
+
+@query(f"""WITH {VOX} SELECT min(v) AS v_min, max(v) AS v_max, round(avg(v), 6) AS v_mean, round(stddev_pop(v), 6) AS v_std, count(*) AS n, max(z) - min(z) + 1 AS depth, max(y) - min(y) + 1 AS height, max(x) - min(x) + 1 AS width FROM vox""")
+def volume_stats(spark, sf_dir):
+    return _rounded(volume.statistics(standin.volume(spark, sf_dir)), "v_mean", "v_std")
+
+
+@query(f"WITH {VOX} {HIST.format(src='vox')}")
+def histogram_256(spark, sf_dir):
+    return volume.histogram(standin.volume(spark, sf_dir))
+
+
+@query(f"WITH {VOX}, {_otsu('vox')} SELECT threshold, round(separability, 6) AS separability FROM otsu")
+def otsu_threshold(spark, sf_dir):
+    return _rounded(volume.otsu(volume.histogram(standin.volume(spark, sf_dir))), "separability")
+
+
+@query(f"""WITH {VOX}, {_otsu("vox")} SELECT z, CAST(sum(CASE WHEN v > threshold THEN 1 ELSE 0 END) AS BIGINT) AS fg, round(avg(CASE WHEN v > threshold THEN 1.0::DOUBLE ELSE 0 END), 6) AS share FROM vox, otsu GROUP BY z""")
+def foreground_fraction(spark, sf_dir):
+    vox = standin.volume(spark, sf_dir)
+    marked = volume.foreground(vox, volume.otsu(volume.histogram(vox)))
+    return marked.groupBy("z").agg(F.sum("fg").alias("fg"), F.round(F.avg("fg"), 6).alias("share"))
+
+
+@query(f"WITH {VOX}, marked AS (SELECT z, y, x, v AS fg FROM vox), {MARGINALS} SELECT axis, position, cnt, n FROM marg")
+def axis_marginals(spark, sf_dir):
+    return volume.marginals(standin.volume(spark, sf_dir), F.col("v"))
+
+
+@query(f"""WITH {SPEC}, marked AS (SELECT z, y, x, CASE WHEN v > 127 THEN 1 ELSE 0 END AS fg FROM spec), {MARGINALS}, {SPANS} SELECT axis, round(low, 6) AS low, round(high, 6) AS high FROM spans""")
+def occupied_span(spark, sf_dir):
+    counts = volume.marginals(standin.specimen(spark, sf_dir), (F.col("v") > 127).cast("bigint"))
+    return _rounded(volume.occupied_spans(counts), "low", "high")
+
+
+def _setup(df: DataFrame) -> DataFrame:
+    return _rounded(df, *[c for c in df.columns if c != "threshold"])
+
+
+@query(_auto("spec", SPEC))
+def auto_setup(spark, sf_dir):
+    return _setup(volume.auto_setup(standin.specimen(spark, sf_dir)))
+
+
+@query(_auto("vox", VOX))
+def auto_setup_none(spark, sf_dir):
+    return _setup(volume.auto_setup(standin.volume(spark, sf_dir)))
+
+
+# Meshes
+
+POINTS = """pts AS (SELECT vec_id AS vid, CAST(floor((CAST(embedding[1] AS DOUBLE) + 1) * 127.5) AS BIGINT) AS v0, CAST(floor((CAST(embedding[2] AS DOUBLE) + 1) * 127.5) AS BIGINT) AS v1, CAST(floor((CAST(embedding[3] AS DOUBLE) + 1) * 127.5) AS BIGINT) AS v2 FROM embeddings),
+tri AS (SELECT vec_id AS tid, vec_id AS a, vec_id + 1 AS b, vec_id + 2 AS c FROM embeddings WHERE vec_id % 2 = 0 AND vec_id + 2 IN (SELECT vec_id FROM embeddings))"""
+NORMALS = f"""{POINTS}, e AS (SELECT tid, a, b, c, CAST(q.v0 - p.v0 AS DOUBLE) AS u0, CAST(q.v1 - p.v1 AS DOUBLE) AS u1, CAST(q.v2 - p.v2 AS DOUBLE) AS u2,
+ CAST(r.v0 - p.v0 AS DOUBLE) AS w0, CAST(r.v1 - p.v1 AS DOUBLE) AS w1, CAST(r.v2 - p.v2 AS DOUBLE) AS w2 FROM tri JOIN pts p ON a = p.vid JOIN pts q ON b = q.vid JOIN pts r ON c = r.vid),
+x AS (SELECT tid, a, b, c, u1 * w2 - u2 * w1 AS x0, u2 * w0 - u0 * w2 AS x1, u0 * w1 - u1 * w0 AS x2 FROM e),
+l AS (SELECT *, sqrt(x0 * x0 + x1 * x1 + x2 * x2) AS len FROM x),
+nrm AS (SELECT tid, a, b, c, CASE WHEN len > 0 THEN x0 / len ELSE 0 END AS n0, CASE WHEN len > 0 THEN x1 / len ELSE 0 END AS n1, CASE WHEN len > 0 THEN x2 / len ELSE 0 END AS n2 FROM l)"""
+
+
+def _points(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    rows = standin.table(spark, sf_dir, "embeddings")
+    value = lambda i: F.floor((F.element_at("embedding", i + 1).cast("double") + 1) * 127.5)
+    vertices = rows.select(F.col("vec_id").alias("vid"), *[value(i).alias(f"v{i}") for i in range(3)])
+    k = F.col("vec_id")
+    triangles = rows.filter(k % 2 == 0).select(k.alias("tid"), k.alias("a"), (k + 1).alias("b"), (k + 2).alias("c"))
+    return vertices, triangles.join(rows.select(F.col("vec_id").alias("c")), "c", "left_semi").select("tid", "a", "b", "c")
+
+
+@query(f"WITH {NORMALS} SELECT tid, round(n0, 5) + 0.0 AS n0, round(n1, 5) + 0.0 AS n1, round(n2, 5) + 0.0 AS n2 FROM nrm")
+def triangle_normals(spark, sf_dir):
+    rows = mesh.triangle_normals(*_points(spark, sf_dir))
+    return rows.select("tid", *[(F.round(f"n{i}", 5) + F.lit(0.0)).alias(f"n{i}") for i in range(3)])
+
+
+@query(
+    f"""WITH {NORMALS}, s AS (SELECT vid, sum(n0) AS s0, sum(n1) AS s1, sum(n2) AS s2 FROM (SELECT unnest([a, b, c]) AS vid, n0, n1, n2 FROM nrm) GROUP BY vid), t AS (SELECT *, sqrt(s0 * s0 + s1 * s1 + s2 * s2) AS len FROM s)
+SELECT vid, {", ".join(f"round(CASE WHEN len > 0 THEN s{i} / len ELSE 0 END, 5) + 0.0 AS n{i}" for i in range(3))} FROM t"""
+)
+def vertex_normals(spark, sf_dir):
+    rows = mesh.vertex_normals(mesh.triangle_normals(*_points(spark, sf_dir)))
+    return rows.select("vid", *[(F.round(f"n{i}", 5) + F.lit(0.0)).alias(f"n{i}") for i in range(3)])
+
+
+@query(f"WITH {POINTS} SELECT 'v ' || v2 || ' ' || v0 || ' ' || v1 AS line, vid AS at FROM pts UNION ALL SELECT 'f ' || (a + 1) || ' ' || (b + 1) || ' ' || (c + 1), tid FROM tri")
+def obj_lines(spark, sf_dir):
+    from ..sources import sinks
+
+    return sinks.obj_lines(*_points(spark, sf_dir)).select("line", F.col("ord.at").alias("at"))
+
+
+@query(
+    f"""WITH {VOX}, o AS (SELECT a.i AS oz, b.i AS oy, c.i AS ox FROM range(5) a(i), range(5) b(i), range(5) c(i)),
+g AS (SELECT i AS o, CAST(least(floor(i * 1.75::DOUBLE), 6) AS BIGINT) AS lo, i * 1.75::DOUBLE - least(floor(i * 1.75::DOUBLE), 6) AS f FROM range(5) r(i)),
+ax AS (SELECT o, lo AS i, 1 - f AS w FROM g UNION ALL SELECT o, lo + 1, f FROM g)
+SELECT oz AS z, oy AS y, ox AS x, CAST(floor(round(sum(a.w * b.w * c.w * v), 9) + 0.5) AS BIGINT) AS v FROM o JOIN ax a ON a.o = oz JOIN ax b ON b.o = oy JOIN ax c ON c.o = ox
+JOIN vox ON vox.z = a.i AND vox.y = b.i AND vox.x = c.i GROUP BY oz, oy, ox"""
+)
+def trilinear_zoom(spark, sf_dir):
+    return mesh.trilinear(standin.volume(spark, sf_dir).filter("z < 8"), (8, 8, 8), (5, 5, 5))
+
+
+@query()
+def marching_cubes(spark, sf_dir):
+    n = min(32, standin.depth(spark, sf_dir))
+    vertices, triangles = mesh.indexed(mesh.marching_cubes(standin.volume(spark, sf_dir).filter(F.col("z") < n), (n, 8, 8), 127.5))
+    return mesh.triangle_normals(vertices, triangles)
+
+
+# Progress
+
+
+@query(f"WITH {RUNNING} SELECT run, seq, step, round(percent, 4) AS percent, round(eta, 3) AS eta FROM running")
+def progress_running(spark, sf_dir):
+    rows = progress.running(standin.task_log(spark, sf_dir))
+    return rows.select("run", "seq", "step", F.round("percent", 4).alias("percent"), F.round("eta", 3).alias("eta"))
+
+
+@query(
+    f"""WITH {LOG}, s AS (SELECT *, i / elapsed AS speed FROM num WHERE elapsed > 0), a AS (SELECT *, avg(speed) OVER (PARTITION BY run ORDER BY ts, seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS m, row_number() OVER (PARTITION BY run ORDER BY ts, seq) AS k FROM s)
+SELECT run, seq, round(m, 8) AS mean_speed, CASE WHEN k >= 5 THEN round((total - i) / m, 1) END AS eta FROM a"""
+)
+def speed_moving_avg(spark, sf_dir):
+    rows = progress.speed_average(standin.task_log(spark, sf_dir))
+    return rows.select("run", "seq", F.round("mean_speed", 8).alias("mean_speed"), F.round("eta", 1).alias("eta"))
+
+
+@query(
+    f"""WITH {LOG}, s AS (SELECT run, i // 20 AS stage, elapsed / i AS per_item, total * (elapsed / i) * 1.3125::DOUBLE AS estimate FROM num WHERE i IN (20, 40, 60)),
+t AS (SELECT *, lag(estimate) OVER w AS before, first(estimate) OVER w AS f FROM s WINDOW w AS (PARTITION BY run ORDER BY stage))
+SELECT run, stage, round(per_item, 4) AS per_item, round(estimate, 3) AS estimate, round((estimate - before) / before * 100, 4) AS change,
+ round(CASE WHEN stage = 3 AND estimate / f > 1.5 THEN estimate * (1 + (estimate / f - 1) * 0.3::DOUBLE) ELSE estimate END, 3) AS adjusted FROM t"""
+)
+def stage_sampling(spark, sf_dir):
+    rows = progress.stages(standin.task_log(spark, sf_dir))
+    return rows.select("run", "stage", *[F.round(c, k).alias(c) for c, k in (("per_item", 4), ("estimate", 3), ("change", 4), ("adjusted", 3))])
+
+
+@query(f"WITH {LOG} SELECT run, seq, i, round(gap, 6) AS gap FROM num")
+def step_gap(spark, sf_dir):
+    return _rounded(progress.numbered(standin.task_log(spark, sf_dir)).select("run", "seq", "i", "gap"), "gap")
+
+
+@query(f"WITH {LOG} SELECT run, seq, round(gap, 6) AS gap FROM num WHERE gap >= 21600")
+def stall_detect(spark, sf_dir):
+    return _rounded(progress.stalls(standin.task_log(spark, sf_dir), 21600).select("run", "seq", "gap"), "gap")
+
+
+@query(f"WITH {LOG}, {VELOCITY} SELECT run, seq, round(median_velocity, 10) AS median_velocity FROM vel")
+def velocity_median(spark, sf_dir):
+    rows = progress.velocity_median(standin.task_log(spark, sf_dir)).select("run", "seq", "median_velocity")
+    return _rounded(rows, "median_velocity", places=10)
+
+
+@query(f"WITH {LOG}, {STEPS} SELECT run, steps, round(step_mean, 3) AS step_mean FROM trim")
+def trimmed_mean_eta(spark, sf_dir):
+    return _rounded(progress.step_means(standin.task_log(spark, sf_dir)), "step_mean", places=3)
+
+
+@query(
+    f"""WITH {LOG}, {VELOCITY}, {STEPS}, f AS (SELECT run, total, elapsed, 100 AS remaining FROM num WHERE i = total),
+v AS (SELECT run, median_velocity AS mv FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY ts DESC, seq DESC) AS k FROM vel) WHERE k = 1),
+e AS (SELECT f.run, elapsed / total * remaining AS a, step_mean * remaining AS b, CASE WHEN mv > 0 THEN remaining / mv END AS c FROM f LEFT JOIN trim USING (run) LEFT JOIN v USING (run))
+SELECT run, round((coalesce(a * 0.5::DOUBLE, 0) + coalesce(b * 0.3::DOUBLE, 0) + coalesce(c * 0.2::DOUBLE, 0)) / (CASE WHEN a IS NOT NULL THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN b IS NOT NULL THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN c IS NOT NULL THEN 0.2::DOUBLE ELSE 0 END), 1) AS eta FROM e"""
+)
+def eta_blend(spark, sf_dir):
+    return _rounded(progress.blended(standin.task_log(spark, sf_dir), F.lit(100)), "eta", places=1)
+
+
+@query()
+def eta_ema(spark, sf_dir):
+    return _rounded(progress.smoothed_etas(standin.task_log(spark, sf_dir)), "eta", places=3)
+
+
+@query()
+def outlier_steps(spark, sf_dir):
+    return progress.without_outliers(standin.task_log(spark, sf_dir))
+
+
+@query(f"WITH {LOG} SELECT kind, CAST(sum(CASE WHEN value > 100 THEN 1 ELSE 0 END) AS BIGINT) AS made, CAST(sum(CASE WHEN value > 100 THEN 0 ELSE 1 END) AS BIGINT) AS loaded, round(avg(CASE WHEN value > 100 THEN 1.0::DOUBLE ELSE 0 END), 6) AS ratio FROM log GROUP BY kind")
+def generation_ratio(spark, sf_dir):
+    return _rounded(progress.generation_ratio(standin.task_log(spark, sf_dir), "kind", F.col("value") > 100), "ratio")
+
+
+# Events
+
+
+@query(
+    f"""WITH {LOG}, b AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= 21600 THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS burst FROM num)
+SELECT run, min(ts) AS first_ts, count(*) AS n, arg_max(weight, (ts, seq)) AS weight FROM b GROUP BY run, burst"""
+)
+def debounce_last(spark, sf_dir):
+    return event_ops.debounced(standin.task_log(spark, sf_dir), "run", "weight", ("ts", "seq"), "6 hours")
+
+
+@query(f"WITH {LOG} SELECT run, kind, seq, weight FROM (SELECT *, row_number() OVER (PARTITION BY run, kind ORDER BY ts, seq) AS k FROM log) WHERE k = 1")
+def dedupe_first(spark, sf_dir):
+    log = standin.task_log(spark, sf_dir)
+    return event_ops.first_results(log.unionByName(log), ["run", "kind"], order=("ts", "seq")).select("run", "kind", "seq", "weight")
+
+
+@query(f"WITH {LOG} SELECT run, arg_max(weight, (ts, seq)) AS weight FROM log GROUP BY run")
+def latest_request(spark, sf_dir):
+    return event_ops.latest_request(standin.task_log(spark, sf_dir), "run", "weight", ("ts", "seq"))
+
+
+@query(f"WITH {VOX} SELECT DISTINCT CAST(1 AS BIGINT) AS level, z // 2 AS z FROM vox WHERE (z // 2) % 2 = 1")
+def resume_pending(spark, sf_dir):
+    wanted = standin.table(spark, sf_dir, "embeddings").select(F.lit(1).alias("level"), scalars.div(F.col("vec_id"), 2).alias("z")).distinct()
+    return sequence.pending(wanted, wanted.filter(F.col("z") % 2 == 0))
+
+
+# Texts
+
+
+@query(
+    """SELECT event_id, CASE WHEN s < 0 THEN '0s' WHEN s < 60 THEN printf('%.1fs', s) WHEN s < 3600 THEN printf('%.1fm', s / 60)
+ WHEN (CAST(floor(s) AS BIGINT) % 3600) // 60 > 0 THEN printf('%dh %dm', CAST(floor(s / 3600) AS BIGINT), (CAST(floor(s) AS BIGINT) % 3600) // 60) ELSE printf('%dh', CAST(floor(s / 3600) AS BIGINT)) END AS text
+FROM (SELECT event_id, value * CASE event_id % 3 WHEN 0 THEN 0.1::DOUBLE WHEN 1 THEN 7 ELSE 60 END - 1 AS s FROM events)"""
+)
+def format_duration(spark, sf_dir):
+    k = F.col("event_id") % 3
+    s = F.col("value") * F.when(k == 0, 0.1).when(k == 1, 7.0).otherwise(60.0) - 1
+    return standin.table(spark, sf_dir, "events").select("event_id", scalars.duration_text(s).alias("text"))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN n < 1024 THEN printf('%.2f B', n) WHEN n < 1048576 THEN printf('%.2f KB', n / 1024) WHEN n < 1073741824 THEN printf('%.2f MB', n / 1048576) ELSE printf('%.2f GB', n / 1073741824) END AS text
+FROM (SELECT doc_id, CAST(n_chars AS DOUBLE) * CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 997 ELSE 1000003 END AS n FROM documents)"""
+)
+def format_file_size(spark, sf_dir):
+    k = F.col("doc_id") % 3
+    n = F.col("n_chars").cast("double") * F.when(k == 0, 1).when(k == 1, 997).otherwise(1000003)
+    return standin.table(spark, sf_dir, "documents").select("doc_id", scalars.file_size_text(n).alias("text"))
+
+
+@query(
+    """SELECT event_id, CASE WHEN s IS NULL THEN 'Calculating...' WHEN s < 60 THEN printf('%ds', CAST(floor(s) AS BIGINT)) WHEN s < 3600 THEN printf('%dm %ds', CAST(floor(s / 60) AS BIGINT), CAST(floor(s) AS BIGINT) % 60)
+ ELSE printf('%dh %dm', CAST(floor(s / 3600) AS BIGINT), (CAST(floor(s) AS BIGINT) % 3600) // 60) END AS text FROM (SELECT event_id, CASE WHEN event_id % 10 > 0 THEN value * (event_id % 10) * 3 END AS s FROM events)"""
+)
+def eta_text(spark, sf_dir):
+    k = F.col("event_id") % 10
+    s = F.when(k > 0, F.col("value") * k * 3)
+    return standin.table(spark, sf_dir, "events").select("event_id", scalars.eta_text(s).alias("text"))
+
+
+@query("""SELECT event_id, CASE WHEN value > 400 THEN NULL ELSE value / 20 END AS speed, CASE WHEN value > 400 THEN 'Unknown' WHEN value / 20 > 10 THEN 'SSD' WHEN value / 20 > 2 THEN 'HDD' ELSE 'Network/Slow' END AS class FROM events""")
+def storage_class(spark, sf_dir):
+    speed = F.when(F.col("value") <= 400, F.col("value") / 20)
+    return standin.table(spark, sf_dir, "events").select("event_id", speed.alias("speed"), scalars.storage_class(speed).alias("class"))
+
+
+@query("SELECT event_id, round(value * 1.3125::DOUBLE, 6) AS total FROM events")
+def multi_level_time(spark, sf_dir):
+    return standin.table(spark, sf_dir, "events").select("event_id", F.round(levels.total_time(F.col("value"), 3), 6).alias("total"))
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    """The proposal for the specimen volume beside that volume's statistics; one row."""
+    vox = standin.specimen(spark, sf_dir)
+    # One row on either side.
+    return _plain(volume.auto_setup(vox).join(F.broadcast(volume.statistics(vox)), F.lit(True)))
