@@ -41,7 +41,8 @@ def cropped_slices(slices: DataFrame, z_first: int, z_last: int, box: tuple[int,
     size = F.col("bit_depth") / 8
     lines = F.transform(F.sequence(F.lit(y1), F.lit(y2 - 1)), lambda y: F.substring("pixels", ((y * F.col("width") + x1) * size).cast("int") + 1, (F.lit(x2 - x1) * size).cast("int")))
     joined = F.aggregate(lines, F.lit(b""), lambda a, b: F.concat(a, b))
-    return rows.withColumns({"pixels": joined, "width": F.lit(x2 - x1), "height": F.lit(y2 - y1)})
+    # The pixels need the old width, so they come first.
+    return rows.withColumn("pixels", joined).withColumns({"width": F.lit(x2 - x1), "height": F.lit(y2 - y1)})
 
 
 def export_stack(slices: DataFrame, path: str, name: Column, deflate: bool = False) -> DataFrame:
