@@ -185,15 +185,20 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return plain.mapInArrow(rows, "set_id long, shingles array<long>")
 
 
-def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b: set ids) with common, union: exact sizes. The sides meet by equi-joins."""
+def _side_by_side(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (a, b: set ids, and further columns) with the shingles of both (x, y). Equi-joins only."""
     some = sets.join(pairs.select(F.col("a").alias("set_id")).distinct(), "set_id", "left_semi")
     with_b = pairs.join(sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("y")), "b")
-    both = with_b.join(some.select(F.col("set_id").alias("a"), F.col("shingles").alias("x")), "a")
+    return with_b.join(some.select(F.col("set_id").alias("a"), F.col("shingles").alias("x")), "a")
+
+
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, common, union and r (symmetric difference) of each pair: exact sizes."""
     common = F.size(F.array_intersect("x", "y")).cast("long")
-    out = both.select("a", "b", common.alias("common"), (F.size("x") + F.size("y") - common).alias("union"))
+    out = _side_by_side(pairs, sets).select("a", "b", common.alias("common"), (F.size("x") + F.size("y") - common).alias("union"))
     # Copies of one set may have been read from several documents; their figures are equal.
-    return out.groupBy("a", "b").agg(F.max("common").alias("common"), F.max("union").alias("union"))
+    out = out.groupBy("a", "b").agg(F.max("common").alias("common"), F.max("union").alias("union"))
+    return out.withColumn("r", F.col("union") - F.col("common"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -226,19 +231,73 @@ def _linked(measured: DataFrame, percent: int) -> DataFrame:
     return measured.filter(F.col("common") * 100 >= F.col("union") * percent)
 
 
-def link(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
+def _groups(members: DataFrame) -> DataFrame:
+    """g, x: pivots with the sets of their regions, such that the sets of each region share a pivot.
+
+    A set's hub is the pivot that it shares the most populous regions with. Where all sets of a
+    region have one hub, that hub stands for the region's own pivot; all other regions keep theirs.
+    So a large group of near copies is held by one pivot instead of one for each region.
+    """
+    own = members.unionByName(members.select("region", "a", F.col("a").alias("b")).distinct())
+    degree = members.groupBy("a").agg(F.count("*").alias("degree"))
+    hubs = own.select("a", "b").distinct().join(degree, "a").groupBy("b").agg(F.max(F.struct("degree", "a"))["a"].alias("hub"))
+    hubs = materialise(hubs, "hubs")
+    held = own.join(hubs, "b").groupBy("region").agg(F.min("hub").alias("lo"), F.max("hub").alias("hi"))
+    apart = own.join(held.filter("lo <> hi").select("region"), "region", "left_semi").select(F.col("a").alias("g"), F.col("b").alias("x"))
+    rows = hubs.select(F.col("hub").alias("g"), F.col("b").alias("x")).unionByName(apart)
+    return materialise(rows.distinct(), "groups")
+
+
+def _across(split: DataFrame, centre: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components within the groups that may still link, and none that is surely apart.
+
+    ``split``: g, x, component; ``centre``: g, q, the pivot that the group is seen from. For sets x
+    and y with differences E and F from q, the difference of x and y is that of E and F. So by the
+    triangle inequality they link at once if |E| + |F| is within the bound; they cannot link if |E|
+    and |F| differ by more than it; and otherwise E and F must have enough elements in common. The
+    elements of each E are put in order of their frequency in the group, rare ones first, and two
+    sets are compared only if the first elements of both, as many as their overlap may miss, meet.
+    """
+    t = percent / 100
+    c = (1 - t) / (1 + t)
+    pairs = split.join(centre, "g").select("g", F.col("q").alias("a"), F.col("x").alias("b"), "component")
+    both = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
+    near = (F.size(F.array_intersect("x", "y")) * 100 >= F.size(F.array_union("x", "y")) * percent).alias("near")
+    seen = _side_by_side(pairs, sets).select("g", F.col("b").alias("id"), "component", F.size("y").alias("n"), near, both.alias("e"))
+    seen = materialise(seen.dropDuplicates(["g", "id"]).withColumn("r", F.size("e")).withColumn("k", F.floor(F.col("n") * (1 - t) / t + 1e-9)), "differences")
+    items = seen.select("g", "id", F.explode("e").alias("e"))
+    often = items.groupBy("g", "e").agg(F.count("*").alias("often")).filter("often > 1")
+    ordered = items.join(often, ["g", "e"]).groupBy("g", "id").agg(F.array_sort(F.collect_list(F.struct("often", "e"))).alias("order"))
+    # Elements that occur once in the group come first in the order and meet nothing.
+    overlap = F.greatest(F.lit(1), F.when(F.col("near"), F.ceil(F.col("r") * (1 - c) / 2)).otherwise(F.col("r") - F.col("k")))
+    first = F.greatest(F.lit(0), (F.col("r") - overlap + 1) - (F.col("r") - F.size("order"))).cast("int")
+    marked = seen.drop("e").join(ordered, ["g", "id"]).withColumn("first", first)
+    marked = marked.select("g", "id", "component", "near", "r", "k", "n", F.explode(F.slice("order", F.lit(1), F.col("first"))).alias("o")).withColumn("e", F.col("o.e")).drop("o")
+    marked = materialise(marked, "first_elements")
+    side = lambda rows, k: rows.select(*[c if c in ("g", "e") else F.col(c).alias(f"{c}{k}") for c in rows.columns])
+    window = (F.abs(F.col("r1") - F.col("r2")) <= F.least("k1", "k2")) & (F.col("n1") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n1") * percent)
+    other = (F.col("component1") != F.col("component2")) & (F.col("near2") | (F.col("id1") < F.col("id2")))
+    met = side(marked.filter("not near"), 1).join(side(marked, 2), ["g", "e"]).filter(other & window)
+    # Far from q only because q is small, yet so near to a set next to q that nothing need be shared.
+    rim = seen.filter("not near and r <= k").drop("e")
+    close = seen.filter(F.col("r") <= F.col("k") - F.floor(F.col("n") * 2 * c * t)).drop("e")
+    sure = side(rim, 1).join(side(close, 2), "g").filter((F.col("component1") != F.col("component2")) & window & (F.col("r1") + F.col("r2") <= F.least("k1", "k2")))
+    return met.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).unionByName(sure.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"))).distinct()
+
+
+def link(docs: DataFrame, percent: int = 80, width: int = 5, repivot: int = 4) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (least doc_id reachable by links, itself included).
 
     Two documents link when 100 * |x and y| >= ``percent`` * |x or y| for their sets of distinct
     ``width``-word shingles; every link between different sets counts, found exactly:
 
     1. Equal sets are one node. Sets are dealt to regions (see ``Regions``); linked sets share one.
-    2. The least set of a region is its pivot. Each set is measured against the pivot it shares a
-       region with, first the least one, then each that is not yet in its component.
-    3. Only regions that still hold several components go on: all their members are measured
-       against the pivot, and two members of different components are compared if the triangle
-       inequality lets them link: their distances to the pivot differ by at most the threshold.
-    4. Components come from the links; a pair inside a component needs no comparison.
+    2. Pivots stand for the regions (see ``_groups``), and every set is measured against its own.
+    3. Groups that hold several components go on, each seen from the member next to its pivot,
+       then from members that are still apart, while that finds links, ``repivot`` times at most.
+    4. Groups that are still split are joined within the windows of the triangle inequality around
+       their pivot (see ``_across``), and what is left is measured.
+    5. Components come from the links; a pair inside a component needs no comparison.
 
     Null and empty texts, and those without words, have no shingles and link with nothing. Repeated
     rows count each. A null doc_id keeps its row; it names no component. Extra columns are ignored;
@@ -249,49 +308,58 @@ def link(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     keyed = described.filter("n_shingles > 0").select(F.explode("regions").alias("region"), "set_id")
     pivots = keyed.groupBy("region").agg(F.min("set_id").alias("a"), F.max("set_id").alias("other")).filter("a < other").select("region", "a")
     members = keyed.join(pivots.hint("shuffle_hash"), "region").filter("set_id <> a").select("region", "a", F.col("set_id").alias("b"))
-    members = materialise(members.distinct(), "members")
-    pairs = materialise(members.select("a", "b").distinct(), "pivot_pairs")
-    nodes = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-    wanted = described.join(nodes, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+    groups = _groups(materialise(members.distinct(), "members"))
+    wanted = described.join(groups.select(F.col("x").alias("set_id")).distinct(), "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     sets = materialise(sets_of(docs, wanted, width), "shingles")
 
-    measured = materialise(_measured(pairs.groupBy("b").agg(F.min("a").alias("a")), sets), "measured")
-    edges = _linked(measured, percent).select("a", "b")
+    measured = materialise(_measured(groups.filter("g <> x").select(F.col("g").alias("a"), F.col("x").alias("b")), sets), "measured")
+    edges = materialise(measured.filter(F.col("common") * 100 >= F.col("union") * percent).select("a", "b"), "edges")
     found = components(edges)
 
     def named(rows: DataFrame, column: str) -> DataFrame:
         own = found.select(F.col("node").alias(column), F.col("component").alias("__c"))
-        return rows.join(own, column, "left").withColumn(f"{column}_component", F.coalesce("__c", column)).drop("__c")
-
-    # Pivots that a set has not been measured against, and that are in another component.
-    open_pairs = named(named(pairs, "a"), "b").filter("a_component <> b_component").select("a", "b")
-    more = materialise(_measured(open_pairs.join(measured, ["a", "b"], "left_anti"), sets), "measured")
-    more_edges = _linked(more, percent).select("a", "b")
-    if not more_edges.isEmpty():
-        edges = materialise(edges.unionByName(more_edges), "edges")
+        return rows.join(own, column, "left").withColumn("component", F.coalesce("__c", column)).drop("__c")
+
+    def split_groups() -> DataFrame:
+        rows = named(groups, "x")
+        several = rows.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("g")
+        return materialise(rows.join(several, "g", "left_semi"), "split")
+
+    def found_by(pairs: DataFrame) -> DataFrame:
+        rows = _measured(pairs, sets)
+        return materialise(rows.filter(F.col("common") * 100 >= F.col("union") * percent).select("a", "b"), "links")
+
+    distance = measured.select(F.col("a").alias("g"), F.col("b").alias("x"), "r")
+    split = split_groups()
+    centre = used = None
+    for _ in range(repivot):
+        if split.isEmpty():
+            break
+        # The next pivot of a group: its member next to the first pivot, outside the components of earlier ones.
+        free = split.join(distance, ["g", "x"])
+        if used is not None:
+            free = free.join(used, ["g", "component"], "left_anti")
+        chosen = materialise(free.groupBy("g").agg(F.min(F.struct("r", "x", "component")).alias("m")).select("g", F.col("m.x").alias("q"), F.col("m.component").alias("q_component")), "pivots")
+        centre = chosen.select("g", "q") if centre is None else centre
+        pairs = split.join(chosen, "g").filter("component <> q_component").select(F.col("q").alias("a"), F.col("x").alias("b"))
+        more = found_by(pairs.distinct())
+        if more.isEmpty():
+            break
+        edges = materialise(edges.unionByName(more), "edges")
         found = components(edges)
-
-    # Regions with several components: compare across them, within the windows of the pivot.
-    inside = members.select("region", "a", "b").unionByName(members.select("region", "a", F.col("a").alias("b")).distinct())
-    inside = named(inside, "b")
-    split = inside.groupBy("region").agg(F.min("b_component").alias("lo"), F.max("b_component").alias("hi")).filter("lo <> hi").select("region")
-    inside = materialise(inside.join(split, "region", "left_semi"), "split_regions")
-    if not inside.isEmpty():
-        to_pivot = materialise(_measured(inside.filter("a <> b").select("a", "b").distinct(), sets), "to_pivot")
-        distance = F.when(F.col("a") == F.col("b"), F.lit(0.0)).otherwise(1 - F.col("common") / F.col("union"))
-        placed = inside.join(to_pivot, ["a", "b"], "left").select("region", "a", "b", "b_component", distance.alias("d"))
-        placed = materialise(placed, "placed")
-        reach = (100 - percent) / 100 + 1e-9
-        x = placed.filter("a <> b").select("region", F.col("b").alias("x"), F.col("b_component").alias("x_component"), F.col("d").alias("x_d"))
-        y = placed.filter("a <> b").select("region", F.col("b").alias("y"), F.col("b_component").alias("y_component"), F.col("d").alias("y_d"))
-        near = (F.col("x_component") < F.col("y_component")) & (F.abs(F.col("x_d") - F.col("y_d")) <= reach)
-        across = x.join(y, "region").filter(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        last = materialise(_linked(_measured(across, sets), percent).select("a", "b"), "last_links")
+        split = split_groups()
+        used = chosen.select("g", F.col("q").alias("x"))
+        used = named(used, "x").select("g", "component")
+    if not split.isEmpty():
+        every = split.select("g", F.col("g").alias("q")).distinct()
+        if centre is not None:
+            every = every.drop("q").join(centre, "g", "left").select("g", F.coalesce("q", "g").alias("q"))
+        last = found_by(_across(split, every, sets, percent))
         if not last.isEmpty():
             found = components(materialise(edges.unionByName(last), "edges"))
 
     rows = described.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_id")).alias("set_id"))
     rows = named(rows, "set_id")
-    names = rows.filter("set_id_component is not null").groupBy("set_id_component").agg(F.min("doc_id").alias("least_id"))
-    rows = rows.join(names, "set_id_component", "left")
+    names = rows.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("least_id"))
+    rows = rows.join(names, "component", "left")
     return rows.select("doc_id", "n_shingles", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("least_id")), F.col("doc_id")).alias("component_id"))
