@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from .common import let, text_or_empty, words_of
 #: Buckets that word unigrams and bigrams are hashed to.
 BUCKETS = 10_000
 WINDOW = 5
+#: N-grams of the raw corpus that the target's counts are smoothed with.
+PRIOR = 1_000.0
 
 
 def _covered_words(words: Column, n_words: Column) -> Column:
@@ -64,7 +68,7 @@ def trusted_ids(marks: DataFrame, max_trusted: int = 20_000) -> DataFrame:
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
-    """log p_target / p_raw of each bucket, add-one smoothed.
+    """log p_target / p_raw of each bucket; the target is smoothed by ``PRIOR`` n-grams of the raw corpus.
 
     The raw multinomial counts every n-gram of every document; the target counts those of the
     trusted documents, whose ids are at most ``max_trusted`` and so are broadcast. Counts meet as
@@ -76,14 +80,13 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
     features = let(F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)), _features)
     grams = marked.select(F.explode(features).alias("bucket"), F.col("__trusted").isNotNull().cast("long").alias("target"))
     rows = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("target").alias("target")).collect()
-    raw, target = [1.0] * BUCKETS, [1.0] * BUCKETS
+    raw, target = [1e-9] * BUCKETS, [0.0] * BUCKETS
     for bucket, r, t in rows:
         raw[bucket] += r
         target[bucket] += t
     raw_sum, target_sum = sum(raw), sum(target)
-    from math import log
-
-    return [log(t / target_sum) - log(r / raw_sum) for t, r in zip(target, raw, strict=True)]
+    # p_target = (t + PRIOR * p_raw) / (sum + PRIOR), so the ratio needs no smoothing of its own.
+    return [log((t / (r / raw_sum) + PRIOR) / (target_sum + PRIOR)) for t, r in zip(target, raw, strict=True)]
 
 
 def _score(hashes: Column, ratios: Column) -> Column:
@@ -103,7 +106,7 @@ def apply_rules(docs: DataFrame, trusted: DataFrame, threshold: float = -0.07) -
     trusted target and the raw corpus; ``kept`` is false where the heuristics fail, and else whether
     the score reaches ``threshold``. Nothing is drawn at random: equal texts are treated alike.
     Null texts count as empty ones: all figures 0, base_failed, not kept. Repeated rows count each.
-    Without trusted documents all ratios are those of add-one counts alone. Extra columns are
+    Without trusted documents all ratios are 0. Extra columns are
     ignored. Every row stays a row; no text is cut.
     """
     ratios = log_ratios(docs, trusted)
