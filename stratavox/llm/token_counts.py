@@ -102,6 +102,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str) -> DataF
     # Rows that repeat an id with another text belong to another digest.
     texts = texts.filter(content_digest(F.col("text")) == F.col("digest"))
     fresh = texts.select("digest", F.lit(tokenizer).alias("tokenizer"), count_column(F.col("text"), tokenizer_path).alias("n_tokens"))
+    # Repeated rows of one id and text have passed both joins; the cache gets one row.
+    fresh = fresh.groupBy("digest", "tokenizer").agg(F.max("n_tokens").alias("n_tokens"))
     fresh.write.mode("append").parquet(cache_path)
     counts = read_cache(spark, cache_path, tokenizer)
     return keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
