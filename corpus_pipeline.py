@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stratavox.llm import jaccard, langid, mixing, secrets, sp_codec
-from stratavox.llm.common import materialise, text_or_empty
+from stratavox.llm.common import materialise
 
 TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 #: A document whose language is less certain than this is rejected.
@@ -76,7 +76,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and ids (an end id last) of every row."""
     model = sp_codec.model_bytes(TOKENIZER)
-    coded = docs.select("doc_id", sp_codec.encode(text_or_empty(), model).alias("ids"))
+    coded = sp_codec.encode(docs.select("doc_id", "text"), model)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fingerprints, jaccard, langid, lm, mixing, quality_model, quality_rules, secrets, sp_codec, token_counts
-from .common import documents, id_remainder, labels, shared_path, text_or_empty
+from .common import documents, id_remainder, labels, shared_path
 
 TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -44,8 +44,8 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = sp_codec.model_bytes(TOKENIZER)
-    docs = documents(spark, sf_dir).select("doc_id", sp_codec.encode(text_or_empty(), model).alias("ids"))
-    docs = docs.withColumn("decoded", sp_codec.decode(F.col("ids"), model))
+    docs = sp_codec.encode(documents(spark, sf_dir).select("doc_id", "text"), model).select("doc_id", "ids")
+    docs = sp_codec.decode(docs, model)
     ids_text = F.array_join(F.col("ids").cast("array<string>"), " ")
     return docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids_text, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -6,8 +6,9 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +16,7 @@ SPACE = "▁"
 #: Pieces of a text that no vocabulary entry can span: a run of spaces and what follows it.
 SEGMENT = re.compile(r" *[^ ]+| +")
 #: Segments that a task remembers; beyond it, it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 NEVER = np.int64(1) << 40
 
 
@@ -305,50 +306,74 @@ class Encoder:
         return out
 
 
-def _slices(sizes: list[int], most: int) -> Iterator[slice]:
-    """Consecutive rows of together about ``most`` characters."""
-    start = total = 0
-    for i, n in enumerate(sizes):
-        if total and total + n > most:
-            yield slice(start, i)
-            start, total = i, 0
-        total += n
-    if start < len(sizes):
-        yield slice(start, len(sizes))
+def _parts(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows whose values of ``column`` have together about ``most`` bytes, or elements."""
+    values = batch.column(column)
+    length = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
+    size = np.cumsum(pc.fill_null(length, 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        base = size[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(size, base + most, "right")))
+        yield batch.slice(start, end - start)
+        start = end
 
 
-def encode(text: Column, model: bytes, chars_a_round: int = 4_000_000) -> Column:
-    """array<int>: the ids of each whole text, an end id last; a null text counts as empty.
+def _with_column(docs: DataFrame, source: str, to: str, kind: T.DataType, most: int, start) -> DataFrame:
+    """``docs`` with ``to`` computed from ``source`` by the function that ``start()`` returns, part by part."""
+    kept = [f for f in docs.schema.fields if f.name.lower() != to.lower() or f.name == source]
+    hidden = "__made" if to == source else to
+    schema = T.StructType([*kept, T.StructField(hidden, kind)])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = start()
+        for batch in batches:
+            for part in _parts(batch, source, most):
+                yield pa.RecordBatch.from_arrays([*part.columns, make(part.column(source))], names=[f.name for f in schema.fields])
+
+    out = docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(rows, schema)
+    return out.drop(source).withColumnRenamed(hidden, to) if to == source else out
+
+
+def encode(docs: DataFrame, model: bytes, text: str = "text", to: str = "ids", bytes_a_round: int = 1_000_000) -> DataFrame:
+    """``docs`` with array<int> ``to``: the ids of each whole text, an end id last; a null text counts as empty.
 
     Equal to the sentencepiece library's ids for BPE models with byte fallback and identity
-    normalisation. Every distinct segment of a round of texts is encoded once. Memory is bounded by
-    ``chars_a_round``, the longest text and ``REMEMBERED`` segments. A column expression, so rows
-    and other columns, of whatever names, stay as they are.
+    normalisation. Every distinct segment is encoded once a task, as long as it is remembered.
+    Memory is bounded by ``bytes_a_round``, the longest text and ``REMEMBERED`` segments. Rows and
+    other columns stay as they are; a column named ``to`` is replaced.
     """
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType(), False))
-    def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def start():
         encoder = Encoder(model)
-        for batch in batches:
-            texts = batch.fillna("").tolist()
-            out = []
-            for part in _slices([len(t) for t in texts], chars_a_round):
-                out += encoder.batch(texts[part])
-            yield pd.Series(out, dtype=object)
 
-    return ids_of(text)
+        def make(texts: pa.Array) -> pa.Array:
+            out = encoder.batch(pc.fill_null(texts, "").to_pylist())
+            ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out)))
 
+        return make
 
-def decode(ids: Column, model: bytes) -> Column:
-    """The text of each array of ids; null for null, empty for none."""
+    return _with_column(docs, text, to, T.ArrayType(T.IntegerType()), bytes_a_round, start)
 
-    @F.pandas_udf(T.StringType())
-    def text_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+
+def decode(docs: DataFrame, model: bytes, ids: str = "ids", to: str = "decoded", ids_a_round: int = 500_000) -> DataFrame:
+    """``docs`` with string ``to``: the text of each array of ids; null for null, empty for none."""
+
+    def start():
         codec = Codec(model)
-        for batch in batches:
-            yield pd.Series([None if x is None else codec.decode(np.asarray(x, np.int64)) for x in batch], dtype=object)
 
-    return text_of(ids)
+        def make(rows: pa.Array) -> pa.Array:
+            flat = rows.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes)
+            present = rows.is_valid().to_pylist()
+            texts = [codec.decode(flat[e - n : e]) if ok else None for e, n, ok in zip(ends, sizes, present, strict=True)]
+            return pa.array(texts, pa.string())
+
+        return make
+
+    return _with_column(docs, ids, to, T.StringType(), ids_a_round, start)
 
 
 def model_bytes(path: str) -> bytes:
