@@ -71,3 +71,31 @@ def words_of(text: Column) -> Column:
 def id_remainder(modulus: int, name: str = "doc_id") -> Column:
     """crc32 of the id written as text, modulo ``modulus``; the folds are defined by it."""
     return F.crc32(F.col(name).cast("string").cast("binary")) % modulus
+
+
+def hash_sample(rows: DataFrame, key: str, most: int, seed: int) -> DataFrame:
+    """``rows``, or where they are more than ``most``, about 95 % of ``most`` of them chosen by the hash of ``key``.
+
+    A filter, so no task and not the driver sorts or gathers the rows; the same keys are chosen in
+    every run.
+    """
+    n = rows.count()
+    if n <= most:
+        return rows
+    return rows.filter(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) < int(0.95 * most / n * (1 << 30)))
+
+
+def most_frequent(rows: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows with the largest ``count``, ``most`` at most: those above a bound that a histogram gives.
+
+    Counts fall in sixteen bins an octave, about a thousand in all, and only those come to the
+    driver. Rows of the bin at the bound are left out together, so nothing depends on ties.
+    """
+    bin_ = F.floor(F.log2(F.col(count).cast("double")) * 16).cast("int")
+    total, bound = 0, None
+    for b, n in sorted(rows.groupBy(bin_.alias("bin")).agg(F.count("*")).collect(), reverse=True):
+        total += n
+        if total > most:
+            break
+        bound = b
+    return rows.filter(bin_ >= bound) if bound is not None else rows.limit(0)

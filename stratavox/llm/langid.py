@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, materialise, most_frequent
 
 #: Longest to shortest character n-grams that an unseen word falls back to.
 GRAMS = (5, 4, 3, 2, 1)
@@ -76,14 +76,14 @@ def fit(docs: DataFrame, per_language: int = 5_000, max_words: int = 200_000, le
     """Learn from the rows of ``docs`` (doc_id, text, lang) with a language and a text.
 
     The fit uses a bounded sample, about ``per_language`` documents of each language chosen by the
-    hash of the id. Words (lower case) are counted by language in Spark; the ``max_words`` most
-    frequent with ``least`` occurrences or more become known words, all of them come to the driver
+    hash of the id. Words (lower case) are counted by language in Spark; the most frequent with
+    ``least`` occurrences or more, ``max_words`` at most, become known words and come to the driver
     with their counts, and their characters feed the n-gram table. No labelled row gives a model
     that answers ``und`` to everything.
     """
     rows = sample(docs, per_language).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word"))
     counts = rows.groupBy("lang", "word").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    top = counts.orderBy(F.desc("n"), "word", "lang").limit(max_words).toPandas()
+    top = most_frequent(materialise(counts, "language_words"), "n", max_words).toPandas()
     languages = sorted(top["lang"].unique())
     if not languages:
         return Model([], [], np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))

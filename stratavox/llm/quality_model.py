@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialise, text_or_empty, words_of
+from .common import hash_sample, let, materialise, text_or_empty, words_of
 
 #: Statistics of a text that rules may test; all are 0 for an empty text.
 STATISTICS = (
@@ -164,13 +164,13 @@ def fit_ensemble(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3,
 
 
 def fit(stats: DataFrame, marks: DataFrame, max_rows: int = 20_000) -> RuleEnsemble:
-    """Fit on at most ``max_rows`` labelled rows, chosen by the hash of the id.
+    """Fit on about ``max_rows`` labelled rows at most, chosen by the hash of the id.
 
     ``stats`` as from ``statistics``; ``marks`` has doc_id and quality (0 or 1; null is no label).
     """
     good = marks.filter(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    ids = good.orderBy(F.xxhash64(F.lit(3), F.col("doc_id")), "doc_id").limit(max_rows)
-    # At most max_rows rows of two numbers.
+    ids = hash_sample(good, "doc_id", max_rows, 3)
+    # About max_rows rows of two numbers at most.
     rows = stats.join(F.broadcast(ids), "doc_id").select("doc_id", "quality", *STATISTICS).limit(2 * max_rows).toPandas()
     rows = rows.sort_values(["doc_id", *STATISTICS])
     return fit_ensemble(rows[list(STATISTICS)].to_numpy(float), rows["quality"].to_numpy(float))

@@ -7,7 +7,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, text_or_empty, words_of
+from .common import hash_sample, let, text_or_empty, words_of
 
 #: Buckets that word unigrams and bigrams are hashed to.
 BUCKETS = 10_000
@@ -62,9 +62,8 @@ def _features(hashes: Column) -> Column:
 
 
 def trusted_ids(marks: DataFrame, max_trusted: int = 20_000) -> DataFrame:
-    """At most ``max_trusted`` ids that are marked as good, chosen by the hash of the id."""
-    good = marks.filter(F.col("quality") == 1).select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
+    """About ``max_trusted`` ids at most that are marked as good, chosen by the hash of the id."""
+    return hash_sample(marks.filter(F.col("quality") == 1).select("doc_id").distinct(), "doc_id", max_trusted, 5)
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
