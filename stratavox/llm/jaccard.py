@@ -234,13 +234,13 @@ def _linked(measured: DataFrame, percent: int) -> DataFrame:
 def _groups(members: DataFrame) -> DataFrame:
     """g, x: pivots with the sets of their regions, such that the sets of each region share a pivot.
 
-    A set's hub is the pivot that it shares the most populous regions with. Where all sets of a
+    A set's hub is the pivot that it shares the most regions with. Where all sets of a
     region have one hub, that hub stands for the region's own pivot; all other regions keep theirs.
     So a large group of near copies is held by one pivot instead of one for each region.
     """
     own = members.unionByName(members.select("region", "a", F.col("a").alias("b")).distinct())
-    degree = members.groupBy("a").agg(F.count("*").alias("degree"))
-    hubs = own.select("a", "b").distinct().join(degree, "a").groupBy("b").agg(F.max(F.struct("degree", "a"))["a"].alias("hub"))
+    shared = own.groupBy("a", "b").agg(F.count("*").alias("n"))
+    hubs = shared.groupBy("b").agg(F.max(F.struct("n", "a"))["a"].alias("hub"))
     hubs = materialise(hubs, "hubs")
     held = own.join(hubs, "b").groupBy("region").agg(F.min("hub").alias("lo"), F.max("hub").alias("hi"))
     apart = own.join(held.filter("lo <> hi").select("region"), "region", "left_semi").select(F.col("a").alias("g"), F.col("b").alias("x"))
