@@ -20,6 +20,8 @@ GRAMS = (5, 4, 3, 2, 1)
 SLOT_BITS, BACKOFF = 19, 0.9
 SLOTS = 1 << SLOT_BITS
 UNDETERMINED = "und"
+#: Words whose n-grams are counted, or scored, at once.
+FIT_WORDS = 10_000
 
 
 @dataclass
@@ -95,11 +97,14 @@ def fit(docs: DataFrame, per_language: int = 5_000, max_words: int = 200_000, le
     total = table.sum(0)
     word_scores = np.log((table + 0.5) / (total + 0.5 * len(words)))
     grams = np.zeros((SLOTS, len(languages)))
-    owner, _, slots = _gram_slots(words)
-    for n in GRAMS:
-        ok = slots[n] >= 0
-        for j in range(len(languages)):
-            grams[:, j] += np.bincount(slots[n][ok], np.sqrt(table[owner[ok], j]), SLOTS)
+    # Word by word in parts: their characters take ten times the memory of the words.
+    for start in range(0, len(words), FIT_WORDS):
+        owner, _, slots = _gram_slots(words[start : start + FIT_WORDS])
+        part = np.sqrt(table[start : start + FIT_WORDS])
+        for n in GRAMS:
+            ok = slots[n] >= 0
+            for j in range(len(languages)):
+                grams[:, j] += np.bincount(slots[n][ok], part[owner[ok], j], SLOTS)
     seen = grams.sum(1) > 0
     mass = grams.sum(0)
     scores = np.where(seen[:, None], np.log((grams + 0.1) / (mass + 0.1 * seen.sum())), np.nan)
@@ -114,8 +119,8 @@ def word_table(model: Model, words: pa.Array) -> np.ndarray:
     out[known] = model.word_scores[pc.drop_null(at).to_numpy()]
     unseen = pc.filter(words, pa.array(~known)).to_pylist()
     places = np.flatnonzero(~known)
-    for start in range(0, len(unseen), 50_000):
-        part = unseen[start : start + 50_000]
+    for start in range(0, len(unseen), FIT_WORDS):
+        part = unseen[start : start + FIT_WORDS]
         owner, left, slots = _gram_slots(part)
         score = np.tile(model.floor - BACKOFF * len(GRAMS), (len(owner), 1))
         open_ = np.ones(len(owner), bool)
@@ -128,7 +133,7 @@ def word_table(model: Model, words: pa.Array) -> np.ndarray:
         sums = np.stack([np.bincount(owner, score[:, j], len(part)) for j in range(score.shape[1])], 1)
         sizes = np.bincount(owner, minlength=len(part))
         # An unseen word counts as one word: the mean over its places.
-        out[places[start : start + 50_000]] = sums / sizes[:, None]
+        out[places[start : start + FIT_WORDS]] = sums / sizes[:, None]
     return out
 
 
