@@ -434,10 +434,15 @@ def trilinear_zoom(spark, sf_dir):
     return mesh.trilinear(standin.volume(spark, sf_dir).filter("z < 8"), (8, 8, 8), (5, 5, 5))
 
 
+@query()
+def volume_zoom(spark, sf_dir):
+    n = standin.depth(spark, sf_dir)
+    return mesh.trilinear(standin.volume(spark, sf_dir), (n, 8, 8), (mesh.zoom_size(n, 0.625), 5, 5))
+
+
 @query()
 def marching_cubes(spark, sf_dir):
-    n = min(32, standin.depth(spark, sf_dir))
-    vertices, triangles = mesh.indexed(mesh.marching_cubes(standin.volume(spark, sf_dir).filter(F.col("z") < n), (n, 8, 8), 127.5))
+    vertices, triangles = mesh.indexed(mesh.marching_cubes(standin.volume(spark, sf_dir), (standin.depth(spark, sf_dir), 8, 8), 127.5))
     return mesh.triangle_normals(vertices, triangles)
 
 

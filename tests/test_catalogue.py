@@ -1,9 +1,11 @@
 """Every catalogue query against its SQL on the same tables."""
 
 import duckdb
+import numpy as np
 import pytest
 
-from stratavox.plans import catalogue
+from stratavox.operators import mesh
+from stratavox.plans import catalogue, standin
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -44,3 +46,31 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     assert "props" not in plan
     plan = catalogue.QUERIES["trilinear_zoom"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "LessThan(vec_id,8)" in plan
+
+
+@pytest.fixture(scope="module")
+def dense(spark, sf_dir):
+    a = np.zeros((standin.depth(spark, sf_dir), 8, 8), np.int64)
+    for r in standin.volume(spark, sf_dir).collect():
+        a[r["z"], r["y"], r["x"]] = r["v"]
+    return a
+
+
+def test_marching_cubes_takes_every_slice(spark, sf_dir, dense):
+    keys = mesh.march(dense, 127.5)[0]
+    got = catalogue.QUERIES["marching_cubes"](spark, sf_dir).select("a", "b", "c").collect()
+    assert len(dense) > 32 and sorted(map(tuple, got)) == sorted(map(tuple, keys.tolist()))
+
+
+def test_volume_zoom_takes_every_slice(spark, sf_dir, dense):
+    n = len(dense)
+    out = (int(np.floor(n * 0.625 + 0.5)), 5, 5)
+    value = dense.astype(float)
+    for axis, m in enumerate(out):
+        at = np.arange(m) * ((dense.shape[axis] - 1) / (m - 1))
+        low = np.minimum(at.astype(int), dense.shape[axis] - 2)
+        f = (at - low).reshape([-1 if k == axis else 1 for k in range(3)])
+        value = value.take(low, axis) * (1 - f) + value.take(low + 1, axis) * f
+    want = np.floor(np.round(value, 9) + 0.5).astype(int)
+    got = {(r["z"], r["y"], r["x"]): r["v"] for r in catalogue.QUERIES["volume_zoom"](spark, sf_dir).collect()}
+    assert got == {tuple(map(int, i)): int(v) for i, v in np.ndenumerate(want)}
