@@ -54,19 +54,38 @@ def _parts(batch: pa.RecordBatch, chars: int = 12_000_000) -> Iterator[pa.Record
         start = end
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word, n over all texts of ``docs``; the empty word counts their ends."""
+def _stream(part: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words and last the empty one, the number of each token with one end a text, and the token before it.
+
+    Before the first token of a text stands the empty word, as after its last.
+    """
+    words, codes, owner = tokenised(part.column("text"))
+    stream = np.full(len(codes) + part.num_rows, len(words), np.int64)
+    stream[np.arange(len(codes)) + owner] = codes
+    return pa.concat_arrays([words.cast(pa.string()), pa.array([""])]), stream, np.concatenate([[len(words)], stream[:-1]])
+
+
+def _pair_keys(prev: np.ndarray, after: np.ndarray) -> np.ndarray:
+    return _hash(_hash(prev.view(np.uint64)) + after.view(np.uint64))
+
+
+def _keys(words: list[str]) -> np.ndarray:
+    return pd.util.hash_array(np.array(words, object), categorize=False).view(np.int64)
+
+
+def pair_counts(docs: DataFrame) -> DataFrame:
+    """prev, next (a hash of the word), n: the tokens over all texts of ``docs`` after the word before them."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _parts(batch):
-                words, codes, _ = tokenised(part.column("text"))
-                n = np.bincount(codes, minlength=len(words))
-                words, n = pa.concat_arrays([words.cast(pa.string()), pa.array([""])]), np.append(n, part.num_rows)
-                yield pa.RecordBatch.from_arrays([words, pa.array(n.astype(np.int64))], names=["word", "n"])
+                words, stream, prev = _stream(part)
+                pair, n = np.unique(prev * len(words) + stream, return_counts=True)
+                keys = _keys(words.to_pylist())[pair % len(words)]
+                yield pa.RecordBatch.from_arrays([words.take(pa.array(pair // len(words))), pa.array(keys), pa.array(n.astype(np.int64))], names=["prev", "next", "n"])
 
     plain = docs.select(F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(rows, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return plain.mapInArrow(rows, "prev string, next long, n long").groupBy("prev", "next").agg(F.sum("n").alias("n"))
 
 
 def _hash(x: np.ndarray) -> np.ndarray:
@@ -258,24 +277,40 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     bytes, predicted by contexts of 0 to 4 bytes and of the word so far in hashed tables; the
     stretched predictions are mixed by weights that the bit's place chooses, both learnt online
     (predict, then update, each bit predicted without its own occurrence), and refined by an
-    adaptive probability map. While scoring nothing moves, so a score depends on its text alone and
-    each distinct word of a batch is coded once. ``score`` is the log10 probability of the tokens.
-
-    Tables, weights and map have fixed sizes. The word counts live in a shared table; the
-    ``COMMON`` most frequent go to all tasks, and the rest are joined to the rare words of each
-    text. Null texts count as empty ones: one token, the end. Repeated rows count each; extra
+    adaptive probability map. That probability q of a token is mixed with the counts of the running
+    text: after a word met n times with t different successors, a token has the probability
+    (n(word, token) + t q) / (n + t). While scoring nothing moves, so a score depends on its text
+    alone and the bits of each distinct word of a batch are coded once. ``score`` is the log10
+    probability of the tokens.
+
+    The bit tables, weights and map have fixed sizes. The counts of words and of pairs live in
+    shared tables that grow with the texts; the ``COMMON`` most frequent of each go to all tasks,
+    and the rest are joined to the rare words and pairs of each text. Null texts count as empty ones: one token, the end. Repeated rows count each; extra
     columns are ignored; with no training rows all counts are 0.
     """
-    words = materialise(word_counts(training), "word_counts")
+    pairs = materialise(pair_counts(training), "pair_counts")
+    # Every token but the end stands before one other, and the end stands for the start.
+    words = materialise(pairs.groupBy(F.col("prev").alias("word")).agg(F.sum("n").alias("n"), F.count("*").alias("t")), "word_counts")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # The end of a text is always among them, as the rare words are those that stand in the text.
     ends = words.filter(F.col("word") == "")
-    top = ends.unionByName(most_frequent(words.filter(F.col("word") != ""), "n", COMMON - 1)).toPandas()
+    listed = ends.unionByName(most_frequent(words.filter(F.col("word") != ""), "n", COMMON - 1))
+    top = listed.toPandas()
+    # The weight of a pair against q: n(word, token) / t. Frequent words meet most pairs, so they are not shuffled.
+    near = pairs.join(F.broadcast(listed.select(F.col("word").alias("prev"), F.col("t"))), "prev", "left")
+    far = near.filter(F.col("t").isNull()).drop("t").join(words.select(F.col("word").alias("prev"), "t"), "prev")
+    weighed = near.filter(F.col("t").isNotNull()).unionByName(far).select("prev", "next", "n", (F.col("n") / F.col("t")).cast("float").alias("weight"))
+    weighed = materialise(weighed, "pair_weights")
+    best = most_frequent(weighed, "n", COMMON).toPandas()
+    best_keys = _pair_keys(_keys(best["prev"].tolist()), best["next"].to_numpy(np.int64))
+    order = np.argsort(best_keys)
+    best_keys, best_weights = best_keys[order], best["weight"].to_numpy(float)[order]
     counts = gather_counts(words)
     mixer = learn_mixer(words, counts)
     stretched = _stretch(counts[0], counts[1]).astype(np.float16)
     common = pa.array(top["word"].tolist(), pa.string())
     logs = np.log10(top["n"].to_numpy(float) + 1)
+    gates = np.log2((top["n"] + top["t"]).to_numpy(float) / top["t"].to_numpy(float))
     offset = float(np.log10(total + distinct + 1))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,12 +327,34 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
         cost = np.concatenate([mixer.bits_of(listed[i : i + 40_000], table) for i in range(0, len(listed), 40_000)] or [np.zeros(0)])
         end_cost = mixer.bits_of([""], table)[0]
         bits = np.bincount(owner, cost[codes], n) + end_cost
+        # Pairs by text, each once with its number of occurrences: frequent ones at once, the others to be joined.
+        all_words, stream, prev = _stream(part)
+        m, text = len(all_words), np.repeat(np.arange(n), np.bincount(owner, minlength=n) + 1)
+        pair, number = np.unique(prev * m + stream, return_inverse=True)
+        items, repeats = np.unique(text * np.int64(len(pair)) + number, return_counts=True)
+        of, pair_of = items // max(1, len(pair)), items % max(1, len(pair))
+        before, after = pair // m, pair % m
+        word_keys = _keys(all_words.to_pylist())
+        sought = _pair_keys(word_keys[before], word_keys[after])
+        place = np.minimum(np.searchsorted(best_keys, sought), max(0, len(best_keys) - 1))
+        listed_pair = best_keys[place] == sought if len(best_keys) else np.zeros(len(pair), bool)
+        weight = np.where(listed_pair, best_weights[place] if len(best_keys) else 0.0, 0.0)
+        pair_bits = np.append(cost, end_cost)[after]
+        bits -= np.bincount(of, repeats * np.log2(1 + weight * np.exp2(pair_bits))[pair_of], n)
+        left = ~listed_pair[pair_of]
+        own, repeats, of = pair_of[left], repeats[left], of[left]
+        columns = [all_words.take(pa.array(before[own])), pa.array(word_keys[after[own]]), pa.array(repeats.astype(np.int32)), pa.array(pair_bits[own].astype(np.float32))]
+        pair_items = pa.StructArray.from_arrays(columns, names=["prev", "next", "times", "bits"])
+        pair_lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32)), pair_items)
         size = np.fromiter((len(w.encode()) + 1 for w in listed), np.int64, len(listed))
         n_bytes = np.bincount(owner, size[codes], n) + 1
         at = pc.index_in(pa.concat_arrays([distinct_words, pa.array([""])]), value_set=common)
         known = at.is_valid().to_numpy(zero_copy_only=False)
         own_log = np.zeros(len(known))
         own_log[known] = logs[pc.drop_null(at).to_numpy()]
+        gate = np.zeros(len(known))
+        gate[known] = gates[pc.drop_null(at).to_numpy()]
+        bits += np.bincount(owner, gate[codes], n) + gate[-1]
         n_tokens = np.bincount(owner, minlength=n) + 1
         n_common = np.bincount(owner, known[codes], n) + known[-1]
         sums = np.bincount(owner, own_log[codes], n) + own_log[-1]
@@ -307,22 +364,26 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
         ends = np.searchsorted(key // len(known), np.arange(n), "right")
         items = pa.StructArray.from_arrays([distinct_words.take(pa.array(key % len(known))), pa.array(times.astype(np.int32))], names=["word", "times"])
         offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-        columns = [part.column("doc_id"), pa.array(n_tokens.astype(np.int64)), pa.array(n_common.astype(np.int64)), pa.array(sums), pa.array(bits), pa.array(n_bytes.astype(np.int64)), pa.ListArray.from_arrays(offsets, items)]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_common", "sums", "bits", "n_bytes", "rare"])
+        columns = [part.column("doc_id"), pa.array(n_tokens.astype(np.int64)), pa.array(n_common.astype(np.int64)), pa.array(sums), pa.array(bits), pa.array(n_bytes.astype(np.int64)), pa.ListArray.from_arrays(offsets, items), pair_lists]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_common", "sums", "bits", "n_bytes", "rare", "pairs"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_tokens long, n_common long, sums double, bits double, n_bytes long, rare array<struct<word:string,times:int>>"
+    schema = "doc_id long, n_tokens long, n_common long, sums double, bits double, n_bytes long, rare array<struct<word:string,times:int>>, pairs array<struct<prev:string,next:long,times:int,bits:float>>"
     found = materialise(plain.mapInArrow(rows, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = found.select("row", F.inline("rare")).join(words, "word").groupBy("row")
-    rare = rare.agg(F.sum("times").alias("rare_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rare_sums"))
-    out = found.drop("rare").join(rare, "row", "left")
+    opened = F.col("times") * F.log2((F.col("n") + F.col("t")) / F.col("t"))
+    rare = rare.agg(F.sum("times").alias("rare_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rare_sums"), F.sum(opened).alias("rare_gates"))
+    met = found.select("row", F.inline("pairs")).join(weighed, ["prev", "next"])
+    met = met.groupBy("row").agg(F.sum(F.col("times") * F.log2(1 + F.col("weight") * F.pow(F.lit(2.0), F.col("bits")))).alias("pair_gain"))
+    out = found.drop("rare", "pairs").join(rare, "row", "left").join(met, "row", "left")
     none = lambda c: F.coalesce(F.col(c), F.lit(0))
+    bits = F.col("bits") + none("rare_gates") - none("pair_gain")
     return out.select(
         "doc_id",
         "n_tokens",
         (F.col("n_common") + none("rare_known")).cast("long").alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("sums") + none("rare_sums") - F.col("n_tokens") * F.lit(offset)).alias("base_score"),
-        (F.col("bits") * F.lit(-float(np.log10(2)))).alias("score"),
-        (F.col("bits") / F.col("n_bytes")).alias("bits_per_byte"),
+        (bits * F.lit(-float(np.log10(2)))).alias("score"),
+        (bits / F.col("n_bytes")).alias("bits_per_byte"),
     )

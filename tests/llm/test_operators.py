@@ -331,6 +331,27 @@ def test_learning_beats_no_learning(spark):
     assert learnt < 2.5 < 7 < blank
 
 
+def test_order_of_words_counts(spark, monkeypatch):
+    rng = random.Random(3)
+    follow = {w: rng.sample([f"w{i}" for i in range(40)], 3) for w in [f"w{i}" for i in range(40)]}
+    texts = []
+    for _ in range(120):
+        text = [rng.choice(list(follow))]
+        while len(text) < 60:
+            text.append(rng.choice(follow[text[-1]]))
+        texts.append(text)
+    shuffled = [rng.sample(t, len(t)) for t in texts[:30]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts + shuffled)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    train, asked = df.filter("doc_id between 30 and 119"), df.filter("doc_id < 30 or doc_id >= 120")
+    got = {r["doc_id"]: (r["score"], r["base_score"]) for r in lm.score(asked, train).collect()}
+    for i in range(30):
+        assert math.isclose(got[i][1], got[120 + i][1]) and got[i][0] > got[120 + i][0] + 10
+    monkeypatch.setattr(lm, "COMMON", 3)
+    again = {r["doc_id"]: r["score"] for r in lm.score(asked, train).collect()}
+    assert all(math.isclose(again[i], got[i][0], rel_tol=1e-4) for i in got)
+
+
 def test_lm_on_nothing(empty):
     assert lm.score(empty, empty).isEmpty()
 
