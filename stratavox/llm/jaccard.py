@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Sizes are dealt to levels whose bounds grow by this factor.
+#: Sizes are dealt to levels whose bounds grow by this factor, or by 100 / percent where that is more.
 LADDER = 1.4
 #: Classes beyond those that the differences of a pair can reach.
 SPARE = 3
@@ -77,8 +77,9 @@ class Regions:
     def __init__(self, percent: int):
         self.percent = percent
         lower = [1]
+        # Sizes of linked sets lie at most one level apart: the next level but one starts beyond the reach of this one.
         while lower[-1] < 1 << 40:
-            lower.append(max(lower[-1] + 1, int(lower[-1] * LADDER)))
+            lower.append(max(int(lower[-1] * LADDER), lower[-1] * 100 // percent + 1) if 100 > LADDER * percent else max(lower[-1] + 1, int(lower[-1] * LADDER)))
         self.lower = np.array(lower, np.int64)
         largest = (self.lower[1:] - 1).astype(float)
         reach = np.floor(largest * 100 / percent + 1e-9)
@@ -161,7 +162,7 @@ def describe(docs: DataFrame, percent: int, width: int) -> DataFrame:
 
 
 def _slot(column: str) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS)).cast("int")
+    return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(1 << FILTER_BITS)).cast("int")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:

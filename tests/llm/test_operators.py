@@ -365,6 +365,13 @@ def test_components(docs, data, percent, width):
     assert got == Counter(corpus.components([(r[0], r[1]) for r in data], percent, width))
 
 
+@pytest.mark.parametrize("percent, small, large", [(70, 80, 114), (50, 60, 120), (90, 60, 62)])
+def test_sizes_far_apart_and_short_ids(spark, percent, small, large):
+    rows = [(1, " ".join(f"w{i}" for i in range(large))), (2, " ".join(f"w{i}" for i in range(small)))]
+    got = jaccard.link(spark.createDataFrame(rows, "doc_id int, text string"), percent, 1)
+    assert sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == [(1, 1), (2, 1)]
+
+
 @pytest.mark.parametrize("seed, percent, edits", [(1, 90, 3), (2, 80, 4), (3, 90, 5), (4, 70, 6)])
 def test_near_the_threshold(spark, seed, percent, edits):
     """Copies of a few texts with edits that lie on both sides of the threshold, so groups stay split."""
