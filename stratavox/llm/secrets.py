@@ -13,8 +13,11 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 #: Runs of 16 and of 32 characters and more are those of the open patterns that pass the length rule.
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-#: Maximal runs of at least 16 token characters with a digit, or a capital after a small letter.
-TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{16})(?=[A-Za-z0-9+/_-]*?(?:[0-9]|[a-z][A-Z]))[A-Za-z0-9+/_-]++={0,2}"
+#: Shortest token, and maximal runs of at least that many token characters.
+LEAST = 16
+TOKEN = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST},}}+={{0,2}}"
+#: Runs that mix the signs of two encodings; their parts between slashes are tokens of their own.
+MIXED = r"^(?=.*[+/])(?=.*[_-])"
 KINDS = ("assign", "access", "hex", "random")
 
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -23,9 +26,12 @@ ENCODINGS = (
     ("hex", r"^(?=.*[0-9])(?=.*[a-fA-F])(?:[0-9a-f]+|[0-9A-F]+)$", DIGITS + "abcdef", 0.10),
     ("base32", r"^(?=.*[2-7])[A-Z2-7]+={0,2}$", UPPER + "234567", 0.065),
     ("base36", r"^(?=.*[0-9])(?:[a-z0-9]+|[A-Z0-9]+)$", DIGITS + LOWER, 0.065),
+    ("upper", r"^[A-Z]+={0,2}$", UPPER, 0.065),
+    ("lower", r"^[a-z]+={0,2}$", LOWER, 0.065),
     ("base62", r"^(?=.*[A-Za-z])[A-Za-z0-9]+$", UPPER + LOWER + DIGITS, 0.065),
     ("base64", r"^(?=.*[A-Za-z])[A-Za-z0-9+/]+={0,2}$", UPPER + LOWER + DIGITS + "+/", 0.065),
     ("base64url", r"^(?=.*[A-Za-z])[A-Za-z0-9_-]+={0,2}$", UPPER + LOWER + DIGITS + "-_", 0.065),
+    ("mixed", r"", UPPER + LOWER + DIGITS + "+/-_", 0.065),
 )
 #: Text-like tokens change between letters of one case, digits and signs at this rate.
 SWITCH_RATE = 0.2
@@ -91,7 +97,8 @@ def _battery(token: Column, alphabet: Column, collision: Column) -> Column:
     Against uniform randomness: chi-squared of the alphabet's counts (upper side), runs above and
     below the alphabet's middle, lag-1 serial correlation of the symbols' values; the squares of
     their deviates are summed. Against text-like tokens: the same counts as collisions (lower side)
-    and runs of character classes, combined by Fisher's rule. A short token cannot reach a small
+    and runs of character classes, combined by Fisher's rule; tokens of one case have no such runs,
+    so for them collisions alone count. A short token cannot reach a small
     p_text, so its length limits what may be concluded from it.
     """
 
@@ -118,13 +125,23 @@ def _battery(token: Column, alphabet: Column, collision: Column) -> Column:
         p_same = _upper_tail((mean - x["same"]) / spread)
         p_switch = _upper_tail((x["switches"] - (n - 1) * SWITCH_RATE) / F.sqrt((n - 1) * SWITCH_RATE * (1 - SWITCH_RATE)))
         half = -F.log(p_same) - F.log(p_switch)
-        return F.struct(uniform.alias("p_uniform"), (F.exp(-half) * (1 + half)).alias("p_text"))
+        return F.struct(uniform.alias("p_uniform"), F.when(k == len(LOWER), p_same).otherwise(F.exp(-half) * (1 + half)).alias("p_text"))
 
     return let(F.array_remove(F.split(F.regexp_replace(token, "=+$", ""), ""), ""), of)
 
 
 def _judged(tokens: Column) -> Column:
-    """The candidates with encoding, p_uniform and p_text; those of no known encoding are left out."""
+    """The candidates with encoding, p_uniform and p_text; mixed runs by their parts."""
+
+    def parts(x: Column) -> Column:
+        def step(acc: Column, piece: Column) -> Column:
+            end = acc["at"] + F.length(piece)
+            one = F.array(F.struct(acc["at"].alias("start"), end.alias("end"), piece.alias("token")))
+            return F.struct((end + 1).alias("at"), F.when(F.length(piece) >= LEAST, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+        none = F.array().cast("array<struct<start:int,end:int,token:string>>")
+        cut = F.aggregate(F.split(x["token"], "/"), F.struct(x["start"].alias("at"), none.alias("out")), step)["out"]
+        return F.when(x["token"].rlike(MIXED), cut).otherwise(F.array(x))
 
     def of(x: Column) -> Column:
         kind = F.coalesce(*[F.when(x["token"].rlike(pattern), F.lit(name)) for name, pattern, _, _ in ENCODINGS])
@@ -135,7 +152,7 @@ def _judged(tokens: Column) -> Column:
         token = F.when(x["encoding"].isin("hex", "base36"), F.lower(x["token"])).otherwise(x["token"])
         return F.struct(*[x[c].alias(c) for c in ("start", "end", "encoding")], _battery(token, pick(2), pick(3)).alias("p"))
 
-    return F.transform(F.filter(F.transform(tokens, of), lambda x: x["encoding"].isNotNull()), tested)
+    return F.transform(F.transform(F.flatten(F.transform(tokens, parts)), of), tested)
 
 
 def _log_bin(p: Column) -> Column:
@@ -192,7 +209,8 @@ def scan(docs: DataFrame, rate: float = 0.01) -> DataFrame:
     """Per document: doc_id, n_assign, n_access, n_hex, base_spans, spans (arrays of start, kind, end).
 
     Base spans are those of the three patterns. The method adds spans of kind ``random``: maximal
-    runs of token characters whose battery does not reject uniform randomness in their inferred
+    runs of ``LEAST`` token characters and more (or, where a run mixes + or / with - or _, its parts
+    of that length between slashes) whose battery does not reject uniform randomness in their inferred
     encoding (``UNIFORM_LEVEL``) and whose p_text is a discovery at false-discovery ``rate`` among
     all tokens of the corpus. A random token that overlaps a base span is reported by that span
     alone. Spans are in code points, end exclusive, by start, then kind in the order of ``KINDS``.

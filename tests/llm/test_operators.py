@@ -68,6 +68,24 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert not any(found[i] for i in range(20, 60))
 
 
+def test_runs_of_one_case_and_mixed_runs_are_tested(spark):
+    rng = random.Random(4)
+    draw = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    lower, upper = secrets.LOWER, secrets.UPPER
+    both = lower + upper + secrets.DIGITS
+    paths = ["a-long-path/" + draw(both, 40) for _ in range(20)]
+    letters = ["key " + draw(a, 300) for a in (lower, upper) for _ in range(10)]
+    plain = ["internationalisation telecommunications state-of-the-art-things ---------------- and/or-either/or-neither 1234567890123456"] * 20
+    got = secrets.scan(spark.createDataFrame(list(enumerate(paths + letters + plain)), "doc_id long, text string")).collect()
+    found = {r["doc_id"]: [tuple(x) for x in r["spans"]] for r in got}
+    assert sum(found[i] == [(12, 3, 52)] for i in range(20)) >= 19
+    assert sum(found[i] == [(4, 3, 304)] for i in range(20, 40)) >= 19
+    assert not any(found[i] for i in range(40, 60))
+    tested = spark.createDataFrame([("abcdefghijklmnop ABCDEFGHIJKLMNOP 1234567890123456 ab+cd-efghijklmn/op",)], "text string")
+    names = tested.select(F.transform(secrets._found(F.col("text"))["tokens"], lambda x: x["encoding"]).alias("x")).first()["x"]
+    assert names == ["lower", "upper", "base36", "mixed"]
+
+
 def test_secret_edges(spark, docs, empty):
     assert secrets.scan(docs).count() == docs.count() and secrets.scan(empty).isEmpty()
     masked = secrets.mask(docs, F.col("text"), "masked").filter("doc_id = 110").first()["masked"]
