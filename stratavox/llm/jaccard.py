@@ -10,15 +10,18 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import materialise
 
 #: Sizes are dealt to levels whose bounds grow by this factor, or by 100 / percent where that is more.
-LADDER = 1.4
-#: Classes beyond those that the differences of a pair can reach.
-SPARE = 3
-#: Slots of the filter that keeps sets without a possible partner out of the second pass.
-FILTER_BITS = 22
+LADDER = 2
+#: Classes of a level, as a multiple of the fullest classes that its largest sets name.
+FINER = 1.5
+#: Slots (as powers of two) of the tables that keep sets and regions without a partner out of later passes.
+SET_BITS, REGION_BITS = 22, 26
+#: Further pivots that a region with several components is split by at once.
+PIVOTS = 3
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -66,12 +69,14 @@ class Regions:
 
     The metric is the symmetric difference |x - y| + |y - x|. Sets at Jaccard similarity t or more
     differ in at most (|x| + |y|) (1 - t) / (1 + t) shingles. Hashing the shingles to m classes
-    splits that distance into a sum over the classes, so with m beyond the bound some class holds
-    exactly the same shingles of both: x and y lie at distance 0 there. A region is a class with
-    its content. The empty set is the first pivot: |x| is the distance to it, levels are its shells,
-    and a set within reach of the shell below is replicated there (the triangle inequality on
-    sizes). With ``SPARE`` classes more than needed, empty classes need no region unless a set has
-    more empty ones than that.
+    splits that distance into a sum over the classes, so all but as many classes as the bound hold
+    exactly the same shingles of both: there x and y lie at distance 0. A region is a class with its
+    content. In one order of all regions, fullest first, the first ones of x and of y, one more than
+    the bound, must then have one in common; a set belongs to those only, which leaves out the
+    classes of few shingles that unlike sets share by chance.
+
+    The empty set is the first pivot: |x| is the distance to it, levels are its shells, and a set
+    within reach of the shell below is replicated there (the triangle inequality on sizes).
     """
 
     def __init__(self, percent: int):
@@ -79,26 +84,29 @@ class Regions:
         lower = [1]
         # Sizes of linked sets lie at most one level apart: the next level but one starts beyond the reach of this one.
         while lower[-1] < 1 << 40:
-            lower.append(max(int(lower[-1] * LADDER), lower[-1] * 100 // percent + 1) if 100 > LADDER * percent else max(lower[-1] + 1, int(lower[-1] * LADDER)))
+            lower.append(max(lower[-1] * LADDER, lower[-1] * 100 // percent + 1))
         self.lower = np.array(lower, np.int64)
-        largest = (self.lower[1:] - 1).astype(float)
-        reach = np.floor(largest * 100 / percent + 1e-9)
-        self.bound = np.floor((largest + reach) * (100 - percent) / (100 + percent) + 1e-9).astype(np.int64)
+        self.classes = np.floor(FINER * (100 - percent) / percent * (self.lower[1:] - 1) + 1e-9).astype(np.int64) + 1
+
+    def bound(self, sizes: np.ndarray, partner: np.ndarray) -> np.ndarray:
+        """Most shingles that sets of ``sizes`` can differ in from linked ones of ``partner`` shingles at most."""
+        return np.floor((sizes + partner) * (100 - self.percent) / (100 + self.percent) + 1e-9).astype(np.int64)
 
     def of(self, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Flat region keys (int64) and the ends of each set."""
+        """Flat region keys (int64) and the ends of each set. Sets that link with equal ones only have none."""
         n = np.diff(ends, prepend=0)
         level = np.searchsorted(self.lower, n, "right") - 1
-        below = np.floor((self.lower[np.maximum(level, 0)] - 1) * 100 / self.percent + 1e-9)
         keys, owners = [], []
         for shift in (0, 1):
             at = level - shift
-            use = (n > 0) & (at >= 0) & ((n <= below) if shift else True)
-            use &= self.bound[np.maximum(at, 0)] > 0
-            rows = np.flatnonzero(use)
+            top = self.lower[np.maximum(at, 0) + 1] - 1
+            partner = top if shift else np.floor(n * 100 / self.percent + 1e-9)
+            differ = self.bound(n, partner)
+            rows = np.flatnonzero((n > 0) & (at >= 0) & (differ > 0) & ((n * self.percent <= top * 100) if shift else True))
             if not len(rows):
                 continue
-            m = self.bound[at[rows]] + 1 + SPARE
+            m = np.maximum(self.classes[at[rows]], 1)
+            named = np.minimum(differ[rows] + 1, m)
             first = np.cumsum(m) - m
             sizes = n[rows]
             item = np.arange(sizes.sum()) + np.repeat(ends[rows] - sizes - (np.cumsum(sizes) - sizes), sizes)
@@ -108,10 +116,10 @@ class Regions:
             np.add.at(content, slot, _mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
             owner = np.repeat(np.arange(len(rows)), m)
             place = np.arange(m.sum()) - np.repeat(first, m)
-            empty = count == 0
-            many = np.bincount(owner, empty, len(rows)) > SPARE
-            keep = ~empty | many[owner]
             key = _mix(content + np.repeat(at[rows], m).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            # Set, fullness and 24 bits of the key in one number. What ties with the last one named is named too, so the order is one for all sets.
+            order = owner.astype(np.uint64) << np.uint64(32) | (np.uint64(255) - np.minimum(count, 255).astype(np.uint64)) << np.uint64(24) | key >> np.uint64(40)
+            keep = order <= np.sort(order)[first + named - 1][owner]
             keys.append(key[keep].view(np.int64))
             owners.append(rows[owner[keep]])
         key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
@@ -161,8 +169,23 @@ def describe(docs: DataFrame, percent: int, width: int) -> DataFrame:
     return plain.mapInArrow(rows, "doc_id long, n_shingles long, set_id long, regions array<long>")
 
 
-def _slot(column: str) -> Column:
-    return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(1 << FILTER_BITS)).cast("int")
+def _slot(column: str, bits: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(1 << bits)).cast("int")
+
+
+def _bit_table(rows: DataFrame, slot: Column, bits: int) -> np.ndarray:
+    """A bit for each of 2^bits slots, set where a row has it: a table of fixed size, made by partial bitmaps."""
+    at = (slot + 1).alias("at")
+    parts = rows.select(at).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    table = np.zeros((1 << bits) // 8, np.uint8)
+    for bucket, data in parts.collect():
+        own = np.frombuffer(bytes(data), np.uint8)
+        table[(bucket - 1) * 4096 : (bucket - 1) * 4096 + len(own)] = own[: len(table)]
+    return table
+
+
+def _has(table: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (table[slots >> 3] >> (slots & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -170,22 +193,44 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     A bit table of fixed size goes to the tasks and keeps nearly all other texts from being cut up.
     """
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    bits[[r[0] for r in wanted.select(_slot("doc_id")).distinct().toLocalIterator()]] = True
-    packed = np.packbits(bits)
+    table = _bit_table(wanted, _slot("doc_id", SET_BITS), SET_BITS)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_ = np.unpackbits(packed).astype(bool)
         for batch in batches:
-            batch = batch.filter(pa.array(open_[batch.column("slot").to_numpy()]))
+            batch = batch.filter(pa.array(_has(table, batch.column("slot").to_numpy())))
             for part in _parts(batch):
                 flat, ends = shingle_sets(part.column("text"), width)
                 yield pa.RecordBatch.from_arrays([pa.array(_set_ids(flat, ends)), _list_array(flat.view(np.int64), ends)], names=["set_id", "shingles"])
 
-    plain = docs.select(_slot("doc_id").alias("slot"), F.col("text").cast("string").alias("text")).filter("slot is not null")
+    plain = docs.select(_slot("doc_id", SET_BITS).alias("slot"), F.col("text").cast("string").alias("text")).filter("slot is not null")
     return plain.mapInArrow(rows, "set_id long, shingles array<long>")
 
 
+def shared_regions(described: DataFrame) -> DataFrame:
+    """g, x: the pivot of each region, its least set, with every set of the region, itself included.
+
+    Regions of one set are left out. Least and greatest set of a region are map-side aggregates;
+    the members come by an equi-join whose large partitions Spark splits. A bit table of fixed size
+    (``REGION_BITS``) spares most regions of one set that second shuffle.
+    """
+    keyed = described.select(F.explode("regions").alias("region"), "set_id")
+    pivots = keyed.groupBy("region").agg(F.min("set_id").alias("g"), F.max("set_id").alias("other")).filter("g < other").select("region", "g")
+    pivots = materialise(pivots, "region_pivots")
+    mask = (1 << REGION_BITS) - 1
+    table = _bit_table(pivots, F.col("region").bitwiseAND(F.lit(mask)).cast("int"), REGION_BITS)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("regions")
+            region = lists.flatten().to_numpy()
+            own = np.repeat(batch.column("set_id").to_numpy(), np.diff(lists.offsets.to_numpy()))
+            keep = _has(table, region & mask)
+            yield pa.RecordBatch.from_arrays([pa.array(region[keep]), pa.array(own[keep])], names=["region", "x"])
+
+    some = described.filter(F.size("regions") > 0).select("regions", "set_id").mapInArrow(rows, "region long, x long")
+    return materialise(some.join(pivots, "region").select("g", "x").distinct(), "groups")
+
+
 def _side_by_side(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs`` (a, b: set ids, and further columns) with the shingles of both (x, y). Equi-joins only."""
     some = sets.join(pairs.select(F.col("a").alias("set_id")).distinct(), "set_id", "left_semi")
@@ -229,76 +274,98 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _linked(measured: DataFrame, percent: int) -> DataFrame:
-    return measured.filter(F.col("common") * 100 >= F.col("union") * percent)
+    return measured.filter(F.col("common") * 100 >= F.col("union") * percent).select("a", "b")
 
 
-def _groups(members: DataFrame) -> DataFrame:
-    """g, x: pivots with the sets of their regions, such that the sets of each region share a pivot.
+def split_cells(cells: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The cells (cell, q, x, d, component) split by further pivots, and the links (a, b) met on the way.
 
-    A set's hub is the pivot that it shares the most regions with. Where all sets of a
-    region have one hub, that hub stands for the region's own pivot; all other regions keep theirs.
-    So a large group of near copies is held by one pivot instead of one for each region.
-    """
-    own = members.unionByName(members.select("region", "a", F.col("a").alias("b")).distinct())
-    shared = own.groupBy("a", "b").agg(F.count("*").alias("n"))
-    hubs = shared.groupBy("b").agg(F.max(F.struct("n", "a"))["a"].alias("hub"))
-    hubs = materialise(hubs, "hubs")
-    held = own.join(hubs, "b").groupBy("region").agg(F.min("hub").alias("lo"), F.max("hub").alias("hi"))
-    apart = own.join(held.filter("lo <> hi").select("region"), "region", "left_semi").select(F.col("a").alias("g"), F.col("b").alias("x"))
-    rows = hubs.select(F.col("hub").alias("g"), F.col("b").alias("x")).unionByName(apart)
-    return materialise(rows.distinct(), "groups")
-
-
-def _across(split: DataFrame, centre: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components within the groups that may still link, and none that is surely apart.
-
-    ``split``: g, x, component; ``centre``: g, q, the pivot that the group is seen from. For sets x
-    and y with differences E and F from q, the difference of x and y is that of E and F. So by the
-    triangle inequality they link at once if |E| + |F| is within the bound; they cannot link if |E|
-    and |F| differ by more than it; and otherwise E and F must have enough elements in common. The
-    elements of each E are put in order of their frequency in the group, rare ones first, and two
-    sets are compared only if the first elements of both, as many as their overlap may miss, meet.
+    Besides its pivot q, the nearest members of up to ``PIVOTS`` other components become pivots of a
+    cell. Every member belongs to the Voronoi cell of its nearest pivot, and is replicated to each
+    cell whose pivot is farther away by 2 (1 - t) at most: for x linked to y and p next to y,
+    d(x, p) <= d(x, y) + d(y, p) <= (1 - t) + d(y, p'), p' being next to x, and
+    d(y, p') <= (1 - t) + d(x, p'). So linked sets meet in a cell. Where one cell would keep all
+    members, the cell stays as it was.
     """
+    other = cells.groupBy("cell", "component").agg(F.min(F.struct("d", "x")).alias("m"), F.max(F.col("x") == F.col("q")).alias("own")).filter("not own")
+    nearest = F.slice(F.array_sort(F.collect_list(F.col("m"))), 1, PIVOTS)
+    # One row per component of a cell; only the first few stay.
+    few = other.withColumn("place", F.row_number().over(Window.partitionBy("cell").orderBy("m"))).filter(F.col("place") <= PIVOTS)
+    chosen = materialise(few.groupBy("cell").agg(nearest.alias("m")).select("cell", F.explode("m.x").alias("p")), "pivots")
+    pairs = cells.join(chosen, "cell").filter("x <> p").select("cell", "x", "p")
+    measured = materialise(_measured(pairs.select(F.col("p").alias("a"), F.col("x").alias("b")).distinct(), sets), "measured")
+    seen = pairs.join(measured.select(F.col("a").alias("p"), F.col("b").alias("x"), (1 - F.col("common") / F.col("union")).alias("d")), ["p", "x"])
+    seen = seen.unionByName(chosen.select("cell", F.col("p").alias("x"), "p", F.lit(0.0).alias("d"))).select("cell", F.col("p").alias("q"), "x", "d")
+    every = materialise(seen.unionByName(cells.select("cell", "q", "x", "d")), "distances")
+    home = every.groupBy("cell", "x").agg(F.min("d").alias("home"))
+    inside = every.join(home, ["cell", "x"]).filter(F.col("d") <= F.col("home") + F.lit(2 * (100 - percent) / 100 + 1e-9))
+    sizes = inside.groupBy("cell", "q").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max("n").alias("largest"))
+    whole = home.groupBy("cell").agg(F.count("*").alias("n")).join(sizes, "cell").filter("largest = n").select("cell")
+    parts = inside.join(whole, "cell", "left_anti").select(F.xxhash64("cell", "q").alias("cell"), "q", "x", "d")
+    kept = cells.select("cell", "q", "x", "d").join(whole, "cell", "left_semi")
+    return materialise(parts.unionByName(kept), "cells"), _linked(measured, percent)
+
+
+def _differences(split: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """g, id, component, n, near, r, k, u, e of the members of cells: how they differ from the cell's pivot."""
     t = percent / 100
     c = (1 - t) / (1 + t)
-    pairs = split.join(centre, "g").select("g", F.col("q").alias("a"), F.col("x").alias("b"), "component")
+    pairs = split.select(F.col("cell").alias("g"), F.col("q").alias("a"), F.col("x").alias("b"), "component")
     both = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
     near = (F.size(F.array_intersect("x", "y")) * 100 >= F.size(F.array_union("x", "y")) * percent).alias("near")
     seen = _side_by_side(pairs, sets).select("g", F.col("b").alias("id"), "component", F.size("y").alias("n"), near, both.alias("e"))
-    seen = materialise(seen.dropDuplicates(["g", "id"]).withColumn("r", F.size("e")).withColumn("k", F.floor(F.col("n") * (1 - t) / t + 1e-9)), "differences")
+    seen = seen.dropDuplicates(["g", "id"]).withColumn("r", F.size("e"))
+    return materialise(seen.withColumns({"k": F.floor(F.col("n") * (1 - t) / t + 1e-9), "u": F.col("r") - F.col("n") * c}), "differences")
+
+
+def _first_elements(seen: DataFrame, percent: int) -> DataFrame:
+    """The members once for each of their first elements: those in which a linked set must meet them.
+
+    For sets x and y with differences E and F from the pivot, the difference of x and y is that of
+    E and F, so |E| + |F| - 2 |E and F|. Where the two cannot link without common elements, E and F
+    must share some. The elements of each E are put in order of their frequency in the cell, rare
+    ones first; two sets link only if the first elements of both, as many as their overlap may
+    miss, meet.
+    """
+    t = percent / 100
+    c = (1 - t) / (1 + t)
     items = seen.select("g", "id", F.explode("e").alias("e"))
     often = items.groupBy("g", "e").agg(F.count("*").alias("often")).filter("often > 1")
     ordered = items.join(often, ["g", "e"]).groupBy("g", "id").agg(F.array_sort(F.collect_list(F.struct("often", "e"))).alias("order"))
-    # Elements that occur once in the group come first in the order and meet nothing.
-    overlap = F.greatest(F.lit(1), F.when(F.col("near"), F.ceil(F.col("r") * (1 - c) / 2)).otherwise(F.col("r") - F.col("k")))
+    # Elements that occur once in the cell come first in the order and meet nothing.
+    overlap = F.greatest(F.lit(1), F.when(F.col("near"), F.ceil(F.col("r") * (1 - c) / 2 - 1e-9)).otherwise(F.col("r") - F.col("k")))
     first = F.greatest(F.lit(0), (F.col("r") - overlap + 1) - (F.col("r") - F.size("order"))).cast("int")
     marked = seen.drop("e").join(ordered, ["g", "id"]).withColumn("first", first)
-    marked = marked.select("g", "id", "component", "near", "r", "k", "n", F.explode(F.slice("order", F.lit(1), F.col("first"))).alias("o")).withColumn("e", F.col("o.e")).drop("o")
-    marked = materialise(marked, "first_elements")
+    marked = marked.select("g", "id", "component", "near", "r", "k", "n", F.explode(F.slice("order", F.lit(1), F.col("first"))).alias("o"))
+    return materialise(marked.withColumn("e", F.col("o.e")).drop("o"), "first_elements")
+
+
+def _met(marked: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that meet in a first element, within the windows of the triangle inequality."""
     side = lambda rows, k: rows.select(*[c if c in ("g", "e") else F.col(c).alias(f"{c}{k}") for c in rows.columns])
     window = (F.abs(F.col("r1") - F.col("r2")) <= F.least("k1", "k2")) & (F.col("n1") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n1") * percent)
     other = (F.col("component1") != F.col("component2")) & (F.col("near2") | (F.col("id1") < F.col("id2")))
     met = side(marked.filter("not near"), 1).join(side(marked, 2), ["g", "e"]).filter(other & window)
-    # Far from q only because q is small, yet so near to a set next to q that nothing need be shared.
-    rim = seen.filter("not near and r <= k").drop("e")
-    close = seen.filter(F.col("r") <= F.col("k") - F.floor(F.col("n") * 2 * c * t)).drop("e")
-    sure = side(rim, 1).join(side(close, 2), "g").filter((F.col("component1") != F.col("component2")) & window & (F.col("r1") + F.col("r2") <= F.least("k1", "k2")))
-    return met.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).unionByName(sure.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"))).distinct()
+    return met.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
 
 
-def link(docs: DataFrame, percent: int = 80, width: int = 5, repivot: int = 4) -> DataFrame:
+def link(docs: DataFrame, percent: int = 80, width: int = 5, rounds: int = 2) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (least doc_id reachable by links, itself included).
 
     Two documents link when 100 * |x and y| >= ``percent`` * |x or y| for their sets of distinct
     ``width``-word shingles; every link between different sets counts, found exactly:
 
     1. Equal sets are one node. Sets are dealt to regions (see ``Regions``); linked sets share one.
-    2. Pivots stand for the regions (see ``_groups``), and every set is measured against its own.
-    3. Groups that hold several components go on, each seen from the member next to its pivot,
-       then from members that are still apart, while that finds links, ``repivot`` times at most.
-    4. Groups that are still split are joined within the windows of the triangle inequality around
-       their pivot (see ``_across``), and what is left is measured.
-    5. Components come from the links; a pair inside a component needs no comparison.
+       The least set of a region is its pivot, and all its sets are measured against it.
+    2. Regions that hold several components are split into Voronoi cells of further pivots, boundary
+       sets replicated by the triangle inequality, and their cells again, ``rounds`` times
+       (see ``split_cells``).
+    3. Cells that still hold several components are joined by how their sets differ from the pivot.
+       A set whose difference leaves room for that of the cell's best placed set links with it
+       (one such set speaks for all pairs that need no common difference). Sets with a difference in
+       common form regions once more, each with a pivot of its own, and what is then
+       still apart is compared pair by pair within the windows of the triangle inequality.
+    4. Components come from the links; a pair inside a component needs no comparison.
 
     Null and empty texts, and those without words, have no shingles and link with nothing. Repeated
     rows count each. A null doc_id keeps its row; it names no component. Extra columns are ignored;
@@ -306,61 +373,62 @@ def link(docs: DataFrame, percent: int = 80, width: int = 5, repivot: int = 4) -
     task, and no partner or candidate is left out.
     """
     described = materialise(describe(docs, percent, width), "sets")
-    keyed = described.filter("n_shingles > 0").select(F.explode("regions").alias("region"), "set_id")
-    pivots = keyed.groupBy("region").agg(F.min("set_id").alias("a"), F.max("set_id").alias("other")).filter("a < other").select("region", "a")
-    members = keyed.join(pivots.hint("shuffle_hash"), "region").filter("set_id <> a").select("region", "a", F.col("set_id").alias("b"))
-    groups = _groups(materialise(members.distinct(), "members"))
+    groups = shared_regions(described)
     wanted = described.join(groups.select(F.col("x").alias("set_id")).distinct(), "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     sets = materialise(sets_of(docs, wanted, width), "shingles")
-
     measured = materialise(_measured(groups.filter("g <> x").select(F.col("g").alias("a"), F.col("x").alias("b")), sets), "measured")
-    edges = materialise(measured.filter(F.col("common") * 100 >= F.col("union") * percent).select("a", "b"), "edges")
+    edges = materialise(_linked(measured, percent), "edges")
     found = components(edges)
 
     def named(rows: DataFrame, column: str) -> DataFrame:
         own = found.select(F.col("node").alias(column), F.col("component").alias("__c"))
         return rows.join(own, column, "left").withColumn("component", F.coalesce("__c", column)).drop("__c")
 
-    def split_groups() -> DataFrame:
-        rows = named(groups, "x")
-        several = rows.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("g")
-        return materialise(rows.join(several, "g", "left_semi"), "split")
+    def several(rows: DataFrame, *by: str) -> DataFrame:
+        """The rows of what holds more than one component."""
+        ends = rows.groupBy(*by).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select(*by)
+        return materialise(rows.join(ends, list(by), "left_semi"), "split")
+
+    def learn(links: DataFrame) -> bool:
+        nonlocal edges, found
+        links = materialise(links, "links")
+        if links.isEmpty():
+            return False
+        edges = materialise(edges.unionByName(links), "edges")
+        found = components(edges)
+        return True
 
-    def found_by(pairs: DataFrame) -> DataFrame:
-        rows = _measured(pairs, sets)
-        return materialise(rows.filter(F.col("common") * 100 >= F.col("union") * percent).select("a", "b"), "links")
+    def found_by(pairs: DataFrame) -> bool:
+        return learn(_linked(_measured(pairs.filter("a <> b").distinct(), sets), percent))
 
-    distance = measured.select(F.col("a").alias("g"), F.col("b").alias("x"), "r")
-    split = split_groups()
-    centre = used = None
-    for _ in range(repivot):
+    cells = measured.select(F.col("a").alias("cell"), F.col("a").alias("q"), F.col("b").alias("x"), (1 - F.col("common") / F.col("union")).alias("d"))
+    cells = cells.unionByName(groups.filter("g = x").select(F.col("g").alias("cell"), F.col("g").alias("q"), "x", F.lit(0.0).alias("d")))
+    split = several(named(cells, "x"), "cell")
+    for _ in range(rounds):
         if split.isEmpty():
             break
-        # The next pivot of a group: its member next to the first pivot, outside the components of earlier ones.
-        free = split.join(distance, ["g", "x"])
-        if used is not None:
-            free = free.join(used, ["g", "component"], "left_anti")
-        chosen = materialise(free.groupBy("g").agg(F.min(F.struct("r", "x", "component")).alias("m")).select("g", F.col("m.x").alias("q"), F.col("m.component").alias("q_component")), "pivots")
-        centre = chosen.select("g", "q") if centre is None else centre
-        pairs = split.join(chosen, "g").filter("component <> q_component").select(F.col("q").alias("a"), F.col("x").alias("b"))
-        more = found_by(pairs.distinct())
-        if more.isEmpty():
-            break
-        edges = materialise(edges.unionByName(more), "edges")
-        found = components(edges)
-        split = split_groups()
-        used = chosen.select("g", F.col("q").alias("x"))
-        used = named(used, "x").select("g", "component")
+        cells, links = split_cells(split, sets, percent)
+        learn(links)
+        split = several(named(cells, "x"), "cell")
     if not split.isEmpty():
-        every = split.select("g", F.col("g").alias("q")).distinct()
-        if centre is not None:
-            every = every.drop("q").join(centre, "g", "left").select("g", F.coalesce("q", "g").alias("q"))
-        last = found_by(_across(split, every, sets, percent))
-        if not last.isEmpty():
-            found = components(materialise(edges.unionByName(last), "edges"))
-
-    rows = described.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_id")).alias("set_id"))
-    rows = named(rows, "set_id")
-    names = rows.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("least_id"))
-    rows = rows.join(names, "component", "left")
-    return rows.select("doc_id", "n_shingles", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("least_id")), F.col("doc_id")).alias("component_id"))
+        seen = _differences(split, sets, percent)
+        best = seen.groupBy("g").agg(F.min(F.struct("u", "id")).alias("z")).select("g", F.col("z.id").alias("z"), F.col("z.u").alias("z_u"))
+        found_by(seen.join(best, "g").filter(F.col("u") + F.col("z_u") <= 1e-6).select(F.col("z").alias("a"), F.col("id").alias("b")))
+        marked = _first_elements(seen, percent)
+        for step in ("pivots", "pairs"):
+            marked = several(named(marked.drop("component"), "id"), "g", "e")
+            if marked.isEmpty():
+                break
+            if step == "pivots":
+                pivot = marked.groupBy("g", "e").agg(F.min(F.struct("r", "id"))["id"].alias("a"))
+                found_by(marked.join(pivot, ["g", "e"]).select("a", F.col("id").alias("b")))
+            else:
+                found_by(_met(marked, percent))
+
+    # Every set's least document, then every component's, then the documents by their sets.
+    own = described.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least_id"))
+    own = materialise(named(own, "set_id"), "set_names")
+    names = materialise(own.groupBy("component").agg(F.min("least_id").alias("name")), "component_names")
+    own = materialise(own.join(names, "component").select(F.col("set_id").alias("own_set"), "name"), "names")
+    rows = described.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_id")).alias("own_set")).join(own, "own_set", "left")
+    return rows.select("doc_id", "n_shingles", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("name")), F.col("doc_id")).alias("component_id"))

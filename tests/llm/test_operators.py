@@ -404,10 +404,56 @@ def test_near_the_threshold(spark, seed, percent, edits):
             w[k : k + rng.randint(0, 2)] = [rng.choice(vocab)] * rng.randint(0, 2)
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(tuple(r) for r in jaccard.link(df, percent, 3, repivot=rng.randint(0, 2)).collect())
+    got = sorted(tuple(r) for r in jaccard.link(df, percent, 3, rounds=rng.randint(0, 2)).collect())
     assert got == sorted(corpus.components(rows, percent, 3))
 
 
+@pytest.mark.parametrize("percent", [50, 70, 80, 90, 97])
+def test_linked_sets_share_a_region(percent):
+    import numpy as np
+
+    rng, regions, met = np.random.default_rng(percent), jaccard.Regions(percent), 0
+    for _ in range(1500):
+        n = int(rng.choice([3, 6, 12, 40, 130, 600]) * rng.uniform(1, 2))
+        common = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        out = rng.multinomial(int(n * (100 - percent) / percent), rng.dirichlet([1, 1, 1]))
+        x, y = (np.unique(np.concatenate([common, rng.integers(0, 1 << 63, k).astype(np.uint64)])) for k in out[:2])
+        if 100 * n < percent * (n + out[0] + out[1]) or not out[0] + out[1]:
+            continue
+        keys, ends = regions.of(np.concatenate([x, y]), np.array([len(x), len(x) + len(y)]))
+        assert set(keys[: ends[0]]) & set(keys[ends[0] :])
+        met += 1
+    assert met > 500
+
+
+def test_cells_keep_linked_sets_together(spark):
+    """Sets around several centres: split by windows, no link lost, and cells smaller than before."""
+    rng = random.Random(4)
+    rows, i = [], 0
+    for c in range(6):
+        base = [f"c{c}w{k}" for k in range(100)]
+        for _ in range(12):
+            rows.append((i, " ".join(w for w in base if rng.random() > 0.03)))
+            i += 1
+    data = {r[0]: corpus.shingles(r[1], 1) for r in rows}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = jaccard.sets_of(df, df, 1)
+    ids = {r["doc_id"]: r["set_id"] for r in jaccard.describe(df, 90, 1).collect()}
+    back = {v: k for k, v in ids.items()}
+    like = lambda a, b: len(data[a] & data[b]) / len(data[a] | data[b])
+    cells = spark.createDataFrame([(1, ids[0], ids[a], 1 - like(0, a), ids[a]) for a in data], "cell long, q long, x long, d double, component long")
+    parts, links = jaccard.split_cells(cells, sets, 90)
+    by = {}
+    for r in parts.collect():
+        by.setdefault(r["cell"], set()).add(back[r["x"]])
+    assert len(by) > 1 and max(map(len, by.values())) < len(data)
+    assert all(like(back[r["a"]], back[r["b"]]) >= 0.9 for r in links.collect())
+    for a in data:
+        for b in data:
+            if a < b and like(a, b) >= 0.9:
+                assert any({a, b} <= m for m in by.values())
+
+
 def test_chains_of_links(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["component"] for r in jaccard.components(edges).collect()}
