@@ -91,7 +91,7 @@ def case_table() -> tuple[np.ndarray, np.ndarray]:
                 loop.append(at)
                 at = step.pop(at)
             for i in range(1, len(loop) - 1):
-                flat += [loop[0], loop[i], loop[i + 1]]
+                flat += [loop[0], loop[i + 1], loop[i]]
         starts.append(len(flat) // 3)
     return np.array(flat, np.int64).reshape(-1, 3), np.array(starts, np.int64)
 

@@ -176,7 +176,8 @@ def otsu(hist: DataFrame) -> DataFrame:
     whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     c, b = F.col("cnt").cast("double"), F.col("bin").cast("double")
     rows = hist.select("bin", c.alias("c"), F.sum(c).over(w).alias("wb"), F.sum(b * c).over(w).alias("sb"), F.sum(c).over(whole).alias("total"), F.sum(b * c).over(whole).alias("st"))
-    rows = rows.withColumn("tv", F.sum(F.col("c") * F.pow(F.col("bin") - F.col("st") / F.col("total"), F.lit(2))).over(whole) * F.col("total"))
+    # An empty histogram has no mean.
+    rows = rows.filter("total > 0").withColumn("tv", F.sum(F.col("c") * F.pow(F.col("bin") - F.col("st") / F.col("total"), F.lit(2))).over(whole) * F.col("total"))
     rows = rows.filter("wb > 0 and total - wb > 0")
     between = F.col("wb") * (F.col("total") - F.col("wb")) * F.pow(F.col("sb") / F.col("wb") - (F.col("st") - F.col("sb")) / (F.col("total") - F.col("wb")), F.lit(2))
     rows = rows.withColumn("bv", between)

@@ -283,8 +283,9 @@ def roi_contains(spark, sf_dir):
     key = F.col("r_regionkey")
     rois = standin.table(spark, sf_dir, "region").select(key.alias("roi"), F.when(key < 4, key).alias("x1"), (key % 3).alias("y1"), (key + 3).alias("x2"), (key % 3 + 4).alias("y2"))
     inside = regions.contains(*[F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")])
-    # Regions of interest are set by hand: five rows of the smallest table.
-    return standin.volume(spark, sf_dir).join(F.broadcast(rois.limit(1000)), inside).groupBy("roi").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+    # A region asks for each of its columns, so that pixels and regions meet by an equi-join; an unset one asks for none.
+    rois = rois.select("*", F.explode(F.sequence("x1", "x2")).alias("x"))
+    return standin.volume(spark, sf_dir).join(rois, "x").filter(inside).groupBy("roi").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
 
 
 @query(f"""WITH {VOX} SELECT z, y, x, x * 4.0::DOUBLE AS down, x * 0.25::DOUBLE AS up, least(greatest(CAST(floor(z * 0.25::DOUBLE) AS BIGINT), 0), 9) AS other FROM vox""")
