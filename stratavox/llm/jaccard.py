@@ -277,32 +277,47 @@ def _linked(measured: DataFrame, percent: int) -> DataFrame:
     return measured.filter(F.col("common") * 100 >= F.col("union") * percent).select("a", "b")
 
 
+def open_members(cells: DataFrame, percent: int) -> DataFrame:
+    """The members of cells (cell, q, x, d, component) that may still link with one of another component there.
+
+    Linked sets lie within 1 - t of each other as seen from the cell's pivot. So cells are cut into
+    rings of that width around it, and what finds no second component in its own ring and the two
+    beside it is done, as are pairs with the pivot itself.
+    """
+    rings = cells.filter("x <> q").withColumn("ring", F.floor(F.col("d") * 100 / (100 - percent) + 1e-9))
+    ends = rings.groupBy("cell", "ring").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    beside = ends.select("cell", F.explode(F.array(*[F.col("ring") + k for k in (-1, 0, 1)])).alias("ring"), "lo", "hi")
+    beside = beside.groupBy("cell", "ring").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi").select("cell", "ring")
+    return materialise(rings.join(beside, ["cell", "ring"], "left_semi").drop("ring"), "open")
+
+
 def split_cells(cells: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """The cells (cell, q, x, d, component) split by further pivots, and the links (a, b) met on the way.
 
-    Besides its pivot q, the nearest members of up to ``PIVOTS`` other components become pivots of a
-    cell. Every member belongs to the Voronoi cell of its nearest pivot, and is replicated to each
-    cell whose pivot is farther away by 2 (1 - t) at most: for x linked to y and p next to y,
-    d(x, p) <= d(x, y) + d(y, p) <= (1 - t) + d(y, p'), p' being next to x, and
-    d(y, p') <= (1 - t) + d(x, p'). So linked sets meet in a cell. Where one cell would keep all
-    members, the cell stays as it was.
+    q is the pivot of a cell, already measured against all its members x. Of up to
+    ``PIVOTS`` components the least member becomes a pivot too (ids are hashes, so by chance). Every member belongs to the Voronoi cell of its
+    nearest pivot, and is replicated to each cell whose pivot is farther away by 2 (1 - t) at most:
+    for x linked to y, p' next to x and p next to y, d(x, p) <= d(x, y) + d(y, p) <= (1 - t) + d(y, p')
+    and d(y, p') <= (1 - t) + d(x, p'). So linked sets meet in a cell. Where one cell would keep all
+    members, the cell stays as it was. Pivots have been measured against all members of the cell, so
+    they are no members of its parts.
     """
-    other = cells.groupBy("cell", "component").agg(F.min(F.struct("d", "x")).alias("m"), F.max(F.col("x") == F.col("q")).alias("own")).filter("not own")
-    nearest = F.slice(F.array_sort(F.collect_list(F.col("m"))), 1, PIVOTS)
-    # One row per component of a cell; only the first few stay.
-    few = other.withColumn("place", F.row_number().over(Window.partitionBy("cell").orderBy("m"))).filter(F.col("place") <= PIVOTS)
-    chosen = materialise(few.groupBy("cell").agg(nearest.alias("m")).select("cell", F.explode("m.x").alias("p")), "pivots")
+    first = cells.groupBy("cell", "component").agg(F.min("x").alias("p"))
+    place = F.row_number().over(Window.partitionBy("cell").orderBy("p"))
+    chosen = materialise(first.withColumn("place", place).filter(F.col("place") <= PIVOTS).select("cell", "p"), "pivots")
     pairs = cells.join(chosen, "cell").filter("x <> p").select("cell", "x", "p")
     measured = materialise(_measured(pairs.select(F.col("p").alias("a"), F.col("x").alias("b")).distinct(), sets), "measured")
     seen = pairs.join(measured.select(F.col("a").alias("p"), F.col("b").alias("x"), (1 - F.col("common") / F.col("union")).alias("d")), ["p", "x"])
-    seen = seen.unionByName(chosen.select("cell", F.col("p").alias("x"), "p", F.lit(0.0).alias("d"))).select("cell", F.col("p").alias("q"), "x", "d")
-    every = materialise(seen.unionByName(cells.select("cell", "q", "x", "d")), "distances")
-    home = every.groupBy("cell", "x").agg(F.min("d").alias("home"))
-    inside = every.join(home, ["cell", "x"]).filter(F.col("d") <= F.col("home") + F.lit(2 * (100 - percent) / 100 + 1e-9))
-    sizes = inside.groupBy("cell", "q").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max("n").alias("largest"))
-    whole = home.groupBy("cell").agg(F.count("*").alias("n")).join(sizes, "cell").filter("largest = n").select("cell")
-    parts = inside.join(whole, "cell", "left_anti").select(F.xxhash64("cell", "q").alias("cell"), "q", "x", "d")
-    kept = cells.select("cell", "q", "x", "d").join(whole, "cell", "left_semi")
+    rest = cells.join(chosen.select("cell", F.col("p").alias("x")), ["cell", "x"], "left_anti").select("cell", "q", "x", "d")
+    every = seen.join(chosen.select("cell", F.col("p").alias("x")), ["cell", "x"], "left_anti").select("cell", F.col("p").alias("q"), "x", "d").unionByName(rest)
+    own = Window.partitionBy("cell", "x")
+    near = F.col("d") <= F.min("d").over(own) + F.lit(2 * (100 - percent) / 100 + 1e-9)
+    # The first pivot whose cell would keep all members is found by counts of the kept rows.
+    every = materialise(every.withColumn("inside", near), "distances")
+    counts = every.groupBy("cell", "q").agg(F.count("*").alias("members"), F.count_if("inside").alias("kept")).groupBy("cell").agg(F.max(F.col("kept") == F.col("members")).alias("whole"))
+    every = every.join(counts, "cell")
+    parts = every.filter("inside and not whole").select(F.xxhash64("cell", "q").alias("cell"), "q", "x", "d")
+    kept = rest.join(counts.filter("whole").select("cell"), "cell", "left_semi")
     return materialise(parts.unionByName(kept), "cells"), _linked(measured, percent)
 
 
@@ -357,10 +372,10 @@ def link(docs: DataFrame, percent: int = 80, width: int = 5, rounds: int = 2) ->
 
     1. Equal sets are one node. Sets are dealt to regions (see ``Regions``); linked sets share one.
        The least set of a region is its pivot, and all its sets are measured against it.
-    2. Regions that hold several components are split into Voronoi cells of further pivots, boundary
-       sets replicated by the triangle inequality, and their cells again, ``rounds`` times
-       (see ``split_cells``).
-    3. Cells that still hold several components are joined by how their sets differ from the pivot.
+    2. Of regions that hold several components, the sets that may still link with another one (see
+       ``open_members``) are split into Voronoi cells of further pivots, boundary sets replicated
+       by the triangle inequality, and these cells again, ``rounds`` times (see ``split_cells``).
+    3. Cells that are still open are joined by how their sets differ from the pivot.
        A set whose difference leaves room for that of the cell's best placed set links with it
        (one such set speaks for all pairs that need no common difference). Sets with a difference in
        common form regions once more, each with a pivot of its own, and what is then
@@ -384,46 +399,39 @@ def link(docs: DataFrame, percent: int = 80, width: int = 5, rounds: int = 2) ->
         own = found.select(F.col("node").alias(column), F.col("component").alias("__c"))
         return rows.join(own, column, "left").withColumn("component", F.coalesce("__c", column)).drop("__c")
 
-    def several(rows: DataFrame, *by: str) -> DataFrame:
-        """The rows of what holds more than one component."""
-        ends = rows.groupBy(*by).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select(*by)
-        return materialise(rows.join(ends, list(by), "left_semi"), "split")
-
-    def learn(links: DataFrame) -> bool:
-        nonlocal edges, found
-        links = materialise(links, "links")
-        if links.isEmpty():
-            return False
-        edges = materialise(edges.unionByName(links), "edges")
-        found = components(edges)
-        return True
-
-    def found_by(pairs: DataFrame) -> bool:
-        return learn(_linked(_measured(pairs.filter("a <> b").distinct(), sets), percent))
+    def learn(links: DataFrame) -> None:
+        """Join the components that ``links`` (a, b) connect."""
+        nonlocal found
+        ends = named(named(links, "a").withColumnRenamed("component", "c"), "b").filter("c <> component")
+        cross = materialise(ends.select(F.col("c").alias("a"), F.col("component").alias("b")).distinct(), "cross")
+        if cross.isEmpty():
+            return
+        joined = components(cross).select(F.col("node").alias("component"), F.col("component").alias("root"))
+        alone = joined.join(found.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("root").alias("component"))
+        known = found.join(joined, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+        found = materialise(known.unionByName(alone), "components")
 
     cells = measured.select(F.col("a").alias("cell"), F.col("a").alias("q"), F.col("b").alias("x"), (1 - F.col("common") / F.col("union")).alias("d"))
-    cells = cells.unionByName(groups.filter("g = x").select(F.col("g").alias("cell"), F.col("g").alias("q"), "x", F.lit(0.0).alias("d")))
-    split = several(named(cells, "x"), "cell")
+    split = open_members(named(cells, "x"), percent)
     for _ in range(rounds):
         if split.isEmpty():
             break
         cells, links = split_cells(split, sets, percent)
         learn(links)
-        split = several(named(cells, "x"), "cell")
+        split = open_members(named(cells, "x"), percent)
     if not split.isEmpty():
         seen = _differences(split, sets, percent)
         best = seen.groupBy("g").agg(F.min(F.struct("u", "id")).alias("z")).select("g", F.col("z.id").alias("z"), F.col("z.u").alias("z_u"))
-        found_by(seen.join(best, "g").filter(F.col("u") + F.col("z_u") <= 1e-6).select(F.col("z").alias("a"), F.col("id").alias("b")))
+        sure = seen.join(best, "g").filter((F.col("u") + F.col("z_u") <= 1e-6) & (F.col("id") != F.col("z"))).select(F.col("z").alias("a"), F.col("id").alias("b"))
         marked = _first_elements(seen, percent)
-        for step in ("pivots", "pairs"):
-            marked = several(named(marked.drop("component"), "id"), "g", "e")
-            if marked.isEmpty():
-                break
-            if step == "pivots":
-                pivot = marked.groupBy("g", "e").agg(F.min(F.struct("r", "id"))["id"].alias("a"))
-                found_by(marked.join(pivot, ["g", "e"]).select("a", F.col("id").alias("b")))
-            else:
-                found_by(_met(marked, percent))
+        pivot = marked.groupBy("g", "e").agg(F.min(F.struct("r", "id"))["id"].alias("a"))
+        stars = marked.join(pivot, ["g", "e"]).filter("id <> a").select("a", F.col("id").alias("b"))
+        learn(_linked(_measured(sure.unionByName(stars).distinct(), sets), percent))
+        marked = named(marked.drop("component"), "id")
+        several = marked.groupBy("g", "e").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("g", "e")
+        marked = materialise(marked.join(several, ["g", "e"], "left_semi"), "apart")
+        if not marked.isEmpty():
+            learn(_linked(_measured(_met(marked, percent), sets), percent))
 
     # Every set's least document, then every component's, then the documents by their sets.
     own = described.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least_id"))
