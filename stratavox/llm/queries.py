@@ -38,7 +38,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = token_counts.count_tokens(documents(spark, sf_dir), TOKENIZER, shared_path(spark, "token_cache"))
+    counted = token_counts.count_in_batches(documents(spark, sf_dir), TOKENIZER, shared_path(spark, "token_cache"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 

@@ -89,21 +89,35 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str) -> DataF
     folder). Of the digests that it lacks, one document each is picked by its id; only those texts
     are shuffled and encoded, and their counts appended. Counts then go back to all documents by
     digest. A third of all rows may share one digest: picking is a map-side aggregate, and the
-    join back is a plain equi-join, whose large partitions Spark splits. Null texts count as empty
-    ones; null ids and repeated rows keep their rows; extra columns are ignored.
+    join back is a plain equi-join of two tables, whose large partitions Spark splits. Null texts
+    count as empty ones; null ids and repeated rows keep their rows; an empty table gives none;
+    extra columns are ignored.
     """
     spark = docs.sparkSession
     tokenizer = tokenizer_digest(tokenizer_path)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key")
     text = text_or_empty()
     keyed = materialise(docs.select("doc_id", key, content_digest(text).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes")), "digests")
-    misses = keyed.groupBy("digest").agg(F.min("key").alias("pick")).join(read_cache(spark, cache_path, tokenizer), "digest", "left_anti")
-    texts = docs.select(key, text.alias("text")).join(misses.hint("shuffle_hash"), F.col("key") == F.col("pick"))
-    # Rows that repeat an id with another text belong to another digest.
-    texts = texts.filter(content_digest(F.col("text")) == F.col("digest"))
+    misses = keyed.groupBy("digest").agg(F.min("key").alias("key")).join(read_cache(spark, cache_path, tokenizer), "digest", "left_anti")
+    # Id and digest together: rows of one id, or of none, meet only the miss of their own text.
+    texts = docs.select(key, text.alias("text"), content_digest(text).alias("digest")).join(misses.hint("shuffle_hash"), ["key", "digest"])
     fresh = texts.select("digest", F.lit(tokenizer).alias("tokenizer"), count_column(F.col("text"), tokenizer_path).alias("n_tokens"))
-    # Repeated rows of one id and text have passed both joins; the cache gets one row.
+    # Repeated rows of one id and text have passed the join; the cache gets one row.
     fresh = fresh.groupBy("digest", "tokenizer").agg(F.max("n_tokens").alias("n_tokens"))
     fresh.write.mode("append").parquet(cache_path)
-    counts = read_cache(spark, cache_path, tokenizer)
+    counts = materialise(read_cache(spark, cache_path, tokenizer), "counts")
     return keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
+
+
+def count_in_batches(docs: DataFrame, tokenizer_path: str, cache_path: str, batches: int = 2) -> DataFrame:
+    """``count_tokens`` over ``docs`` in batches, one after the other over one cache, as a growing corpus is counted.
+
+    Documents are dealt to batches by the hash of their ids, null ids to one of them; a copy in a
+    later batch finds the count that an earlier one has stored. Every row is in one batch.
+    """
+    batch = F.pmod(F.xxhash64(F.lit(3), F.col("doc_id")), F.lit(batches))
+    counted = [materialise(count_tokens(docs.filter(batch == k), tokenizer_path, cache_path), "batch") for k in range(batches)]
+    out = counted[0]
+    for more in counted[1:]:
+        out = out.unionByName(more)
+    return out

@@ -253,6 +253,25 @@ def test_counts_with_the_other_library(spark, docs, data, tmp_path):
     assert all(r["n_tokens"] == want[r["doc_id"]] for r in got)
 
 
+def test_null_and_repeated_ids_meet_their_own_misses(spark, processor, tmp_path):
+    rows = [(None, f"text number {i}") for i in range(60)] + [(7, "one"), (7, "two words"), (7, "one"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter((i, len((t or "").encode()), len(processor.encode(t or ""))) for i, t in rows)
+    got = token_counts.count_tokens(df, MODEL, f"file://{tmp_path}/a")
+    assert Counter(map(tuple, got.collect())) == want
+    assert spark.read.parquet(f"file://{tmp_path}/a").count() == len({t or "" for _, t in rows})
+    assert Counter(map(tuple, token_counts.count_in_batches(df, MODEL, f"file://{tmp_path}/b", 3).collect())) == want
+
+
+def test_later_batches_hit_the_cache(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(i, f"text {i % 5}") for i in range(40)], "doc_id long, text string")
+    seen = []
+    one = token_counts.count_tokens
+    monkeypatch.setattr(token_counts, "count_tokens", lambda d, m, c: (out := one(d, m, c), seen.append(spark.read.parquet(c).count()))[0])
+    assert token_counts.count_in_batches(df, MODEL, f"file://{tmp_path}/c").count() == 40
+    assert seen == [5, 5]
+
+
 def test_no_documents_to_count(empty, tmp_path):
     assert token_counts.count_tokens(empty, MODEL, f"file://{tmp_path}/c").isEmpty()
 
@@ -441,17 +460,18 @@ def test_cells_keep_linked_sets_together(spark):
     ids = {r["doc_id"]: r["set_id"] for r in jaccard.describe(df, 90, 1).collect()}
     back = {v: k for k, v in ids.items()}
     like = lambda a, b: len(data[a] & data[b]) / len(data[a] | data[b])
-    cells = spark.createDataFrame([(1, ids[0], ids[a], 1 - like(0, a), ids[a]) for a in data], "cell long, q long, x long, d double, component long")
+    cells = spark.createDataFrame([(1, ids[0], ids[a], 1 - like(0, a), ids[a]) for a in data if a], "cell long, q long, x long, d double, component long")
     parts, links = jaccard.split_cells(cells, sets, 90)
     by = {}
     for r in parts.collect():
         by.setdefault(r["cell"], set()).add(back[r["x"]])
     assert len(by) > 1 and max(map(len, by.values())) < len(data)
-    assert all(like(back[r["a"]], back[r["b"]]) >= 0.9 for r in links.collect())
+    found = {frozenset((back[r["a"]], back[r["b"]])) for r in links.collect()}
+    assert all(like(*pair) >= 0.9 for pair in found)
     for a in data:
         for b in data:
-            if a < b and like(a, b) >= 0.9:
-                assert any({a, b} <= m for m in by.values())
+            if 0 < a < b and like(a, b) >= 0.9:
+                assert {a, b} in found or any({a, b} <= m for m in by.values())
 
 
 def test_chains_of_links(spark):
@@ -521,6 +541,39 @@ def test_water_filling(spark, seed):
     assert all(math.isclose(got[s], want[s], rel_tol=1e-9, abs_tol=1e-6) for s in sizes)
 
 
+@pytest.mark.parametrize(
+    "sizes",
+    [
+        {"a": 100, "b": 200, "c": 300},  # in proportion to the weights: all tie
+        {"a": 100, "b": 200, "c": 900},
+        {"a": 50, "b": 50, "c": 50, "d": 50},
+        {"a": 1, "b": 40, "c": 79},  # a is clamped, b and c tie
+        {"a": 20, "b": 40, "c": 300},  # caps of a and b lie exactly at the level
+        {"a": 0, "b": 0, None: 0},
+        {"a": 7},
+    ],
+)
+def test_water_filling_with_ties(spark, sizes):
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r["source"]: r["target"] for r in mixing.water_fill(df).collect()}
+    want = water(sizes) if any(sizes.values()) else dict.fromkeys(sizes, 0.0)
+    assert all(math.isclose(got[s], want[s], rel_tol=1e-9, abs_tol=1e-9) and 0 <= got[s] <= 3 * sizes[s] for s in sizes)
+    assert math.isclose(sum(got.values()), sum(sizes.values()), abs_tol=1e-9)
+
+
+@pytest.mark.parametrize("ids", [lambda i: i, lambda i: None, lambda i: 5])
+@pytest.mark.parametrize("text", [lambda i: f"w{i} " * (3 + i % 5), lambda i: "same words here"])
+def test_null_and_repeated_ids_come_near_the_target(spark, monkeypatch, ids, text):
+    monkeypatch.setattr(mixing, "FEW", 4)
+    rows = [(ids(i), text(i), f"s{min(i // 10, 2)}") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sizes(df)
+    assert sorted(map(str, got.collect())) == sorted(map(str, mixing.mix_sizes(df.repartition(5)).collect()))
+    sums = got.groupBy("source_size", "target").agg(F.sum("taken").alias("taken"), F.max("size").alias("most")).collect()
+    assert sums and all(abs(r["taken"] / (2 if r["source_size"] < 100 and len(sums) < 3 else 1) - r["target"]) <= r["most"] for r in sums)
+    assert mixing.mix_documents(df).count() == got.agg(F.sum("repeats")).first()[0]
+
+
 def test_mix(docs, data):
     got = mixing.mix_sizes(docs).collect()
     again = mixing.mix_sizes(docs.repartition(7)).collect()
