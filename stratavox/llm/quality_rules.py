@@ -7,13 +7,15 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, let, text_or_empty, words_of
+from .common import let, text_or_empty, words_of
 
 #: Buckets that word unigrams and bigrams are hashed to.
 BUCKETS = 10_000
 WINDOW = 5
 #: N-grams of the raw corpus that the target's counts are smoothed with.
 PRIOR = 1_000.0
+#: Ids of trusted documents, of eight bytes each, that may be broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 
 
 def _covered_words(words: Column, n_words: Column) -> Column:
@@ -61,21 +63,23 @@ def _features(hashes: Column) -> Column:
     return F.concat(one, F.array_compact(two))
 
 
-def trusted_ids(marks: DataFrame, max_trusted: int = 20_000) -> DataFrame:
-    """About ``max_trusted`` ids at most that are marked as good, chosen by the hash of the id."""
-    return hash_sample(marks.filter(F.col("quality") == 1).select("doc_id").distinct(), "doc_id", max_trusted, 5)
+def trusted_ids(marks: DataFrame) -> DataFrame:
+    """All ids that are marked as good, each once."""
+    return marks.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
     """log p_target / p_raw of each bucket; the target is smoothed by ``PRIOR`` n-grams of the raw corpus.
 
-    The raw multinomial counts every n-gram of every document; the target counts those of the
-    trusted documents, whose ids are at most ``max_trusted`` and so are broadcast. Counts meet as
-    partial sums over ``BUCKETS`` keys; that many rows come to the driver.
+    The raw multinomial counts every n-gram of every document; the target counts those of all
+    trusted documents. Their ids are counted first: up to ``MOST_BROADCAST`` go to all tasks, so that
+    no text moves, and more than that are joined by id. Counts meet as partial sums over
+    ``BUCKETS`` keys; that many rows come to the driver.
     """
-    ids = trusted.select(F.col("doc_id").alias("__trusted"))
-    # Ids are at most max_trusted of eight bytes each.
-    marked = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("__trusted"), "left")
+    ids = trusted.select(F.col("doc_id").alias("__trusted")).distinct()
+    if ids.count() <= MOST_BROADCAST:
+        ids = F.broadcast(ids)
+    marked = docs.select("doc_id", text_or_empty().alias("text")).join(ids, F.col("doc_id") == F.col("__trusted"), "left")
     features = let(F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)), _features)
     grams = marked.select(F.explode(features).alias("bucket"), F.col("__trusted").isNotNull().cast("long").alias("target"))
     rows = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("target").alias("target")).collect()
@@ -100,13 +104,13 @@ def _score(hashes: Column, ratios: Column) -> Column:
 def apply_rules(docs: DataFrame, trusted: DataFrame, threshold: float = -0.07) -> DataFrame:
     """Per document: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept.
 
-    ``trusted`` has the ids (doc_id) of the target documents, a bounded set (see ``trusted_ids``).
+    ``trusted`` has the ids (doc_id) of the target documents (see ``trusted_ids``).
     ``score`` is the mean log-likelihood ratio of a text's hashed uni- and bigrams between the
     trusted target and the raw corpus; ``kept`` is false where the heuristics fail, and else whether
     the score reaches ``threshold``. Nothing is drawn at random: equal texts are treated alike.
     Null texts count as empty ones: all figures 0, base_failed, not kept. Repeated rows count each.
-    Without trusted documents all ratios are 0. Extra columns are
-    ignored. Every row stays a row; no text is cut.
+    Without trusted documents all ratios are 0. A score equal to the threshold keeps. An empty table
+    gives no rows. Extra columns are ignored. Every row stays a row; no text is cut.
     """
     ratios = log_ratios(docs, trusted)
     # The list is folded into one array literal when the plan is optimised.
