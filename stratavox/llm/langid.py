@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, most_frequent
+from .common import WORD, materialise
 
 #: Longest to shortest character n-grams that an unseen word falls back to.
 GRAMS = (5, 4, 3, 2, 1)
@@ -28,8 +28,8 @@ FIT_WORDS = 10_000
 class Model:
     """languages: names; words: known words, sorted; word_scores and gram_scores: log frequencies by language.
 
-    gram_scores has ``SLOTS`` rows for hashed n-grams and is NaN where no n-gram was seen. All
-    sizes are bounded by the parameters of ``fit``.
+    gram_scores has ``SLOTS`` rows for hashed n-grams and is NaN where no n-gram was seen. The
+    words are those of the bounded sample that ``fit`` takes.
     """
 
     languages: list[str]
@@ -65,27 +65,28 @@ def _gram_slots(words: list[str]) -> tuple[np.ndarray, np.ndarray, dict[int, np.
 
 
 def sample(docs: DataFrame, per_language: int) -> DataFrame:
-    """Training rows thinned to about ``per_language`` of each language by the hash of the id."""
+    """Training rows thinned to about ``per_language`` of each language by the hash of id and text."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return known
     part = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["count"]))])
-    return known.filter(F.pmod(F.xxhash64(F.lit(9), F.col("doc_id")), F.lit(1 << 20)) < F.element_at(part, F.col("lang")) * (1 << 20))
+    return known.filter(F.pmod(F.xxhash64(F.lit(9), F.col("doc_id"), F.col("text")), F.lit(1 << 20)) < F.element_at(part, F.col("lang")) * (1 << 20))
 
 
-def fit(docs: DataFrame, per_language: int = 5_000, max_words: int = 200_000, least: int = 2) -> Model:
+def fit(docs: DataFrame, per_language: int = 5_000) -> Model:
     """Learn from the rows of ``docs`` (doc_id, text, lang) with a language and a text.
 
-    The fit uses a bounded sample, about ``per_language`` documents of each language chosen by the
-    hash of the id. Words (lower case) are counted by language in Spark; the most frequent with
-    ``least`` occurrences or more, ``max_words`` at most, become known words and come to the driver
-    with their counts, and their characters feed the n-gram table. No labelled row gives a model
-    that answers ``und`` to everything.
+    The fit uses a bounded sample of labelled rows, about ``per_language`` documents of each
+    language chosen by the hash of id and text; languages with fewer keep all. Their words (lower
+    case) are counted by language in Spark; every one of them becomes a known word and comes to the
+    driver with its counts, and their characters feed the n-gram table. So each language that has a
+    labelled word is learnt, however rare its words are. Rows of null texts or languages are left
+    out; repeated rows count each, if they are in the sample; no labelled word gives a model that
+    answers ``und`` to everything.
     """
     rows = sample(docs, per_language).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word"))
-    counts = rows.groupBy("lang", "word").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    top = most_frequent(materialise(counts, "language_words"), "n", max_words).toPandas()
+    top = materialise(rows.groupBy("lang", "word").agg(F.count("*").alias("n")), "language_words").toPandas()
     languages = sorted(top["lang"].unique())
     if not languages:
         return Model([], [], np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))

@@ -216,6 +216,29 @@ def test_ratio_tells_target_from_junk(spark):
     assert all(got[i] for i in range(80)) and not any(got[i] for i in range(80, 100))
 
 
+def test_scores_by_brute_force(spark, docs, data, monkeypatch):
+    """Counts of hashed n-grams and mean log ratios, whether the trusted ids are broadcast or joined."""
+    trusted = docs.filter("doc_id % 2 = 1").select("doc_id")
+    got = {(r["doc_id"], r["n_words"], round(r["score"], 4)) for r in quality_rules.apply_rules(docs, trusted).collect()}
+    vocab = sorted({w for r in data for w in corpus.words(r[1])})
+    frame = spark.createDataFrame([(w,) for w in vocab], "w string").select("w", F.xxhash64("w").alias("h"))
+    h = {r["w"]: r["h"] for r in frame.collect()}
+    pairs = sorted({(h[a], h[b]) for r in data for a, b in zip(corpus.words(r[1]), corpus.words(r[1])[1:], strict=False)})
+    pair = {(r["a"], r["b"]): r["p"] for r in spark.createDataFrame(pairs, "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("p")).collect()}
+    grams = lambda t: [h[w] % quality_rules.BUCKETS for w in corpus.words(t)] + [pair[h[a], h[b]] % quality_rules.BUCKETS for a, b in zip(corpus.words(t), corpus.words(t)[1:], strict=False)]
+    raw, target = Counter(), Counter()
+    for r in data:
+        raw.update(grams(r[1]))
+        target.update(grams(r[1]) if r[0] % 2 else [])
+    n, m = sum(raw.values()), sum(target.values())
+    ratio = {b: math.log((target[b] / (raw[b] / n) + quality_rules.PRIOR) / (m + quality_rules.PRIOR)) for b in raw}
+    score = lambda t: sum(ratio[g] for g in grams(t)) / len(grams(t)) if grams(t) else 0.0
+    want = {(r[0], len(corpus.words(r[1])), score(r[1])) for r in data}
+    assert all(any(a[:2] == b[:2] and abs(a[2] - b[2]) < 2e-4 for b in got) for a in want) and len(got) == len({(a, b, round(c, 4)) for a, b, c in want})
+    monkeypatch.setattr(quality_rules, "MOST_BROADCAST", 0)
+    assert {(r["doc_id"], r["n_words"], round(r["score"], 4)) for r in quality_rules.apply_rules(docs, trusted).collect()} == got
+
+
 def test_quality_rules_on_nothing(spark, empty):
     assert quality_rules.apply_rules(empty, spark.createDataFrame([], "doc_id long")).isEmpty()
 
@@ -507,6 +530,37 @@ def test_unseen_words_back_off(spark):
     assert [r["p"]["lang_pred"] for r in unseen.select(langid.predict(F.col("text"), model).alias("p")).collect()] == ["de", "en"]
 
 
+def test_rare_languages_and_ties(spark):
+    """Every learnt language can be answered, und only to texts without letters; ties go to the first name."""
+    rows = [(1, "unum duo tria", "la"), (2, "eins zwei drei", "de"), (None, "alpha", "el"), (4, None, "xx"), (5, "1 2 3", "fr")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["de", "el", "fr", "la"]
+    asked = [("tria unum",), ("zwei",), ("alpha",), ("qqq xyz",), ("12 34",), ("",), (None,)]
+    got = [r["p"] for r in spark.createDataFrame(asked, "text string").coalesce(1).select(langid.predict(F.col("text"), model).alias("p")).collect()]
+    assert [r["lang_pred"] for r in got[:3]] == ["la", "de", "el"] and got[3]["lang_pred"] in model.languages
+    assert [tuple(r) for r in got[4:]] == [("und", 0.0)] * 3
+    even = langid.fit(spark.createDataFrame([(1, "same", "b"), (2, "same", "a")], "doc_id long, text string, lang string"))
+    assert spark.createDataFrame([("same",)], "text string").select(langid.predict(F.col("text"), even).alias("p")).first()["p"]["lang_pred"] == "a"
+
+
+def test_language_scores_by_brute_force(spark, docs, data):
+    """Known words by log frequency, others by the longest n-gram seen at each place."""
+    model = langid.fit(docs)
+    counts = {}
+    for r in data:
+        if r[2] and r[1]:
+            for w in corpus.words(r[1].lower()):
+                counts[r[2], w] = counts.get((r[2], w), 0) + 1
+    known = sorted({w for _, w in counts})
+    assert model.words == known
+    for lang in model.languages:
+        j = model.languages.index(lang)
+        total = sum(n for (a, _), n in counts.items() if a == lang)
+        for w in known[::7]:
+            want = math.log((counts.get((lang, w), 0) + 0.5) / (total + 0.5 * len(known)))
+            assert math.isclose(model.word_scores[known.index(w), j], want, rel_tol=1e-5)
+
+
 def test_language_edges(docs, empty):
     nothing = langid.fit(empty)
     assert {r["p"]["lang_pred"] for r in docs.select(langid.predict(F.col("text"), nothing).alias("p")).collect()} == {"und"}
