@@ -166,13 +166,14 @@ def fit_ensemble(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3,
 def fit(stats: DataFrame, marks: DataFrame, max_rows: int = 20_000) -> RuleEnsemble:
     """Fit on about ``max_rows`` labelled rows at most, chosen by the hash of the id.
 
-    ``stats`` as from ``statistics``; ``marks`` has doc_id and quality (0 or 1; null is no label).
+    ``stats`` as from ``statistics``; ``marks`` has doc_id and quality (0 or 1; null is no label). Of
+    rows that repeat an id the one with the least statistics counts.
     """
     good = marks.filter(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     ids = hash_sample(good, "doc_id", max_rows, 3)
-    # About max_rows rows of two numbers at most.
-    rows = stats.join(F.broadcast(ids), "doc_id").select("doc_id", "quality", *STATISTICS).limit(2 * max_rows).toPandas()
-    rows = rows.sort_values(["doc_id", *STATISTICS])
+    # About max_rows rows of two numbers at most, and as many of statistics.
+    rows = stats.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("quality", *STATISTICS)).alias("s"))
+    rows = rows.select("doc_id", "s.*").toPandas().sort_values("doc_id")
     return fit_ensemble(rows[list(STATISTICS)].to_numpy(float), rows["quality"].to_numpy(float))
 
 
@@ -182,7 +183,8 @@ def classify(docs: DataFrame, marks: DataFrame, max_rows: int = 20_000) -> DataF
     Learns from the labels in ``marks`` alone, whose rows the caller chooses; ids, languages and
     sources are never inputs. Texts are read once: their statistics are written down and both the
     fit and the score read those. Scoring is a sum of column expressions. Null texts count as empty
-    ones and get the score of an empty text; repeated rows count each; extra columns are ignored.
+    ones and get the score of an empty text; repeated rows count each; an empty table gives no rows;
+    extra columns are ignored.
     """
     stats = materialise(statistics(docs), "statistics")
     model = fit(stats, marks, max_rows)
