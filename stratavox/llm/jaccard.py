@@ -20,8 +20,8 @@ LADDER = 2
 FINER = 1.5
 #: Slots (as powers of two) of the tables that keep sets and regions without a partner out of later passes.
 SET_BITS, REGION_BITS = 22, 26
-#: Further pivots that a region with several components is split by at once.
-PIVOTS = 3
+#: Further pivots that a region with several components is split by at once: the member next to its pivot, and others by chance.
+PIVOTS = 2
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -294,17 +294,21 @@ def open_members(cells: DataFrame, percent: int) -> DataFrame:
 def split_cells(cells: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """The cells (cell, q, x, d, component) split by further pivots, and the links (a, b) met on the way.
 
-    q is the pivot of a cell, already measured against all its members x. Of up to
-    ``PIVOTS`` components the least member becomes a pivot too (ids are hashes, so by chance). Every member belongs to the Voronoi cell of its
+    q is the pivot of a cell, already measured against all its members x. The member next
+    to it becomes a pivot too (what is near to a member with changes of its own has few itself, so it
+    lies in the middle), and so do the least members of other components (ids are hashes, so by
+    chance), ``PIVOTS`` in all. Every member belongs to the Voronoi cell of its
     nearest pivot, and is replicated to each cell whose pivot is farther away by 2 (1 - t) at most:
     for x linked to y, p' next to x and p next to y, d(x, p) <= d(x, y) + d(y, p) <= (1 - t) + d(y, p')
     and d(y, p') <= (1 - t) + d(x, p'). So linked sets meet in a cell. Where one cell would keep all
     members, the cell stays as it was. Pivots have been measured against all members of the cell, so
     they are no members of its parts.
     """
-    first = cells.groupBy("cell", "component").agg(F.min("x").alias("p"))
-    place = F.row_number().over(Window.partitionBy("cell").orderBy("p"))
-    chosen = materialise(first.withColumn("place", place).filter(F.col("place") <= PIVOTS).select("cell", "p"), "pivots")
+    first = cells.groupBy("cell", "component").agg(F.min("x").alias("p"), F.min(F.struct("d", "x")).alias("next"))
+    by_chance, by_distance = (F.row_number().over(Window.partitionBy("cell").orderBy(c)) for c in ("p", "next"))
+    first = first.withColumns({"place": by_chance, "distance": by_distance})
+    chosen = first.filter("distance = 1").select("cell", F.col("next.x").alias("p")).unionByName(first.filter((F.col("place") < PIVOTS) & (F.col("distance") > 1)).select("cell", "p"))
+    chosen = materialise(chosen, "pivots")
     pairs = cells.join(chosen, "cell").filter("x <> p").select("cell", "x", "p")
     measured = materialise(_measured(pairs.select(F.col("p").alias("a"), F.col("x").alias("b")).distinct(), sets), "measured")
     seen = pairs.join(measured.select(F.col("a").alias("p"), F.col("b").alias("x"), (1 - F.col("common") / F.col("union")).alias("d")), ["p", "x"])
@@ -322,49 +326,79 @@ def split_cells(cells: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFr
 
 
 def _differences(split: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """g, id, component, n, near, r, k, u, e of the members of cells: how they differ from the cell's pivot."""
+    """g, q, id, component, n, n_q, near, r, k, u, e of the members of cells: how they differ from the cell's pivot q."""
     t = percent / 100
     c = (1 - t) / (1 + t)
     pairs = split.select(F.col("cell").alias("g"), F.col("q").alias("a"), F.col("x").alias("b"), "component")
     both = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
     near = (F.size(F.array_intersect("x", "y")) * 100 >= F.size(F.array_union("x", "y")) * percent).alias("near")
-    seen = _side_by_side(pairs, sets).select("g", F.col("b").alias("id"), "component", F.size("y").alias("n"), near, both.alias("e"))
+    seen = _side_by_side(pairs, sets).select("g", F.col("a").alias("q"), F.col("b").alias("id"), "component", F.size("y").alias("n"), F.size("x").alias("n_q"), near, both.alias("e"))
     seen = seen.dropDuplicates(["g", "id"]).withColumn("r", F.size("e"))
     return materialise(seen.withColumns({"k": F.floor(F.col("n") * (1 - t) / t + 1e-9), "u": F.col("r") - F.col("n") * c}), "differences")
 
 
-def _first_elements(seen: DataFrame, percent: int) -> DataFrame:
-    """The members once for each of their first elements: those in which a linked set must meet them.
-
-    For sets x and y with differences E and F from the pivot, the difference of x and y is that of
-    E and F, so |E| + |F| - 2 |E and F|. Where the two cannot link without common elements, E and F
-    must share some. The elements of each E are put in order of their frequency in the cell, rare
-    ones first; two sets link only if the first elements of both, as many as their overlap may
-    miss, meet.
-    """
-    t = percent / 100
-    c = (1 - t) / (1 + t)
+def _ordered(seen: DataFrame) -> DataFrame:
+    """``seen`` with the elements that also others of the cell have, rare ones first, in place of all (e)."""
     items = seen.select("g", "id", F.explode("e").alias("e"))
     often = items.groupBy("g", "e").agg(F.count("*").alias("often")).filter("often > 1")
-    ordered = items.join(often, ["g", "e"]).groupBy("g", "id").agg(F.array_sort(F.collect_list(F.struct("often", "e"))).alias("order"))
-    # Elements that occur once in the cell come first in the order and meet nothing.
-    overlap = F.greatest(F.lit(1), F.when(F.col("near"), F.ceil(F.col("r") * (1 - c) / 2 - 1e-9)).otherwise(F.col("r") - F.col("k")))
-    first = F.greatest(F.lit(0), (F.col("r") - overlap + 1) - (F.col("r") - F.size("order"))).cast("int")
-    marked = seen.drop("e").join(ordered, ["g", "id"]).withColumn("first", first)
-    marked = marked.select("g", "id", "component", "near", "r", "k", "n", F.explode(F.slice("order", F.lit(1), F.col("first"))).alias("o"))
-    return materialise(marked.withColumn("e", F.col("o.e")).drop("o"), "first_elements")
+    order = items.join(often, ["g", "e"]).groupBy("g", "id").agg(F.array_sort(F.collect_list(F.struct("often", "e"))).alias("order"))
+    return materialise(seen.drop("e").join(order, ["g", "id"]), "ordered")
 
 
-def _met(marked: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that meet in a first element, within the windows of the triangle inequality."""
-    side = lambda rows, k: rows.select(*[c if c in ("g", "e") else F.col(c).alias(f"{c}{k}") for c in rows.columns])
-    window = (F.abs(F.col("r1") - F.col("r2")) <= F.least("k1", "k2")) & (F.col("n1") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n1") * percent)
-    other = (F.col("component1") != F.col("component2")) & (F.col("near2") | (F.col("id1") < F.col("id2")))
-    met = side(marked.filter("not near"), 1).join(side(marked, 2), ["g", "e"]).filter(other & window)
-    return met.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
+def _first_elements(ordered: DataFrame, overlap: Column) -> DataFrame:
+    """The members once for each of their first elements: those in which a set must meet them that has ``overlap`` in common.
 
+    Elements that no other set has come first of all and meet nothing.
+    """
+    first = F.least(F.size("order"), F.size("order") - F.greatest(F.lit(1), F.ceil(overlap - 1e-9)) + 1).cast("int")
+    rows = ordered.withColumn("first", first).filter("first > 0")
+    # What lies behind the first elements, and the last of them.
+    rows = rows.withColumns({"rest": F.size("order") - F.col("first"), "last": F.element_at("order", F.col("first"))})
+    rows = rows.select("g", "id", "component", "r", "n", "rest", "last", F.explode(F.slice("order", F.lit(1), F.col("first"))).alias("o"))
+    return rows.withColumn("e", F.col("o.e")).drop("o")
 
-def link(docs: DataFrame, percent: int = 80, width: int = 5, rounds: int = 2) -> DataFrame:
+
+def _met(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that meet in first elements and may have enough in common.
+
+    Their sizes and distances must lie in the windows of the triangle inequality. All elements in
+    common up to the earlier one of the two last first elements are met; behind it there are at most
+    as many as that set has left.
+    """
+    c = (100 - percent) / (100 + percent)
+    side = lambda rows, k: rows.select(*[x if x in ("g", "e") else F.col(x).alias(f"{x}{k}") for x in rows.columns])
+    bound = c * (F.col("n1") + F.col("n2")) + 1e-6
+    window = (F.abs(F.col("r1") - F.col("r2")) <= bound) & (F.col("n1") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n1") * percent)
+    other = (F.col("component1") != F.col("component2")) & ((F.col("id1") < F.col("id2")) if left is right else F.lit(True))
+    met = side(left, 1).join(side(right, 2), ["g", "e"]).filter(other & window)
+    behind = F.when(F.col("last1") <= F.col("last2"), F.col("rest1")).otherwise(F.col("rest2"))
+    spare = behind - (F.col("r1") + F.col("r2") - bound) / 2
+    pairs = met.groupBy("g", "id1", "id2").agg(F.count("*").alias("shared"), F.max(spare).alias("spare")).filter("shared + spare >= 0")
+    return pairs.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"))
+
+
+def apart_pairs(seen: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in a cell that may link by differences in common; none that does is left out.
+
+    For sets x and y with differences E and F from the cell's pivot q, the difference of x and y is
+    that of E and F, |E| + |F| - 2 |E and F|, and at most b = c (|x| + |y|) with c = (1 - t) / (1 + t)
+    if they link. Sets that link with q are of one component, so one of the two, say y, does not:
+    |F| > c (|y| + |q|), and |F| - c |y| is at least the least such value of the cell, v. So x needs
+    |E and F| >= (|E| - c |x| + v) / 2. In any case x needs |E| - b, for |E and F| <= |F| and
+    |E| - |F| <= b.
+    """
+    c = (100 - percent) / (100 + percent)
+    least = seen.filter("not near").groupBy("g").agg(F.greatest(F.min("u"), F.min("n_q") * c).alias("v"))
+    ordered = _ordered(seen.join(least, "g"))
+    any_ = F.col("r") - F.col("k")
+    beside_far = F.greatest((F.col("u") + F.col("v")) / 2, any_)
+    far = materialise(_first_elements(ordered.filter("not near"), beside_far), "far")
+    far_near = materialise(_first_elements(ordered.filter("not near"), any_), "far_near")
+    near = materialise(_first_elements(ordered.filter("near"), beside_far), "near")
+    return _met(far, far, percent).unionByName(_met(far_near, near, percent)).distinct()
+
+
+def link(docs: DataFrame, percent: int = 80, width: int = 5, rounds: int = 1) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (least doc_id reachable by links, itself included).
 
     Two documents link when 100 * |x and y| >= ``percent`` * |x or y| for their sets of distinct
@@ -375,11 +409,11 @@ def link(docs: DataFrame, percent: int = 80, width: int = 5, rounds: int = 2) ->
     2. Of regions that hold several components, the sets that may still link with another one (see
        ``open_members``) are split into Voronoi cells of further pivots, boundary sets replicated
        by the triangle inequality, and these cells again, ``rounds`` times (see ``split_cells``).
-    3. Cells that are still open are joined by how their sets differ from the pivot.
+    3. Cells that are still open are joined by how their sets differ from one in their middle.
        A set whose difference leaves room for that of the cell's best placed set links with it
-       (one such set speaks for all pairs that need no common difference). Sets with a difference in
-       common form regions once more, each with a pivot of its own, and what is then
-       still apart is compared pair by pair within the windows of the triangle inequality.
+       (one such set speaks for all pairs that need no common difference). Other sets link only if
+       their differences have enough in common; those that may are compared pair by pair, within
+       the windows of the triangle inequality.
     4. Components come from the links; a pair inside a component needs no comparison.
 
     Null and empty texts, and those without words, have no shingles and link with nothing. Repeated
@@ -420,18 +454,16 @@ def link(docs: DataFrame, percent: int = 80, width: int = 5, rounds: int = 2) ->
         learn(links)
         split = open_members(named(cells, "x"), percent)
     if not split.isEmpty():
-        seen = _differences(split, sets, percent)
+        # Seen from the member next to the pivot, for the reason given above.
+        middle = split.groupBy("cell").agg(F.min(F.struct("d", "x"))["x"].alias("q"))
+        seen = _differences(split.drop("q").join(middle, "cell").filter("x <> q"), sets, percent)
+        learn(seen.filter("near").select(F.col("q").alias("a"), F.col("id").alias("b")))
+        seen = named(seen.drop("component", "q"), "id")
         best = seen.groupBy("g").agg(F.min(F.struct("u", "id")).alias("z")).select("g", F.col("z.id").alias("z"), F.col("z.u").alias("z_u"))
         sure = seen.join(best, "g").filter((F.col("u") + F.col("z_u") <= 1e-6) & (F.col("id") != F.col("z"))).select(F.col("z").alias("a"), F.col("id").alias("b"))
-        marked = _first_elements(seen, percent)
-        pivot = marked.groupBy("g", "e").agg(F.min(F.struct("r", "id"))["id"].alias("a"))
-        stars = marked.join(pivot, ["g", "e"]).filter("id <> a").select("a", F.col("id").alias("b"))
-        learn(_linked(_measured(sure.unionByName(stars).distinct(), sets), percent))
-        marked = named(marked.drop("component"), "id")
-        several = marked.groupBy("g", "e").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("g", "e")
-        marked = materialise(marked.join(several, ["g", "e"], "left_semi"), "apart")
-        if not marked.isEmpty():
-            learn(_linked(_measured(_met(marked, percent), sets), percent))
+        learn(_linked(_measured(sure.distinct(), sets), percent))
+        pairs = apart_pairs(named(seen.drop("component"), "id"), percent)
+        learn(_linked(_measured(pairs, sets), percent))
 
     # Every set's least document, then every component's, then the documents by their sets.
     own = described.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least_id"))

@@ -468,8 +468,9 @@ def test_linked_sets_share_a_region(percent):
     assert met > 500
 
 
-def test_cells_keep_linked_sets_together(spark):
+def test_cells_keep_linked_sets_together(spark, monkeypatch):
     """Sets around several centres: split by windows, no link lost, and cells smaller than before."""
+    monkeypatch.setattr(jaccard, "PIVOTS", 4)
     rng = random.Random(4)
     rows, i = [], 0
     for c in range(6):
