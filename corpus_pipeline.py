@@ -39,19 +39,23 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one whose id names the group.
+    """One document of each group of near copies: the one with the least id, ids that are null last.
 
-    Five-word shingles, similarity 0.8 or more. Documents without words are copies of nothing and
-    stay, as do rows without an id. Of repeated rows of one id, one stays.
+    Five-word shingles, similarity 0.8 or more. Rows are told apart by id and text, so texts under
+    one id are documents of their own; of rows that repeat both, one stays. Documents without words
+    are copies of nothing and stay, all of them.
     """
-    linked = jaccard.link(docs, percent=80, width=5)
-    kept = linked.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("doc_id")).distinct()
+    own = F.xxhash64("doc_id", "text")
+    rows = docs.select(own.alias("doc_id"), "text")
+    linked = jaccard.link(rows, percent=80, width=5).select(F.col("doc_id").alias("__row"), "component_id", "n_shingles").distinct()
+    named = docs.select("doc_id", own.alias("__row")).distinct().join(linked, "__row")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row", "n_shingles")).alias("__least")
+    kept = named.groupBy("component_id").agg(least).select("__least.__row", "__least.n_shingles")
     hidden, names = _hidden(docs)
-    rows = hidden.filter("doc_id is not null").join(kept.hint("shuffle_hash"), "doc_id", "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    rows = rows.withColumn("__first", first).filter("__first = 1").drop("__first")
-    rows = rows.unionByName(hidden.filter("doc_id is null"))
-    return rows.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
+    found = hidden.withColumn("__row", own).join(kept.hint("shuffle_hash"), "__row")
+    first = F.row_number().over(Window.partitionBy("__row").orderBy("doc_id"))
+    found = found.withColumn("__first", first).filter("__first = 1 or n_shingles = 0")
+    return found.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
