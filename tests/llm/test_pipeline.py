@@ -43,6 +43,14 @@ def test_one_of_each_group_stays(stages):
     assert Counter(ids(after)) == Counter(want)
 
 
+def test_texts_under_one_id_are_documents(spark):
+    long_ = [" ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
+    texts = [(7, long_[0]), (7, long_[1]), (7, long_[0]), (3, long_[0] + " end"), (None, long_[2]), (None, long_[2]), (None, None), (9, ""), (9, "")]
+    rows = [(i, t, None, None, None, "s", "w", "i", "p", "q") for i, t in texts]
+    got = corpus_pipeline.drop_near_copies(spark, corpus.frame(spark, rows), "").select("doc_id", "text").collect()
+    assert Counter(map(tuple, got)) == Counter([(3, long_[0] + " end"), (7, long_[1]), (None, long_[2]), (None, None), (9, ""), (9, "")])
+
+
 def test_secrets_are_masked(stages):
     before, after = stages["secret_scan"]
     old, new = ({r["doc_id"]: r for r in df.collect()} for df in (before, after))
