@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import WORD, materialise
 
@@ -22,6 +23,8 @@ SLOTS = 1 << SLOT_BITS
 UNDETERMINED = "und"
 #: Words whose n-grams are counted, or scored, at once.
 FIT_WORDS = 10_000
+#: Tasks that count n-grams over the sample's words, each with one table; blocks of so many numbers move between them.
+FIT_PARTS, BLOCK = 4, 1 << 16
 
 
 @dataclass
@@ -33,7 +36,7 @@ class Model:
     """
 
     languages: list[str]
-    words: list[str]
+    words: pa.Array
     word_scores: np.ndarray
     gram_scores: np.ndarray
     floor: np.ndarray
@@ -74,38 +77,66 @@ def sample(docs: DataFrame, per_language: int) -> DataFrame:
     return known.filter(F.pmod(F.xxhash64(F.lit(9), F.col("doc_id"), F.col("text")), F.lit(1 << 20)) < F.element_at(part, F.col("lang")) * (1 << 20))
 
 
+def gram_counts(counts: DataFrame, languages: list[str]) -> np.ndarray:
+    """Square roots of the words' counts (lang, word, n) summed by n-gram slot and language, ``SLOTS`` by languages.
+
+    At most ``FIT_PARTS`` tasks fill a table each; their blocks are summed, and the sum, of fixed
+    size, comes to the driver.
+    """
+    k = len(languages)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(SLOTS * k, np.float64)
+        for batch in batches:
+            column = pc.index_in(batch.column("lang"), value_set=pa.array(languages, pa.string())).to_numpy(zero_copy_only=False)
+            root = np.sqrt(batch.column("n").to_numpy())
+            for start in range(0, batch.num_rows, FIT_WORDS):
+                owner, _, slots = _gram_slots(batch.column("word").slice(start, FIT_WORDS).to_pylist())
+                for n in GRAMS:
+                    ok = slots[n] >= 0
+                    of = start + owner[ok]
+                    table += np.bincount(slots[n][ok] * k + column[of].astype(np.int64), root[of], SLOTS * k)
+        for i, own in enumerate(table.reshape(-1, BLOCK)):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["block", "data"])
+
+    def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": [key[0]], "data": [sum(np.frombuffer(d, np.float64) for d in rows["data"]).tobytes()]})
+
+    schema = "block int, data binary"
+    table = np.zeros(SLOTS * k)
+    for i, data in counts.coalesce(FIT_PARTS).mapInArrow(fill, schema).groupBy("block").applyInPandas(merge, schema).toLocalIterator():
+        table[i * BLOCK : (i + 1) * BLOCK] = np.frombuffer(bytes(data), np.float64)
+    return table.reshape(SLOTS, k)
+
+
 def fit(docs: DataFrame, per_language: int = 5_000) -> Model:
     """Learn from the rows of ``docs`` (doc_id, text, lang) with a language and a text.
 
     The fit uses a bounded sample of labelled rows, about ``per_language`` documents of each
     language chosen by the hash of id and text; languages with fewer keep all. Their words (lower
-    case) are counted by language in Spark; every one of them becomes a known word and comes to the
-    driver with its counts, and their characters feed the n-gram table. So each language that has a
-    labelled word is learnt, however rare its words are. Rows of null texts or languages are left
-    out; repeated rows count each, if they are in the sample; no labelled word gives a model that
-    answers ``und`` to everything.
+    case) are counted by language in Spark. Every word feeds the n-gram table; those met twice or
+    more become known words and come to the driver with their counts, and a word met once is left to
+    its n-grams. So each language that has a labelled word is learnt, however rare its words are.
+    Rows of null texts or languages are left out; repeated rows count each, if they are in the
+    sample; no labelled word gives a model that answers ``und`` to everything.
     """
     rows = sample(docs, per_language).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word"))
-    top = materialise(rows.groupBy("lang", "word").agg(F.count("*").alias("n")), "language_words").toPandas()
-    languages = sorted(top["lang"].unique())
+    counts = materialise(rows.groupBy("lang", "word").agg(F.count("*").alias("n")), "language_words")
+    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    languages = sorted(totals)
     if not languages:
-        return Model([], [], np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
-    words = sorted(top["word"].unique())
+        return Model([], pa.array([], pa.string()), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
+    met = F.sum("n").over(Window.partitionBy("word"))
+    top = counts.withColumn("met", met).filter("met > 1").select("lang", "word", "n").toArrow()
+    words = pc.unique(top.column("word"))
+    words = words.take(pc.sort_indices(words))
     table = np.zeros((len(words), len(languages)))
-    row = np.searchsorted(np.array(words, object), top["word"].to_numpy(object))
-    col = np.searchsorted(np.array(languages, object), top["lang"].to_numpy(object))
-    table[row, col] = top["n"]
-    total = table.sum(0)
+    row = pc.index_in(top.column("word"), value_set=words).to_numpy()
+    col = pc.index_in(top.column("lang"), value_set=pa.array(languages, pa.string())).to_numpy()
+    table[row, col] = top.column("n").to_numpy()
+    total = np.array([totals[x] for x in languages], float)
     word_scores = np.log((table + 0.5) / (total + 0.5 * len(words)))
-    grams = np.zeros((SLOTS, len(languages)))
-    # Word by word in parts: their characters take ten times the memory of the words.
-    for start in range(0, len(words), FIT_WORDS):
-        owner, _, slots = _gram_slots(words[start : start + FIT_WORDS])
-        part = np.sqrt(table[start : start + FIT_WORDS])
-        for n in GRAMS:
-            ok = slots[n] >= 0
-            for j in range(len(languages)):
-                grams[:, j] += np.bincount(slots[n][ok], part[owner[ok], j], SLOTS)
+    grams = gram_counts(counts, languages)
     seen = grams.sum(1) > 0
     mass = grams.sum(0)
     scores = np.where(seen[:, None], np.log((grams + 0.1) / (mass + 0.1 * seen.sum())), np.nan)
@@ -114,7 +145,7 @@ def fit(docs: DataFrame, per_language: int = 5_000) -> Model:
 
 def word_table(model: Model, words: pa.Array) -> np.ndarray:
     """Scores by language of distinct lower-case words: known words by their frequency, others by backoff."""
-    at = pc.index_in(words, value_set=pa.array(model.words, pa.string()))
+    at = pc.index_in(words, value_set=model.words)
     known = at.is_valid().to_numpy(zero_copy_only=False)
     out = np.zeros((len(words), len(model.languages)), np.float32)
     out[known] = model.word_scores[pc.drop_null(at).to_numpy()]
