@@ -132,7 +132,7 @@ def _list_array(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
 
 
-def _parts(batch: pa.RecordBatch, chars: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Rows of together about ``chars`` bytes of text."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
     start = 0

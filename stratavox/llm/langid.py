@@ -209,7 +209,7 @@ def predict(text: Column, model: Model) -> Column:
             start = 0
             while start < len(rows):
                 end, size = start, 0
-                while end < len(rows) and size < 4_000_000:
+                while end < len(rows) and size < 1_000_000:
                     size += len(rows[end] or "")
                     end += 1
                 a, b = _scored(model, pa.array(rows[start:end], pa.string()))
