@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -30,11 +31,14 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Only where the setting is absent (a
-    single-JVM session, as in tests) a temporary folder stands in for it.
+    The cluster names that folder in ``spark.checkpoint.dir``. Only where the setting is absent in a
+    single-JVM session, as in tests, a temporary folder stands in for it; a cluster without the
+    setting is an error, as its executors could not read a local folder of the driver.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         global _own_dir
         if _own_dir is None:
             _own_dir = tempfile.mkdtemp(prefix="stratavox-")
