@@ -9,7 +9,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, most_frequent
@@ -32,6 +33,14 @@ MAX_PARTS = 256
 #: Words end with a space, texts with a line feed; neither occurs in a word.
 WORD_END = 0x20
 ALL = (1 << 64) - 1
+#: Texts of a part at most, so that a text has a 16-bit number in its part.
+PART_TEXTS = 1 << 16
+#: Tokens that share one bucket of word pairs, in the mean.
+BUCKET_TOKENS = 1 << 20
+#: Weight of a token's own probability against the counts of what followed the word before it.
+STRENGTH = 40.0
+#: Costs of tokens travel in this fraction of a bit.
+COST_STEPS = 256
 
 
 def tokenised(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -49,7 +58,7 @@ def _parts(batch: pa.RecordBatch, chars: int = 12_000_000) -> Iterator[pa.Record
     start = 0
     while start < batch.num_rows:
         base = size[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(size, base + chars, "right")))
+        end = min(max(start + 1, int(np.searchsorted(size, base + chars, "right"))), start + PART_TEXTS)
         yield batch.slice(start, end - start)
         start = end
 
@@ -73,19 +82,68 @@ def _keys(words: list[str]) -> np.ndarray:
     return pd.util.hash_array(np.array(words, object), categorize=False).view(np.int64)
 
 
-def pair_counts(docs: DataFrame) -> DataFrame:
-    """prev, next (a hash of the word), n: the tokens over all texts of ``docs`` after the word before them."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word, n: the tokens over all texts of ``docs``; the end of a text is the empty word."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _parts(batch):
-                words, stream, prev = _stream(part)
-                pair, n = np.unique(prev * len(words) + stream, return_counts=True)
-                keys = _keys(words.to_pylist())[pair % len(words)]
-                yield pa.RecordBatch.from_arrays([words.take(pa.array(pair // len(words))), pa.array(keys), pa.array(n.astype(np.int64))], names=["prev", "next", "n"])
+                words, codes, _ = tokenised(part.column("text"))
+                n = np.append(np.bincount(codes, minlength=len(words)), part.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([words.cast(pa.string()), pa.array([""])]), pa.array(n.astype(np.int64))], names=["word", "n"])
 
     plain = docs.select(F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(rows, "prev string, next long, n long").groupBy("prev", "next").agg(F.sum("n").alias("n"))
+    return plain.mapInArrow(rows, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Whole numbers below 2^32 as compressed byte planes."""
+    planes = [np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for a in arrays]
+    return pa.compress(b"".join(planes), codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, *sizes: int) -> list[np.ndarray]:
+    """The arrays of ``sizes`` that ``_pack`` was given."""
+    flat = np.frombuffer(pa.decompress(data, decompressed_size=4 * sum(sizes), codec="zstd", asbytes=True), np.uint8)
+    ends = 4 * np.cumsum(sizes)
+    return [np.ascontiguousarray(flat[e - 4 * n : e].reshape(4, n).T).view("<u4").reshape(-1) for e, n in zip(ends, sizes)]
+
+
+def _pair_totals(blocks: DataFrame) -> DataFrame:
+    """part, bucket, size, data: how often each pair of an asked part stands in all learnt texts.
+
+    ``blocks`` has a row per part and bucket: the pairs' keys, and their occurrences in the part's
+    learnt texts. A bucket holds ``BUCKET_TOKENS`` tokens in the mean and a pair once for each
+    part, so frequent pairs and copies make no group large.
+    """
+
+    def total(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        parts = [_unpack(bytes(d), n, n) for d, n in zip(rows["data"], rows["size"])]
+        _, place = np.unique(np.concatenate([np.cumsum(gaps, dtype=np.uint32) for gaps, _ in parts]), return_inverse=True)
+        totals = np.bincount(place, np.concatenate([own for _, own in parts]))
+        ends = np.cumsum(rows["size"].to_numpy())
+        found = [_pack(np.minimum(totals[place[e - n : e]], (1 << 32) - 1)) for e, n in zip(ends, rows["size"])]
+        return pd.DataFrame({"part": rows["part"], "bucket": rows["bucket"], "size": rows["size"], "data": found})[rows["asked"].to_numpy(bool)]
+
+    return blocks.groupBy("bucket").applyInPandas(total, "part long, bucket int, size int, data binary")
+
+
+def _pair_gains(states: DataFrame, totals: DataFrame) -> DataFrame:
+    """row, pair_gain: the bits that the pairs of a text save. A group is one part: its state and its pairs' totals."""
+
+    def gain(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("bucket")
+        own, found = rows.iloc[0], rows.iloc[1:]
+        n = np.concatenate([_unpack(bytes(d), k)[0] for d, k in zip(found["data"], found["size"])]).astype(float)
+        cost, uses, texts = _unpack(bytes(own["data"]), own["size"], own["size"], own["items"])
+        with np.errstate(divide="ignore"):
+            saved = np.logaddexp2(0, np.log2(n / STRENGTH) + cost / COST_STEPS)
+        sums = np.bincount(texts, np.repeat(saved, uses))
+        at = np.flatnonzero(sums)
+        return pd.DataFrame({"row": key[0] * PART_TEXTS + at, "pair_gain": sums[at]})
+
+    rows = states.unionByName(totals.withColumn("items", F.lit(0)))
+    return rows.groupBy("part").applyInPandas(gain, "row long, pair_gain double")
 
 
 def _hash(x: np.ndarray) -> np.ndarray:
@@ -270,112 +328,139 @@ def learn_mixer(words: DataFrame, counts: np.ndarray, step: int = 1_000) -> Mixe
 
 
 def score(docs: DataFrame, training: DataFrame) -> DataFrame:
-    """Per document of ``docs``: doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
+    """Scores of ``docs`` by a model of the texts of ``training``; see ``score_marked``."""
+    plain = lambda df, asked: df.select("doc_id", "text", F.lit(asked).alias("asked"))
+    rows = plain(docs, True).unionByName(plain(training, False))
+    return score_marked(rows, learnt=~F.col("asked"), asked=F.col("asked"))
+
+
+def score_marked(docs: DataFrame, learnt: Column, asked: Column) -> DataFrame:
+    """Per row of ``docs`` that is ``asked``: doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
-    Learns from the texts of ``training``: every word of every text counts. Tokens are lower-cased
+    Learns from the ``learnt`` rows: every word of every text counts. Tokens are lower-cased
     words and one end per text. Base: add-one smoothed unigrams. Model: the bits of each token's
     bytes, predicted by contexts of 0 to 4 bytes and of the word so far in hashed tables; the
     stretched predictions are mixed by weights that the bit's place chooses, both learnt online
     (predict, then update, each bit predicted without its own occurrence), and refined by an
     adaptive probability map. That probability q of a token is mixed with the counts of the running
-    text: after a word met n times with t different successors, a token has the probability
-    (n(word, token) + t q) / (n + t). While scoring nothing moves, so a score depends on its text
+    text: after a word met n times a token has the probability (n(word, token) + s q) / (n + s),
+    s being ``STRENGTH``. While scoring nothing moves, so a score depends on its text
     alone and the bits of each distinct word of a batch are coded once. ``score`` is the log10
     probability of the tokens.
 
-    The bit tables, weights and map have fixed sizes. The counts of words and of pairs live in
-    shared tables that grow with the texts; the ``COMMON`` most frequent of each go to all tasks,
-    and the rest are joined to the rare words and pairs of each text. Null texts count as empty ones: one token, the end. Repeated rows count each; extra
-    columns are ignored; with no training rows all counts are 0.
+    The bit tables, weights and map have fixed sizes; the ``COMMON`` most frequent words go to all
+    tasks, and the counts of others are joined to the rare words of each text. Pairs of words are
+    hashed contexts whose counts grow with the texts: each part of the texts sends its distinct pairs to buckets,
+    more of them the more tokens there are, so that the share of pairs under a key of their own stays the same, and gets back
+    their counts. Null texts count as empty ones: one token, the end. Repeated rows count each;
+    extra columns are ignored; with no learnt rows all counts are 0.
     """
-    pairs = materialise(pair_counts(training), "pair_counts")
-    # Every token but the end stands before one other, and the end stands for the start.
-    words = materialise(pairs.groupBy(F.col("prev").alias("word")).agg(F.sum("n").alias("n"), F.count("*").alias("t")), "word_counts")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(learnt, F.lit(False)).alias("learnt"), F.coalesce(asked, F.lit(False)).alias("asked"))
+    words = materialise(word_counts(plain.filter("learnt")), "word_counts")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # The end of a text is always among them, as the rare words are those that stand in the text.
     ends = words.filter(F.col("word") == "")
-    listed = ends.unionByName(most_frequent(words.filter(F.col("word") != ""), "n", COMMON - 1))
-    top = listed.toPandas()
-    # The weight of a pair against q: n(word, token) / t. Frequent words meet most pairs, so they are not shuffled.
-    near = pairs.join(F.broadcast(listed.select(F.col("word").alias("prev"), F.col("t"))), "prev", "left")
-    far = near.filter(F.col("t").isNull()).drop("t").join(words.select(F.col("word").alias("prev"), "t"), "prev")
-    weighed = near.filter(F.col("t").isNotNull()).unionByName(far).select("prev", "next", "n", (F.col("n") / F.col("t")).cast("float").alias("weight"))
-    weighed = materialise(weighed, "pair_weights")
-    best = most_frequent(weighed, "n", COMMON).toPandas()
-    best_keys = _pair_keys(_keys(best["prev"].tolist()), best["next"].to_numpy(np.int64))
-    order = np.argsort(best_keys)
-    best_keys, best_weights = best_keys[order], best["weight"].to_numpy(float)[order]
+    top = ends.unionByName(most_frequent(words.filter(F.col("word") != ""), "n", COMMON - 1)).toPandas()
     counts = gather_counts(words)
     mixer = learn_mixer(words, counts)
     stretched = _stretch(counts[0], counts[1]).astype(np.float16)
+    price = lambda listed, table: np.concatenate([np.zeros(0), *[mixer.bits_of(listed[i : i + 40_000], table) for i in range(0, len(listed), 40_000)]])
+    costs = price(top["word"].tolist(), stretched.astype(np.float32))
     common = pa.array(top["word"].tolist(), pa.string())
     logs = np.log10(top["n"].to_numpy(float) + 1)
-    gates = np.log2((top["n"] + top["t"]).to_numpy(float) / top["t"].to_numpy(float))
+    gates = np.log2(top["n"].to_numpy(float) / STRENGTH + 1)
     offset = float(np.log10(total + distinct + 1))
+    bucket_bits = max(1, int(total // BUCKET_TOKENS).bit_length())
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = stretched.astype(np.float32)
+        number = TaskContext.get().partitionId() << 24
         for batch in batches:
             for part in _parts(batch):
-                yield one(part, table)
+                yield from one(part, table, number)
+                number += 1
 
-    def one(part: pa.RecordBatch, table: np.ndarray) -> pa.RecordBatch:
+    def one(part: pa.RecordBatch, table: np.ndarray, number: int) -> Iterator[pa.RecordBatch]:
         n = part.num_rows
-        distinct_words, codes, owner = tokenised(part.column("text"))
-        distinct_words = distinct_words.cast(pa.string())
-        listed = distinct_words.to_pylist()
-        cost = np.concatenate([mixer.bits_of(listed[i : i + 40_000], table) for i in range(0, len(listed), 40_000)] or [np.zeros(0)])
-        end_cost = mixer.bits_of([""], table)[0]
-        bits = np.bincount(owner, cost[codes], n) + end_cost
-        # Pairs by text, each once with its number of occurrences: frequent ones at once, the others to be joined.
+        asked = part.column("asked").to_numpy(zero_copy_only=False)
         all_words, stream, prev = _stream(part)
-        m, text = len(all_words), np.repeat(np.arange(n), np.bincount(owner, minlength=n) + 1)
-        pair, number = np.unique(prev * m + stream, return_inverse=True)
-        items, repeats = np.unique(text * np.int64(len(pair)) + number, return_counts=True)
-        of, pair_of = items // max(1, len(pair)), items % max(1, len(pair))
-        before, after = pair // m, pair % m
-        word_keys = _keys(all_words.to_pylist())
-        sought = _pair_keys(word_keys[before], word_keys[after])
-        place = np.minimum(np.searchsorted(best_keys, sought), max(0, len(best_keys) - 1))
-        listed_pair = best_keys[place] == sought if len(best_keys) else np.zeros(len(pair), bool)
-        weight = np.where(listed_pair, best_weights[place] if len(best_keys) else 0.0, 0.0)
-        pair_bits = np.append(cost, end_cost)[after]
-        bits -= np.bincount(of, repeats * np.log2(1 + weight * np.exp2(pair_bits))[pair_of], n)
-        left = ~listed_pair[pair_of]
-        own, repeats, of = pair_of[left], repeats[left], of[left]
-        columns = [all_words.take(pa.array(before[own])), pa.array(word_keys[after[own]]), pa.array(repeats.astype(np.int32)), pa.array(pair_bits[own].astype(np.float32))]
-        pair_items = pa.StructArray.from_arrays(columns, names=["prev", "next", "times", "bits"])
-        pair_lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32)), pair_items)
-        size = np.fromiter((len(w.encode()) + 1 for w in listed), np.int64, len(listed))
-        n_bytes = np.bincount(owner, size[codes], n) + 1
-        at = pc.index_in(pa.concat_arrays([distinct_words, pa.array([""])]), value_set=common)
+        m = len(all_words)
+        is_end = stream == m - 1
+        text = np.cumsum(is_end) - is_end
+        own_pairs = pairs_of(part, all_words, stream, prev, text)
+        if not asked.any():
+            yield from own_pairs(None)
+            return
+        at = pc.index_in(all_words, value_set=common)
         known = at.is_valid().to_numpy(zero_copy_only=False)
-        own_log = np.zeros(len(known))
-        own_log[known] = logs[pc.drop_null(at).to_numpy()]
-        gate = np.zeros(len(known))
-        gate[known] = gates[pc.drop_null(at).to_numpy()]
-        bits += np.bincount(owner, gate[codes], n) + gate[-1]
-        n_tokens = np.bincount(owner, minlength=n) + 1
-        n_common = np.bincount(owner, known[codes], n) + known[-1]
-        sums = np.bincount(owner, own_log[codes], n) + own_log[-1]
+        place = at.fill_null(0).to_numpy()
+        cost = costs[place] if len(costs) else np.zeros(m)
+        new = np.flatnonzero(~known)
+        cost[new] = price(all_words.take(pa.array(new)).to_pylist(), table)
+        own = lambda values: np.where(known, values[place] if len(values) else 0.0, 0.0)
+        bits = np.bincount(text, (cost + own(gates))[stream], n)
+        n_bytes = np.bincount(text, (pc.binary_length(all_words).to_numpy() + 1)[stream], n)
+        n_common, sums = np.bincount(text, known[stream], n), np.bincount(text, own(logs)[stream], n)
         # Rare words by text, each once with its number of occurrences.
-        rare = ~known[codes]
-        key, times = np.unique(owner[rare] * np.int64(len(known)) + codes[rare], return_counts=True)
-        ends = np.searchsorted(key // len(known), np.arange(n), "right")
-        items = pa.StructArray.from_arrays([distinct_words.take(pa.array(key % len(known))), pa.array(times.astype(np.int32))], names=["word", "times"])
-        offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-        columns = [part.column("doc_id"), pa.array(n_tokens.astype(np.int64)), pa.array(n_common.astype(np.int64)), pa.array(sums), pa.array(bits), pa.array(n_bytes.astype(np.int64)), pa.ListArray.from_arrays(offsets, items), pair_lists]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_common", "sums", "bits", "n_bytes", "rare", "pairs"])
-
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_tokens long, n_common long, sums double, bits double, n_bytes long, rare array<struct<word:string,times:int>>, pairs array<struct<prev:string,next:long,times:int,bits:float>>"
-    found = materialise(plain.mapInArrow(rows, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
+        rare = ~known[stream] & asked[text]
+        key, times = np.unique(text[rare] * np.int64(m) + stream[rare], return_counts=True)
+        items = pa.StructArray.from_arrays([all_words.take(pa.array(key % m)), pa.array(times.astype(np.int32))], names=["word", "times"])
+        lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(key // m, np.arange(n + 1)).astype(np.int32)), items)
+        long = lambda values: pa.array(np.asarray(values).astype(np.int64))
+        columns = [part.column("doc_id"), long(np.bincount(text, minlength=n)), long(n_common), pa.array(sums), pa.array(bits), long(n_bytes), lists, long(number * PART_TEXTS + np.arange(n))]
+        found = pa.RecordBatch.from_arrays(columns, names=schema_names[:8]).filter(pa.array(asked))
+        yield padded(found, schema_names[8:])
+        yield from own_pairs(cost, number)
+
+    def pairs_of(part: pa.RecordBatch, all_words: pa.Array, stream: np.ndarray, prev: np.ndarray, text: np.ndarray):
+        """The part's distinct pairs by bucket and, with the costs of words, what their counts will be put together with."""
+        asked, learnt = (part.column(c).to_numpy(zero_copy_only=False) for c in ("asked", "learnt"))
+
+        def blocks(cost: np.ndarray | None, number: int = -1) -> Iterator[pa.RecordBatch]:
+            pair, of = np.unique(prev * len(all_words) + stream, return_inverse=True)
+            word_keys = _keys(all_words.to_pylist())
+            after = pair % len(all_words)
+            keys = _pair_keys(word_keys[pair // len(all_words)], word_keys[after])
+            order = np.argsort(keys)
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            of, keys, after = rank[of], keys[order], after[order]
+            own = np.bincount(of, learnt[text], len(keys))
+            bucket = (keys >> np.uint64(64 - bucket_bits)).astype(np.int64)
+            low = ((keys << np.uint64(bucket_bits)) >> np.uint64(32)).astype(np.uint32)
+            starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+            edges = np.append(starts, len(keys))
+            data = [_pack(np.diff(low[a:b], prepend=np.uint32(0)), own[a:b]) for a, b in zip(edges, edges[1:])]
+            out = {"part": [number] * len(data), "bucket": bucket[starts], "size": np.diff(edges), "items": [0] * len(data), "asked": [cost is not None] * len(data), "data": data}
+            if cost is not None:
+                seen = asked[text]
+                place = np.argsort(of[seen], kind="stable")
+                state = _pack(np.rint(cost[after] * COST_STEPS), np.bincount(of[seen], minlength=len(keys)), text[seen][place])
+                last = {"part": number, "bucket": -1, "size": len(keys), "items": int(seen.sum()), "asked": True, "data": state}
+                out = {c: [*v, last[c]] for c, v in out.items()}
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+            found = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], names=list(out))
+            yield padded(found, schema_names[:8])
+
+        return blocks
+
+    def padded(batch: pa.RecordBatch, others: list[str]) -> pa.RecordBatch:
+        nulls = {c: pa.nulls(batch.num_rows, arrow_schema[c]) for c in others}
+        return pa.RecordBatch.from_arrays([batch.column(c) if c not in nulls else nulls[c] for c in schema_names], names=schema_names)
+
+    schema = "doc_id long, n_tokens long, n_common long, sums double, bits double, n_bytes long, rare array<struct<word:string,times:int>>, row long, part long, bucket int, size int, items int, asked boolean, data binary"
+    arrow_schema = {c.split()[0]: {"long": pa.int64(), "double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}.get(c.split()[1]) for c in schema.replace("<word:string,times:int>", "").split(", ")}
+    arrow_schema["rare"] = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int32())]))
+    schema_names = list(arrow_schema)
+    stored = materialise(plain.mapInArrow(rows, schema), "scored")
+    found = stored.filter(F.col("row").isNotNull()).select(*schema_names[:8])
+    blocks = stored.filter(F.col("bucket") >= 0).select("part", "bucket", "size", "asked", "data")
+    states = stored.filter(F.col("bucket") < 0).select("part", "bucket", "size", "items", "data")
+    gains = _pair_gains(states, _pair_totals(blocks))
     rare = found.select("row", F.inline("rare")).join(words, "word").groupBy("row")
-    opened = F.col("times") * F.log2((F.col("n") + F.col("t")) / F.col("t"))
+    opened = F.col("times") * F.log2(F.col("n") / F.lit(STRENGTH) + 1)
     rare = rare.agg(F.sum("times").alias("rare_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rare_sums"), F.sum(opened).alias("rare_gates"))
-    met = found.select("row", F.inline("pairs")).join(weighed, ["prev", "next"])
-    met = met.groupBy("row").agg(F.sum(F.col("times") * F.log2(1 + F.col("weight") * F.pow(F.lit(2.0), F.col("bits")))).alias("pair_gain"))
-    out = found.drop("rare", "pairs").join(rare, "row", "left").join(met, "row", "left")
+    out = found.drop("rare").join(rare, "row", "left").join(gains, "row", "left")
     none = lambda c: F.coalesce(F.col(c), F.lit(0))
     bits = F.col("bits") + none("rare_gates") - none("pair_gain")
     return out.select(
