@@ -376,7 +376,8 @@ def score_marked(docs: DataFrame, learnt: Column, asked: Column) -> DataFrame:
         table = stretched.astype(np.float32)
         number = TaskContext.get().partitionId() << 24
         for batch in batches:
-            for part in _parts(batch):
+            # Smaller than where words are only counted: each token's pair, place and text are in memory.
+            for part in _parts(batch, 4_000_000):
                 yield from one(part, table, number)
                 number += 1
 
