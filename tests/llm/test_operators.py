@@ -412,6 +412,37 @@ def test_order_of_words_counts(spark, monkeypatch):
     assert all(math.isclose(again[i], got[i][0], rel_tol=1e-4) for i in got)
 
 
+def test_packed_numbers_come_back():
+    import numpy as np
+
+    arrays = [np.array([0, 1, 255, 1 << 20, (1 << 32) - 1]), np.array([], int), np.array([7])]
+    assert [a.tolist() for a in lm._unpack(lm._pack(*arrays), 5, 0, 1)] == [a.tolist() for a in arrays]
+
+
+def test_pairs_by_brute_force(spark, monkeypatch):
+    words = ["a", "b", "cc", "dog"]
+    train = ["a b a b cc", "b cc", None, "", "dog a b", "a b", "a b"]
+    asked = ["", *words, "a b", "b a b cc dog", "unseen a b", "cc cc", "a b", None]
+    rows = [(i, t, i < len(train)) for i, t in enumerate(train + asked)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, learnt boolean").repartition(3)
+    bits = lambda: {r["doc_id"]: -r["score"] / math.log10(2) for r in lm.score_marked(df, learnt=df["learnt"], asked=~df["learnt"]).collect()}
+    monkeypatch.setattr(lm, "BUCKET_TOKENS", 4)
+    monkeypatch.setattr(lm, "STRENGTH", 3.0)
+    got = bits()
+    assert len(got) == len(asked)
+    monkeypatch.setattr(lm, "STRENGTH", 1e30)
+    alone = bits()
+    tokens = lambda t: ["", *(t or "").split(), ""]
+    pairs = Counter(p for t in train for p in zip(tokens(t), tokens(t)[1:]))
+    n = Counter(p for t in train for p in tokens(t)[:-1])
+    cost = {"": alone[len(train)]}
+    cost |= {w: alone[len(train) + 1 + i] - cost[""] for i, w in enumerate(words)}
+    cost["unseen"] = alone[len(train) + 7] - cost["a"] - cost["b"] - cost[""]
+    for i, t in enumerate(asked, len(train)):
+        each = [(pairs[p, w] + 3 * 2 ** -cost[w]) / (n[p] + 3) for p, w in zip(tokens(t), tokens(t)[1:])]
+        assert math.isclose(got[i], -sum(map(math.log2, each)), abs_tol=0.02)
+
+
 def test_lm_on_nothing(empty):
     assert lm.score(empty, empty).isEmpty()
 
