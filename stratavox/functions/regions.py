@@ -71,6 +71,12 @@ def moved(x1: Column, y1: Column, x2: Column, y2: Column, dx: Column, dy: Column
     return x1 + sx, y1 + sy, x2 + sx, y2 + sy
 
 
+def edge_moved(x1: Column, y1: Column, x2: Column, y2: Column, edges: dict[str, Column], dx: Column, dy: Column, width: Column, height: Column) -> tuple[Column, ...]:
+    """The box with the held edges (left, right, top, bottom) moved, within the image and its corners in order."""
+    by = lambda v, edge, d, last: clamp(v + F.when(edges[edge], d).otherwise(0), 0, last)
+    return from_corners(by(x1, "left", dx, width), by(y1, "top", dy, height), by(x2, "right", dx, width), by(y2, "bottom", dy, height))
+
+
 def image_to_canvas(v: Column, scale: Column) -> Column:
     return F.bround(v / scale, 0).cast("int")
 
@@ -140,6 +146,16 @@ def level_bounding_box(depth: Column, height: Column, width: Column, levels: Col
     return [F.lit(0), last(depth), F.lit(0), last(height), F.lit(0), last(width)]
 
 
+def slice_plane(current: Column, last: Column, depth: Column) -> Column:
+    """Height of the plane of a slice in a volume of that depth; 0 where there is one slice only."""
+    return F.when(last > 0, current / last * depth).otherwise(F.lit(0.0))
+
+
+def middle(low: Column, high: Column) -> Column:
+    """What a box is displaced by along an axis: its middle."""
+    return (low + high) / 2.0
+
+
 def recentred(c: Column, low: Column, high: Column, longest: Column) -> Column:
     """A box coordinate scaled to 50 units of the longest side, a tenth of that, around the middle."""
     s = 50.0 / longest / 10.0

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.scalars import duration_text
+
 #: Fixed limits of the two generators.
 LARGEST_SIDE = 500
 SELECT_SIDE = 512
@@ -68,6 +70,31 @@ def choose_level(levels: DataFrame, limit: int = SELECT_SIDE) -> DataFrame:
     return rows.filter("__n = 1").drop("__n", "fits")
 
 
+def with_weights(tasks: DataFrame, weights: DataFrame) -> DataFrame:
+    """``tasks`` with the weight of their level, 1 where ``weights`` (level, weight) has none. One row per level, so few."""
+    return tasks.join(weights.select("level", "weight"), "level", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+
+
+def load_level(slices: DataFrame, level: int) -> DataFrame:
+    """The slices of one level, unchanged; a folder per level is pruned to that level's."""
+    return slices.filter(F.col("level") == level)
+
+
+def load_chosen(slices: DataFrame, limit: int = SELECT_SIDE) -> DataFrame:
+    """Each stack's slices at the level that ``choose_level`` names, 8 bits a pixel."""
+    from ..sources.sequence import level_catalog
+    from .pyramid import display_slices
+
+    chosen = choose_level(level_catalog(slices), limit).select("stack_id", "level")
+    return display_slices(slices.join(chosen, ["stack_id", "level"], "left_semi"))
+
+
+def estimate_bundle(base: Column, levels: int) -> Column:
+    """struct(levels, total, text): seconds by level, their sum, and the sum as text."""
+    total = total_time(base, levels)
+    return F.struct(level_times(base, levels).alias("levels"), total.alias("total"), duration_text(total).alias("text"))
+
+
 def level_times(base: Column, levels: int, factor: float = 0.25) -> Column:
     """array of seconds by level, each a quarter of the one before."""
     return F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), lambda k: base * F.pow(F.lit(factor), k))

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Longest side of the resampled volume.
 LONGEST = 50
@@ -155,6 +156,27 @@ def indexed(corners: DataFrame) -> tuple[DataFrame, DataFrame]:
     return vertices, triangles
 
 
+def dense(vertices: DataFrame, triangles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same mesh with vertices numbered from 0 without gaps, in order of their keys.
+
+    Keys hold the slice and row of their edge. A vertex's number is the vertices of the slices
+    before, those of the rows before and its rank in its row, so a task orders one row of voxels,
+    the rows of a slice, or the slices of the volume. Triangles whose corners are unknown go.
+    """
+    line, z = F.shiftright("vid", 22), F.shiftright("vid", 42)
+    lines = vertices.groupBy(line.alias("__line"), z.alias("__z")).agg(F.count("*").alias("__n"))
+    slices = lines.groupBy("__z").agg(F.sum("__n").alias("__m"))
+    slices = slices.withColumn("__from", F.sum("__m").over(Window.orderBy("__z")) - F.col("__m"))
+    lines = lines.withColumn("__n", F.sum("__n").over(Window.partitionBy("__z").orderBy("__line")) - F.col("__n"))
+    starts = lines.join(slices, "__z").select("__line", (F.col("__from") + F.col("__n")).alias("__start"))
+    rank = F.row_number().over(Window.partitionBy("__line").orderBy("vid")) - 1
+    found = vertices.withColumn("__line", line).withColumn("__rank", rank).join(starts, "__line").withColumn("__id", F.col("__start") + F.col("__rank"))
+    numbers = found.select("vid", "__id")
+    for k in "abc":
+        triangles = triangles.join(numbers.withColumnRenamed("vid", k), k).drop(k).withColumnRenamed("__id", k)
+    return found.select(F.col("__id").alias("vid"), "v0", "v1", "v2"), triangles.select("tid", "a", "b", "c")
+
+
 def triangle_normals(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
     """tid, a, b, c and the unit normal n0, n1, n2 of each triangle; 0 where it has no area."""
     rows = triangles

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -77,6 +79,30 @@ def _fused(slices: DataFrame, k: int, variant: str, odd: str) -> DataFrame:
     return rows.groupBy("stack_id", div(F.col("z"), 1 << k).alias("__group")).applyInPandas(run, SCHEMA)
 
 
+def build(slices: DataFrame, path: str, levels: int, *, variant: str = "round", odd: str = "keep", group_levels: int = 3, report: Callable[[int, int], bool | None] | None = None) -> DataFrame:
+    """Levels 1 to ``levels``, written below ``path`` group by group and read back.
+
+    A group of levels is made from the written last level of the one before, so no level is computed
+    twice. Groups whose commit marker exists are left as they are, so a second call goes on where the
+    first ended; delete the folder when the slices or options change. ``report`` gets the levels done
+    and in all after each group; when it returns False the work ends there. No level: no row.
+    """
+    spark = slices.sparkSession
+    base, parts, done = slices, [], 0
+    while done < levels:
+        k = min(group_levels, levels - done)
+        part = f"{path}/levels_{done + 1}_{done + k}"
+        marker = spark._jvm.org.apache.hadoop.fs.Path(f"{part}/_SUCCESS")
+        if not marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
+            _fused(base, k, variant, odd).write.mode("overwrite").parquet(part)
+        parts.append(part)
+        done += k
+        base = spark.read.schema(SCHEMA).parquet(part).filter(F.col("level") == done)
+        if report is not None and report(done, levels) is False:
+            break
+    return spark.read.schema(SCHEMA).parquet(*parts) if parts else slices.limit(0).select(*[c.split()[0] for c in SCHEMA.split(", ")])
+
+
 def missing_levels(slices: DataFrame, existing: DataFrame, levels: int, **options) -> DataFrame:
     """The slices of levels 1 to ``levels`` that ``existing`` (level, z) lacks."""
     return pyramid(slices, levels, **options).join(existing.select("level", "z"), ["level", "z"], "left_anti")

@@ -143,6 +143,33 @@ def block_mean(vox: DataFrame, width: int, height: int, factor: int, by: tuple[s
     return whole.groupBy(*by, "z", div(F.col("y"), factor).alias("y"), div(F.col("x"), factor).alias("x")).agg(div(F.sum(F.col("v").cast("bigint")), factor * factor).cast("int").alias("v"))
 
 
+def is_valid(vox: DataFrame) -> DataFrame:
+    """One row, valid: there are voxels, all have coordinates and a value, and they fill their box once each."""
+    sides = [F.max(c).cast("bigint") - F.min(c) + 1 for c in ("z", "y", "x")]
+    whole = F.count(F.when(F.expr("z is not null and y is not null and x is not null and v is not null"), 1))
+    full = (F.count("*") == sides[0] * sides[1] * sides[2]) & (whole == F.count("*"))
+    # Slices of a full box have one number of voxels each; repeats are caught in their slice.
+    places = vox.groupBy("z", "y").agg(F.count("*").alias("n"), F.count_distinct("x").alias("d")).filter("n <> d")
+    return vox.agg(F.coalesce(full & (F.count("*") > 0), F.lit(False)).alias("full")).select((F.col("full") & F.lit(places.isEmpty())).alias("valid"))
+
+
+def snapped(rows: DataFrame, value: str, points: DataFrame, tolerance: int) -> DataFrame:
+    """``rows`` with each integer ``value`` at the nearest of ``points`` (column p) within ``tolerance``, the lesser on ties.
+
+    Values too far from all points, and nulls, stay. Values and points meet in buckets as wide as the
+    tolerance, each distinct value once, so nothing is crossed.
+    """
+    wide = max(int(tolerance), 1)
+    bucket = lambda c: F.floor(F.col(c) / wide)
+    marks = points.select(F.col("p").cast("bigint").alias("__p")).filter("__p is not null").distinct().withColumn("__b", bucket("__p"))
+    values = rows.select(F.col(value).cast("bigint").alias("__v")).filter("__v is not null").distinct()
+    values = values.withColumn("__b", F.explode(F.array(*[bucket("__v") + d for d in (-1, 0, 1)])))
+    near = F.abs(F.col("__p") - F.col("__v"))
+    found = values.join(marks, "__b").filter(near <= tolerance).groupBy("__v").agg(F.min(F.struct(near.alias("d"), F.col("__p").alias("p"))).alias("__near"))
+    met = rows.join(found, F.col(value) == F.col("__v"), "left")
+    return met.withColumn(value, F.coalesce("__near.p", value)).drop("__v", "__near")
+
+
 def statistics(vox: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """min, max, mean, population standard deviation, shape."""
     size = lambda c: (F.max(c) - F.min(c) + 1).cast("bigint")

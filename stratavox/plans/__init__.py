@@ -1,0 +1,3 @@
+from . import catalogue, column_queries
+
+__all__ = ["catalogue", "column_queries"]

@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import name_parts, sequence_name
-from .safety import EXTENSIONS, has_image_extension
+from .safety import EXTENSIONS, UnsafePathError, has_image_extension
+
+
+class NoImagesError(ValueError):
+    """A folder without images, or without a sequence of them."""
 
 
 def list_files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
@@ -77,6 +81,34 @@ def natural_key(path):
     return F.transform(tokens, lambda t: F.when(t.rlike("^[0-9]+$"), F.lpad(t, 20, "0")).otherwise(t))
 
 
+def open_directory(spark: SparkSession, path: str) -> DataFrame:
+    """The sequence row of a folder that any of Spark's file systems can open.
+
+    Raises ``UnsafePathError`` for a path that climbs or holds a null character, ``FileNotFoundError``,
+    ``NotADirectoryError``, and ``NoImagesError`` where no sequence of images is found.
+    """
+    if not path.strip() or "\0" in path or ".." in path.split("/"):
+        raise UnsafePathError(f"forbidden path: {path!r}")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(where):
+        raise FileNotFoundError(path)
+    if not system.getFileStatus(where).isDirectory():
+        raise NotADirectoryError(path)
+    found = detect(list_files(spark, path))
+    if found.isEmpty():
+        raise NoImagesError(path)
+    return found
+
+
+def slices_in_order(files: DataFrame) -> DataFrame:
+    """Files with an image extension in natural order of their paths; ``NoImagesError`` where there are none."""
+    rows = files.filter(has_image_extension(F.col("name")))
+    if rows.isEmpty():
+        raise NoImagesError("no image files")
+    return rows.orderBy(natural_key(F.col("path")), "path")
+
+
 def image_files(files: DataFrame) -> DataFrame:
     """Files with an image extension, by name."""
     return files.filter(has_image_extension(F.col("name"))).orderBy("name")
@@ -112,6 +144,13 @@ def level_catalog(slices: DataFrame) -> DataFrame:
     return rows.select("stack_id", "level", name.alias("name"), F.col("first.width").alias("width"), F.col("first.height").alias("height"), "seq_begin", "seq_end")
 
 
+def with_new_levels(catalog: DataFrame, found: DataFrame) -> DataFrame:
+    """``catalog`` and those rows of ``found`` whose (stack_id, name) it lacks, each name once, its least level."""
+    first = F.row_number().over(Window.partitionBy("stack_id", "name").orderBy("level"))
+    fresh = found.join(catalog.select("stack_id", "name"), ["stack_id", "name"], "left_anti").withColumn("__n", first).filter("__n = 1")
+    return catalog.unionByName(fresh.select(*catalog.columns))
+
+
 def pending(wanted: DataFrame, existing: DataFrame) -> DataFrame:
     """Outputs (level, z) still to be made."""
     return wanted.join(existing.select("level", "z"), ["level", "z"], "left_anti")

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .codec import encode_tiff
@@ -86,6 +86,19 @@ def obj_lines(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
     return v.unionByName(f)
 
 
+def export_mesh(corners: DataFrame, path: str) -> None:
+    """The triangles of ``mesh.marching_cubes`` as an OBJ text in folder ``path``."""
+    from ..operators import mesh
+
+    write_obj(*mesh.dense(*mesh.indexed(corners)), path)
+
+
+def delete_levels(spark: SparkSession, path: str) -> bool:
+    """Delete a written pyramid; false where there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def write_obj(vertices: DataFrame, triangles: DataFrame, path: str) -> None:
     """The OBJ text as one file in folder ``path``; the commit protocol makes it appear whole."""
     obj_lines(vertices, triangles).orderBy("ord").coalesce(1).select("line").write.mode("overwrite").text(path)

@@ -153,6 +153,16 @@ def without_outliers(log: DataFrame, skip: int = 3, factor: float = 5.0) -> Data
     return rows.groupBy("run").applyInPandas(run, "run string, i long, gap double")
 
 
+def first_warnings(lines: DataFrame, n: int = 10) -> DataFrame:
+    """The first ``n`` warnings of a log (ts, seq, level, ...); a report of the top rows."""
+    return lines.filter(F.upper("level") == "WARNING").orderBy("ts", "seq").limit(n)
+
+
+def last_lines(lines: DataFrame, n: int) -> DataFrame:
+    """The last ``n`` rows of a log (ts, seq, ...), in order."""
+    return lines.orderBy(F.desc("ts"), F.desc("seq")).limit(n).orderBy("ts", "seq")
+
+
 def sample_size(work: int, asked: int | None = None) -> int:
     """The size asked for, within 1 to 100, or 2 % of the work within 20 to 30."""
     return max(1, min(100, asked)) if asked is not None else max(20, min(30, int(work * 0.02)))
