@@ -58,6 +58,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, table: DataFrame) -> None:
+    """Delete the files of a table that ``materialise`` gave and nothing needs any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` over ``value``, evaluated once: lambdas would evaluate a plain expression per element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
