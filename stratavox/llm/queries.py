@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, langid, lm, merkle, mixing, quality_model, quality_rules, secrets, sp_codec, sql, token_counts, vector_codes
+from . import fingerprints, jaccard, langid, lm, merkle, mixing, quality_model, quality_rules, secrets, sp_codec, sql, token_counts, toxicity, vector_codes
 from .common import documents, id_remainder, labels, shared_path
 
 TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
@@ -72,6 +72,12 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(documents(spark, sf_dir))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = labels(spark, sf_dir).select("doc_id", "toxic").filter(id_remainder(4) != 2)
+    scored = toxicity.classify(documents(spark, sf_dir), marks)
+    return scored.select("doc_id", (id_remainder(4) == 2).alias("held_out"), "score", "predicted", "restored")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(documents(spark, sf_dir), tampered=id_remainder(3) == 0)
 
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_language_id": op9_language_id,
     "op10_source_mixing": op10_source_mixing,
+    "op11_toxicity": op11_toxicity,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_vector_codes": op13_vector_codes,
 }
