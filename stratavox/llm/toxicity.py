@@ -88,14 +88,25 @@ def _word_characters() -> np.ndarray:
 
 
 def _stream(text: str) -> np.ndarray:
-    """Code points of a text in lower case, each run of what is no letter or figure as one boundary."""
+    """Code points of a text in lower case, each run of what is no letter or figure as one boundary.
+
+    Words that mix letters and figures, and three or more single characters in a row, are left out: the
+    model is one of plain words, which a disguise that many texts have must not become.
+    """
     x = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4").astype(np.int64)
     low = x & ((1 << CODE_BITS) - 1)
     inside = (x != low) | _word_characters()[low]
     keep = inside.copy()
     keep[1:] |= inside[:-1]
     keep[:1] = True
-    return np.where(inside, low, BOUNDARY)[keep]
+    x = np.where(inside, low, BOUNDARY)[keep]
+    edge = x == BOUNDARY
+    run = np.cumsum(edge)
+    size = np.bincount(run[~edge], minlength=run[-1] + 1) if len(run) else run
+    figures = np.bincount(run[(x >= 48) & (x <= 57)], minlength=len(size))
+    alone = np.concatenate([[False] * 2, size == 1, [False] * 2])
+    series = alone[2:-2] & ((alone[1:-3] & (alone[:-4] | alone[3:-1])) | (alone[3:-1] & alone[4:]))
+    return x[~(series | ((figures > 0) & (figures < size)))[run]] if len(run) else x
 
 
 def character_model(texts: DataFrame) -> CharacterModel:
