@@ -38,8 +38,8 @@ PREFIXES = (3, 4, 5, 6, 7)
 #: slots of the counts of one, two, ... characters.
 ORDER, CODE_BITS = 4, 16
 SLOT_BITS = (16, 18, 20, 21)
-#: Characters of texts that are worked on together, and readings that a task remembers.
-BATCH_CHARS = 6_000_000
+#: Characters of texts that are worked on together, and counted together, and readings that a task remembers.
+BATCH_CHARS, COUNT_CHARS = 2_000_000, 1_000_000
 REMEMBERED = 200_000
 
 #: Signs around a token say nothing, but for one that may start a word.
@@ -120,7 +120,7 @@ def character_model(texts: DataFrame) -> CharacterModel:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [np.zeros(1 << b, np.int64) for b in SLOT_BITS]
         for batch in batches:
-            for part in _parts(batch.column(0).to_pylist()):
+            for part in _parts(batch.column(0).to_pylist(), COUNT_CHARS):
                 packed = x = _stream(" \n".join(part) + " ")
                 for n in range(1, ORDER + 1):
                     if n > 1:
@@ -136,13 +136,13 @@ def character_model(texts: DataFrame) -> CharacterModel:
     return CharacterModel(tuple(np.split(table, starts[1:-1])))
 
 
-def _parts(texts: list[str | None]) -> Iterator[list[str]]:
-    """``texts`` in groups of about ``BATCH_CHARS`` characters; nulls as empty texts."""
+def _parts(texts: list[str | None], chars: int = BATCH_CHARS) -> Iterator[list[str]]:
+    """``texts`` in groups of about ``chars`` characters; nulls as empty texts."""
     part, size = [], 0
     for text in texts:
         part.append(text or "")
         size += len(part[-1])
-        if size >= BATCH_CHARS:
+        if size >= chars:
             yield part
             part, size = [], 0
     if part:
