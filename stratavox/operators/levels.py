@@ -46,6 +46,16 @@ def work_estimate(seq_begin: int, seq_end: int, size: int, max_size: int) -> lis
     return rows
 
 
+def work_estimates(stacks: DataFrame, max_size: int) -> DataFrame:
+    """``work_estimate`` of many stacks (stack_id, seq_begin, seq_end, size): a row for each stack and level."""
+    side = lambda k: F.col("size") / F.pow(F.lit(2.0), k)
+    steps = F.filter(F.sequence(F.lit(1), F.lit(62)), lambda k: side(k - 1) >= max_size)
+    rows = stacks.withColumn("level", F.explode(steps))
+    span = F.call_function("shiftright", (F.col("seq_end") - F.col("seq_begin")).cast("bigint"), F.col("level") - 1)
+    out = {"images": F.call_function("div", span + 1, F.lit(2)) + 1, "__size": F.floor(side(F.col("level"))).cast("bigint"), "weight": F.pow(F.lit(0.25), F.col("level"))}
+    return rows.withColumns(out).drop("size", "seq_begin", "seq_end").withColumnRenamed("__size", "size")
+
+
 def catalog(stacks: DataFrame, limit: int = LARGEST_SIDE) -> DataFrame:
     """``stacks`` (stack_id, width, height, n) exploded to levels 0 and up with their width, height, n."""
     shift = lambda c: F.call_function("shiftright", F.col(c), F.col("level"))

@@ -5,8 +5,7 @@ from __future__ import annotations
 from functools import cache
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,25 +17,31 @@ def zoom_size(n: int, scale: float) -> int:
     return max(1, int(np.floor(n * scale + 0.5)))
 
 
+def contributions(place: Column, n: Column | int, m: Column | int) -> Column:
+    """The places o of ``m`` that a ``place`` of ``n`` takes part in, with its weight w there: an array of structs.
+
+    Place o lies at o (n - 1) / (m - 1); its two neighbours weigh 1 less their distance.
+    """
+    n, m = (k if isinstance(k, Column) else F.lit(k) for k in (n, m))
+    step = F.when(m > 1, (n - 1) / F.greatest(m - 1, F.lit(1))).otherwise(F.lit(0.0))
+    low = F.when(step > 0, F.greatest(F.floor((place - 1) / step), F.lit(0))).otherwise(F.lit(0))
+    high = F.when(step > 0, F.least(F.ceil((place + 1) / step), m - 1)).otherwise(m - 1)
+    near = F.transform(F.sequence(low.cast("int"), F.greatest(high, low).cast("int")), lambda o: F.struct(o.alias("o"), (1 - F.abs(o * step - place)).alias("w")))
+    return F.filter(near, lambda x: (x["w"] > 0) & (x["o"] < m))
+
+
 def trilinear(vox: DataFrame, shape: tuple[int, int, int], out: tuple[int, int, int]) -> DataFrame:
     """The volume resampled to ``out`` (depth, height, width): z, y, x, v, halves up.
 
-    Output place i lies at i * (n - 1) / (out - 1). Each voxel of the result asks for its eight
-    neighbours by an equi-join on their coordinates, and their weighted sum is one aggregate.
+    Each voxel goes to the places that it takes part in, and their weighted sum is one aggregate, begun
+    before the shuffle; nothing is joined. ``resample.zoom_slices`` does the same on whole images.
     """
-    spark = vox.sparkSession
-    total = out[0] * out[1] * out[2]
-    rows = spark.range(total).select((F.col("id") / (out[1] * out[2])).cast("bigint").alias("oz"), ((F.col("id") / out[2]).cast("bigint") % out[1]).alias("oy"), (F.col("id") % out[2]).alias("ox"))
-    axes = {}
+    rows = vox.select("z", "y", "x", "v")
     for name, n, m in zip("zyx", shape, out, strict=True):
-        at = F.col(f"o{name}") * ((n - 1) / (m - 1) if m > 1 else 0.0)
-        low = F.least(F.floor(at), F.lit(max(n - 2, 0))).cast("int")
-        axes[name] = F.array(F.struct(low.alias("i"), (1 - (at - low)).alias("w")), F.struct(F.least(low + 1, F.lit(n - 1)).alias("i"), (at - low).alias("w")))
-    for name in "zyx":
-        rows = rows.withColumn(f"n{name}", F.explode(axes[name])).filter(F.col(f"n{name}.w") > 0)
-    asked = rows.select("oz", "oy", "ox", F.col("nz.i").alias("z"), F.col("ny.i").alias("y"), F.col("nx.i").alias("x"), (F.col("nz.w") * F.col("ny.w") * F.col("nx.w")).alias("w"))
-    value = F.floor(F.round(F.sum(F.col("w") * F.col("v")), 9) + 0.5).cast("int")
-    return asked.join(vox.select("z", "y", "x", "v"), ["z", "y", "x"]).groupBy(F.col("oz").alias("z"), F.col("oy").alias("y"), F.col("ox").alias("x")).agg(value.alias("v"))
+        rows = rows.withColumn(f"o{name}", F.explode(contributions(F.col(name), n, m)))
+    weight = F.col("oz.w") * F.col("oy.w") * F.col("ox.w")
+    value = F.floor(F.round(F.sum(weight * F.col("v")), 9) + 0.5).cast("int")
+    return rows.groupBy(F.col("oz.o").alias("z"), F.col("oy.o").alias("y"), F.col("ox.o").alias("x")).agg(value.alias("v"))
 
 
 def resampled(vox: DataFrame, shape: tuple[int, int, int], longest: int = LONGEST) -> tuple[DataFrame, tuple[int, int, int]]:
@@ -97,62 +102,66 @@ def case_table() -> tuple[np.ndarray, np.ndarray]:
     return np.array(flat, np.int64).reshape(-1, 3), np.array(starts, np.int64)
 
 
-def march(a: np.ndarray, iso: float, z0: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Triangles of a dense block at ``iso``: edge keys and positions of their corners.
+def march_cells(a: np.ndarray, iso: float, origin: tuple[int, int, int] = (0, 0, 0), present: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Triangles of a dense block at ``iso``: edge keys (n, 3) of their corners, ids (n) and positions (n, 3, zyx).
 
-    Keys are (z, y, x, axis) packed by 20 bits a coordinate, so blocks that share a slice agree on
-    them. Returns keys (n, 3) and z, y, x positions (n, 3) each.
+    A key packs the (z, y, x, axis) of an edge in the volume by 20 bits a coordinate and an id that of
+    its cell and its number there, so blocks that share voxels agree on them. ``present`` marks the
+    voxels that there are; a cell that lacks one has no triangles.
     """
     table, starts = case_table()
-    inside = a > iso
     d, h, w = (n - 1 for n in a.shape)
     if min(d, h, w) < 1:
-        return np.zeros((0, 3), np.int64), *(np.zeros((0, 3)),) * 3
-    case = np.zeros((d, h, w), np.int64)
+        return np.zeros((0, 3), np.int64), np.zeros(0, np.int64), np.zeros((0, 3, 3))
+    inside = a > iso
+    case, whole = np.zeros((d, h, w), np.int64), np.ones((d, h, w), bool)
     for c in range(8):
-        z, y, x = c >> 2, c >> 1 & 1, c & 1
-        case |= inside[z : z + d, y : y + h, x : x + w].astype(np.int64) << c
-    cells = np.flatnonzero((case > 0) & (case < 255))
+        corner = np.s_[c >> 2 : (c >> 2) + d, c >> 1 & 1 : (c >> 1 & 1) + h, c & 1 : (c & 1) + w]
+        case |= inside[corner].astype(np.int64) << c
+        if present is not None:
+            whole &= present[corner]
+    cells = np.flatnonzero((case > 0) & (case < 255) & whole)
     n = starts[case.ravel()[cells] + 1] - starts[case.ravel()[cells]]
     cell = np.repeat(cells, n)
-    row = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[case.ravel()[cells]], n)
-    edges = table[row]
-    cz, cy, cx = np.unravel_index(cell, case.shape)
+    number = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    edges = table[number + np.repeat(starts[case.ravel()[cells]], n)]
+    at = np.unravel_index(cell, case.shape)
     corner, axis = edges // 3, edges % 3
-    z, y, x = (cz[:, None] + (corner >> 2), cy[:, None] + (corner >> 1 & 1), cx[:, None] + (corner & 1))
+    z, y, x = (k[:, None] + (corner >> s & 1) for k, s in zip(at, (2, 1, 0), strict=True))
     v0 = a[z, y, x].astype(float)
     v1 = a[z + (axis == 0), y + (axis == 1), x + (axis == 2)].astype(float)
     t = (iso - v0) / (v1 - v0)
-    keys = (((z + z0) << 40 | y << 20 | x) << 2) | axis
-    return keys, z + z0 + t * (axis == 0), y + t * (axis == 1), x + t * (axis == 2)
+    z, y, x = z + origin[0], y + origin[1], x + origin[2]
+    keys = ((z << 40 | y << 20 | x) << 2) | axis
+    ids = ((at[0] + origin[0]) << 40 | (at[1] + origin[1]) << 20 | (at[2] + origin[2])) << 3 | number
+    return keys, ids, np.stack([z + t * (axis == 0), y + t * (axis == 1), x + t * (axis == 2)], 2)
 
 
-def marching_cubes(vox: DataFrame, shape: tuple[int, int, int], iso: float, slab: int = 16) -> DataFrame:
-    """Triangles (slab, tri, corner, key, v0, v1, v2) of the iso-surface; v0, v1, v2 are z, y, x.
+def march(a: np.ndarray, iso: float, z0: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Triangles of a dense block whose first slice is ``z0``: keys (n, 3) and z, y, x positions (n, 3) each."""
+    keys, _, p = march_cells(a, iso, (z0, 0, 0))
+    return keys, p[..., 0], p[..., 1], p[..., 2]
 
-    Slabs of ``slab`` slices with one more slice each are independent tasks. Equal keys are one vertex.
-    """
-    z = F.floor(F.col("z") / slab).cast("int")
-    own = F.when((F.col("z") % slab == 0) & (F.col("z") > 0), F.array(z, z - 1)).otherwise(F.array(z))
-    rows = vox.select(F.explode(own).alias("slab"), "z", "y", "x", "v")
 
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        z0 = int(key[0]) * slab
-        a = np.zeros((int(part["z"].max()) - z0 + 1, *shape[1:]))
-        a[part["z"] - z0, part["y"], part["x"]] = part["v"]
-        keys, p0, p1, p2 = march(a, iso, z0)
-        n = len(keys)
-        return pd.DataFrame({"slab": int(key[0]), "tri": np.repeat(np.arange(n), 3), "corner": np.tile([0, 1, 2], n), "key": keys.ravel(), "v0": p0.ravel(), "v1": p1.ravel(), "v2": p2.ravel()})
+def marching_cubes(vox: DataFrame, shape: tuple[int, int, int], iso: float, slab: int = 16, side: int = 64) -> DataFrame:
+    """Corners (tid, corner, key, v0, v1, v2) of the triangles of the iso-surface; v0, v1, v2 are z, y, x.
+
+    Bricks of ``slab`` slices and ``side`` rows and columns are independent tasks. Equal keys are one
+    vertex. ``shape`` is not needed any more and not looked at: voxels that are absent have no surface.
+    """
+    from . import bricks
 
-    return rows.groupBy("slab").applyInPandas(run, "slab int, tri long, corner int, key long, v0 double, v1 double, v2 double")
+    rows = bricks.surface(vox, iso, (slab, side, side))
+    at = F.explode(F.array(*[F.struct(F.lit(i).alias("corner"), F.col(k).alias("key")) for i, k in enumerate("abc")]))
+    faces = bricks.triangles(rows).select("tid", at.alias("at")).select("tid", "at.corner", "at.key")
+    return faces.join(bricks.vertices(rows).select(F.col("vid").alias("key"), "v0", "v1", "v2"), "key").select("tid", "corner", "key", "v0", "v1", "v2")
 
 
 def indexed(corners: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """vertices (vid, v0, v1, v2) and triangles (tid, a, b, c); ids are edge keys and (slab, tri) packed."""
+    """vertices (vid, v0, v1, v2) and triangles (tid, a, b, c) of ``marching_cubes``; vids are edge keys."""
     vertices = corners.groupBy(F.col("key").alias("vid")).agg(*[F.min(c).alias(c) for c in ("v0", "v1", "v2")])
     pick = lambda k: F.max(F.when(F.col("corner") == k, F.col("key")))
-    tid = F.shiftleft(F.col("slab").cast("bigint"), 40) + F.col("tri")
-    triangles = corners.groupBy(tid.alias("tid")).agg(pick(0).alias("a"), pick(1).alias("b"), pick(2).alias("c"))
+    triangles = corners.groupBy("tid").agg(pick(0).alias("a"), pick(1).alias("b"), pick(2).alias("c"))
     return vertices, triangles
 
 
@@ -199,3 +208,11 @@ def vertex_normals(normals: DataFrame) -> DataFrame:
     rows = normals.select(F.explode(F.array("a", "b", "c")).alias("vid"), "n0", "n1", "n2")
     rows = rows.groupBy("vid").agg(*[F.sum(f"n{i}").alias(f"s{i}") for i in range(3)])
     return rows.select("vid", *_unit([F.col(f"s{i}") for i in range(3)]))
+
+
+def adjusted(vertices: DataFrame, displacement: tuple[float, float, float], factor: float = 10.0) -> DataFrame:
+    """``vertices`` for display: divided by ``factor``, moved by -``displacement``, axes turned (v0, v1, v2) to (v2, v0, v1), normals too."""
+    turn = (2, 0, 1)
+    out = {f"v{i}": F.col(f"v{k}") / factor - displacement[k] for i, k in enumerate(turn)}
+    out |= {f"n{i}": F.col(f"n{k}") for i, k in enumerate(turn) if f"n{k}" in vertices.columns}
+    return vertices.withColumns(out)

@@ -103,9 +103,96 @@ def build(slices: DataFrame, path: str, levels: int, *, variant: str = "round",
     return spark.read.schema(SCHEMA).parquet(*parts) if parts else slices.limit(0).select(*[c.split()[0] for c in SCHEMA.split(", ")])
 
 
-def missing_levels(slices: DataFrame, existing: DataFrame, levels: int, **options) -> DataFrame:
-    """The slices of levels 1 to ``levels`` that ``existing`` (level, z) lacks."""
-    return pyramid(slices, levels, **options).join(existing.select("level", "z"), ["level", "z"], "left_anti")
+def wanted_levels(slices: DataFrame, levels: int, odd: str = "keep") -> DataFrame:
+    """stack_id, level, z of every image of levels 1 to ``levels``; only names of ``slices`` are read."""
+    names, out = slices.select("stack_id", F.col("z").cast("int").alias("z")), None
+    for level in range(1, levels + 1):
+        up = names.groupBy("stack_id", div(F.col("z"), 2).cast("int").alias("z")).agg(F.count("*").alias("n"), F.min("z").alias("first"))
+        # An image needs its even slice; without its odd one it is a last slice.
+        names = up.filter((F.col("first") % 2 == 0) & ((F.col("n") > 1) | F.lit(odd == "keep"))).select("stack_id", "z")
+        rows = names.select("stack_id", F.lit(level).alias("level"), "z")
+        out = rows if out is None else out.unionByName(rows)
+    return out if out is not None else slices.limit(0).select("stack_id", F.lit(0).alias("level"), "z")
+
+
+def closure(slices: DataFrame, existing: DataFrame, levels: int, odd: str = "keep") -> DataFrame:
+    """What a resumed pyramid has to do: stack_id, level, z and make (else read) of images, each once.
+
+    Made are the wanted images that ``existing`` (stack_id, level, z) lacks; read are the inputs of
+    those that are there, of level 0 or written before. Everything else is left alone.
+    """
+    key = ["stack_id", "level", "z"]
+    todo = wanted_levels(slices, levels, odd).join(existing.select(*key), key, "left_anti")
+    inputs = todo.select("stack_id", (F.col("level") - 1).alias("level"), F.explode(F.array(2 * F.col("z"), 2 * F.col("z") + 1)).alias("z"))
+    there = slices.select("stack_id", F.lit(0).alias("level"), "z").unionByName(existing.filter("level > 0").select(*key)).distinct()
+    read = there.join(inputs, key, "left_semi")
+    return todo.select(*key, F.lit(True).alias("make")).unionByName(read.select(*key, F.lit(False).alias("make")))
+
+
+def missing_levels(slices: DataFrame, existing: DataFrame, levels: int, variant: str = "round", odd: str = "keep") -> DataFrame:
+    """The images of levels 1 to ``levels`` that ``existing`` lacks.
+
+    ``existing`` has the columns of ``SCHEMA`` or only stack_id, level, z. Going up level by level, only
+    the images that are missing are made, each from its two inputs: those of the level below that are
+    there with pixels are read, by a semi-join, and those that were missing too have just been made. An
+    input that exists without pixels is made again from what it needs.
+    """
+    key = ["stack_id", "level", "z"]
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    source = slices.select(*names)
+    have = existing
+    if "stack_id" not in have.columns:
+        have = have.join(source.select("stack_id").distinct(), F.lit(True))
+    full = have.select(*names).filter("pixels is not null") if "pixels" in have.columns else source.limit(0)
+    wanted = wanted_levels(source, levels, odd)
+    # From the top down: what is asked for, or needed by what has to be made.
+    make = {levels + 1: None}
+    asked = wanted.join(have.select(*key), key, "left_anti")
+    for level in range(levels, 0, -1):
+        need = asked.filter(F.col("level") == level).select("stack_id", "z")
+        if make[level + 1] is not None:
+            below = make[level + 1].select("stack_id", F.explode(F.array(2 * F.col("z"), 2 * F.col("z") + 1)).alias("z"))
+            below = below.join(wanted.filter(F.col("level") == level), ["stack_id", "z"], "left_semi")
+            need = need.unionByName(below.join(full.filter(F.col("level") == level).select("stack_id", "z"), ["stack_id", "z"], "left_anti")).distinct()
+        make[level] = need
+    out, made = None, source.limit(0)
+    for level in range(1, levels + 1):
+        inputs = make[level].select("stack_id", F.explode(F.array(2 * F.col("z"), 2 * F.col("z") + 1)).alias("z"))
+        base = source if level == 1 else full.filter(F.col("level") == level - 1)
+        made = _fused(base.join(inputs, ["stack_id", "z"], "left_semi").unionByName(made.join(inputs, ["stack_id", "z"], "left_semi")), 1, variant, odd)
+        rows = made.join(asked, key, "left_semi")
+        out = rows if out is None else out.unionByName(rows)
+    return out if out is not None else source.limit(0)
+
+
+def resume(slices: DataFrame, path: str, levels: int, *, variant: str = "round", odd: str = "keep") -> DataFrame:
+    """Complete the pyramid below ``path`` (one folder a level), and read it back.
+
+    A level is made after the one below it is whole, from the two inputs of each of its missing images
+    alone: names are compared first, by an anti-join, and only the inputs' pixels are read, by a
+    semi-join. What is there stays as it is, so nothing that was committed is computed again, and
+    levels without a missing image cost a comparison of names. Delete the folder when the options change.
+    """
+    spark = slices.sparkSession
+    key, names = ["stack_id", "level", "z"], [c.split()[0] for c in SCHEMA.split(", ")]
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def written() -> DataFrame:
+        if not system.exists(where):
+            return slices.limit(0).select(*names)
+        return spark.read.schema(SCHEMA).parquet(path).select(*names)
+
+    wanted = wanted_levels(slices, levels, odd)
+    for level in range(1, levels + 1):
+        have = written()
+        todo = wanted.filter(F.col("level") == level).join(have.select(*key), key, "left_anti")
+        base = slices.select(*names) if level == 1 else have.filter(F.col("level") == level - 1)
+        inputs = todo.select("stack_id", F.explode(F.array(2 * F.col("z"), 2 * F.col("z") + 1)).alias("z"))
+        made = _fused(base.join(inputs, ["stack_id", "z"], "left_semi").select(*names), 1, variant, odd)
+        if not todo.isEmpty():
+            made.write.mode("append").partitionBy("level").parquet(path)
+    return written().filter(F.col("level").between(1, levels))
 
 
 def display_slices(slices: DataFrame) -> DataFrame:

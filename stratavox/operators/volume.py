@@ -82,6 +82,50 @@ def crop(vox: DataFrame, c: Crop) -> DataFrame:
     return vox.filter(inside).select((F.col("z") - c.z0).alias("z"), (F.col("y") - c.y0).alias("y"), (F.col("x") - c.x0).alias("x"), *rest)
 
 
+#: Slices of a bin in which voxels meet the regions of their stack.
+CROP_BIN = 16
+
+
+def crop_ranges(regions: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Half-open bounds z0, z_end, y0, y_end, x0, x_end of each region on the smallest level of its stack, and the factor back.
+
+    ``regions``: region_id, stack_id, level, bottom, top, x1, y1, x2, y2; ``catalog`` as from
+    ``sequence.level_catalog``. Bounds follow ``crop_bounds``, with the same order of operations in
+    doubles. Regions of a level that the catalog lacks are left out.
+    """
+    small = catalog.groupBy("stack_id").agg(F.max(F.struct("level", "width", "height", "seq_begin", "seq_end")).alias("s"))
+    rows = regions.join(catalog.select("stack_id", "level", F.col("width").alias("__w"), F.col("height").alias("__h"), (F.col("seq_end") - F.col("seq_begin") + 1).alias("__n")), ["stack_id", "level"]).join(small, "stack_id")
+    unset = (F.col("top") < 0) | (F.col("bottom") < 0) | (F.col("bottom") > F.col("top"))
+    depth = F.col("s.seq_end") - F.col("s.seq_begin") + 1
+    at = lambda v, extent, n: (v.cast("double") / extent.cast("double") * n).cast("int")
+    bottom, top = F.when(unset, 0).otherwise(F.col("bottom")), F.when(unset, F.col("__n") - 1).otherwise(F.col("top"))
+    z0 = F.greatest(F.lit(0), F.least(at(bottom, F.col("__n"), depth), depth - 1)).cast("int")
+    z1 = F.greatest(F.lit(0), F.least(at(top, F.col("__n"), depth), depth)).cast("int")
+    out = {"z0": z0, "z_end": F.when(z1 <= z0, F.least(z0 + 1, depth)).otherwise(z1).cast("int")}
+    for axis, extent, n in (("y", F.col("__h"), F.col("s.height")), ("x", F.col("__w"), F.col("s.width"))):
+        a, b = at(F.col(f"{axis}1"), extent, n), at(F.col(f"{axis}2"), extent, n)
+        beyond = (a < 0) | (b > n)
+        low = F.when(beyond, F.greatest(F.lit(0), F.least(a, n - 1))).otherwise(a)
+        out |= {f"{axis}0": low.cast("int"), f"{axis}_end": F.when(beyond, F.greatest(low + 1, F.least(b, n))).otherwise(b).cast("int")}
+    factor = F.pow(F.lit(2.0), F.col("s.level") - F.col("level")).cast("int")
+    return rows.select("region_id", "stack_id", F.col("s.level").alias("level"), *[c.alias(k) for k, c in out.items()], factor.alias("factor"))
+
+
+def crop_regions(vox: DataFrame, ranges: DataFrame) -> DataFrame:
+    """region_id and the voxels of each region, coordinates from 0: crops of all stacks in one range join.
+
+    ``vox`` is stack_id, level, z, y, x, v; ``ranges`` as from ``crop_ranges``. Voxels and regions meet in
+    bins of ``CROP_BIN`` slices of their stack, each voxel in one, so a region meets only the bins that it
+    reaches and a stack is many keys. Regions may overlap; an empty one gives no rows.
+    """
+    bins = F.sequence(F.floor(F.col("z0") / CROP_BIN), F.floor((F.col("z_end") - 1) / CROP_BIN))
+    asked = ranges.filter("z_end > z0 and y_end > y0 and x_end > x0").withColumn("__bin", F.explode(bins))
+    rows = vox.withColumn("__bin", F.floor(F.col("z") / CROP_BIN))
+    inside = [(F.col(c) >= F.col(f"{c}0")) & (F.col(c) < F.col(f"{c}_end")) for c in "zyx"]
+    met = rows.join(asked, ["stack_id", "level", "__bin"]).filter(inside[0] & inside[1] & inside[2])
+    return met.select("region_id", "stack_id", *[(F.col(c) - F.col(f"{c}0")).alias(c) for c in "zyx"], "v")
+
+
 def pair_average(vox: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Floor of the mean of slices 2k and 2k + 1; a last slice without partner stays as it is."""
     half = div(F.col("z"), 2).alias("z")
@@ -148,9 +192,10 @@ def is_valid(vox: DataFrame) -> DataFrame:
     sides = [F.max(c).cast("bigint") - F.min(c) + 1 for c in ("z", "y", "x")]
     whole = F.count(F.when(F.expr("z is not null and y is not null and x is not null and v is not null"), 1))
     full = (F.count("*") == sides[0] * sides[1] * sides[2]) & (whole == F.count("*"))
-    # Slices of a full box have one number of voxels each; repeats are caught in their slice.
-    places = vox.groupBy("z", "y").agg(F.count("*").alias("n"), F.count_distinct("x").alias("d")).filter("n <> d")
-    return vox.agg(F.coalesce(full & (F.count("*") > 0), F.lit(False)).alias("full")).select((F.col("full") & F.lit(places.isEmpty())).alias("valid"))
+    # A voxel that is there twice is caught at its place; both sides are one row.
+    twice = vox.groupBy("z", "y", "x").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n") > 1, F.lit(False)).alias("twice"))
+    found = vox.agg(F.coalesce(full & (F.count("*") > 0), F.lit(False)).alias("full"))
+    return found.join(F.broadcast(twice), F.lit(True)).select((F.col("full") & ~F.col("twice")).alias("valid"))
 
 
 def snapped(rows: DataFrame, value: str, points: DataFrame, tolerance: int) -> DataFrame:
@@ -242,19 +287,63 @@ def occupied_spans(counts: DataFrame, margin: float = 0.05) -> DataFrame:
     return span.select("axis", F.greatest(F.lit(0.0), (F.col("lo") - pad) / F.col("length")).alias("low"), F.least(F.lit(1.0), (F.col("hi") + pad) / F.col("length")).alias("high"))
 
 
+def joint_histogram(vox: DataFrame, type_max: int = 255) -> DataFrame:
+    """axis (z, y, x), position, bin, above, cnt: the volume's histogram at each position of each axis.
+
+    ``above`` tells values over the threshold that their own bin stands for, so that any threshold can be
+    applied to the counts. Counts of parts add up, so one volume's tables merge; their size is that of the
+    sides by 512 at most. Everything that the automatic set-up needs follows from it.
+    """
+    scaled = histogram_scale(F.col("v"), type_max).cast("bigint")
+    rows = vox.select("z", "y", "x", scaled.alias("bin"), (F.col("v") > threshold_on_type(scaled, type_max)).alias("above"))
+    sets = rows.groupingSets([["z", "bin", "above"], ["y", "bin", "above"], ["x", "bin", "above"]], "z", "y", "x", "bin", "above").agg(F.count("*").alias("cnt"), F.grouping_id().alias("g"))
+    # The bits of the id are z, y, x, bin, above from the highest.
+    axis = F.when(F.col("g") == 12, "z").when(F.col("g") == 20, "y").otherwise("x")
+    return sets.select(axis.alias("axis"), F.when(F.col("g") == 12, F.col("z")).when(F.col("g") == 20, F.col("y")).otherwise(F.col("x")).cast("bigint").alias("position"), "bin", "above", "cnt")
+
+
+def merged(*joints: DataFrame) -> DataFrame:
+    """One joint histogram of volumes whose positions are those of one whole volume."""
+    rows = joints[0]
+    for other in joints[1:]:
+        rows = rows.unionByName(other)
+    return rows.groupBy("axis", "position", "bin", "above").agg(F.sum("cnt").alias("cnt"))
+
+
+def histogram_of(joint: DataFrame) -> DataFrame:
+    """bin and cnt of all 256 bins, from a joint histogram."""
+    own = F.sum(F.when(F.col("axis") == "z", F.col("cnt")).otherwise(0))
+    counts = joint.groupBy("bin").agg(own.alias("cnt"))
+    bins = joint.sparkSession.range(BINS).select(F.col("id").alias("bin"))
+    return bins.join(counts, "bin", "left").select("bin", F.coalesce("cnt", F.lit(0)).cast("bigint").alias("cnt"))
+
+
+def marginals_of(joint: DataFrame, threshold: DataFrame) -> DataFrame:
+    """axis, position, cnt (voxels above the one row of ``threshold``) and n (voxels) there; no rows without a threshold."""
+    # One row.
+    rows = joint.join(F.broadcast(threshold.select("threshold")), F.col("threshold").isNotNull())
+    over = (F.col("bin") > F.col("threshold")) | ((F.col("bin") == F.col("threshold")) & F.col("above"))
+    return rows.groupBy("axis", "position").agg(F.sum(F.when(over, F.col("cnt")).otherwise(0)).alias("cnt"), F.sum("cnt").alias("n"))
+
+
 def auto_setup(vox: DataFrame, margin: float = 0.05, type_max: int = 255) -> DataFrame:
     """One row with threshold, separability, foreground and the spans of x, y, z; none without a proposal.
 
     No proposal: nothing splits, the split explains too little, the foreground is too small or too
-    large, or the spans cover everything.
+    large, or the spans cover everything. The volume is read once, for its joint histogram.
     """
-    split = otsu(histogram(vox, type_max)).filter(F.col("separability") >= MIN_SEPARABILITY)
-    marked = foreground(vox, split, type_max)
-    counts = marginals(marked, F.col("fg"))
+    return setup_of(joint_histogram(vox, type_max), margin)
+
+
+def setup_of(joint: DataFrame, margin: float = 0.05) -> DataFrame:
+    """``auto_setup`` from a joint histogram."""
+    split = otsu(histogram_of(joint)).filter(F.col("separability") >= MIN_SEPARABILITY)
+    counts = marginals_of(joint, split)
     spans = occupied_spans(counts, margin)
     at = lambda a, c: F.max(F.when(F.col("axis") == a, F.col(c))).alias(f"{a}_{c}")
     wide = spans.groupBy().agg(*[at(a, c) for a in ("x", "y", "z") for c in ("low", "high")], F.count("*").alias("axes")).filter("axes = 3")
-    total = counts.filter("axis = 'z'").agg((F.sum("cnt") / F.sum("n")).alias("foreground"))
+    own = lambda c: F.sum(F.when(F.col("axis") == "z", F.col(c)))
+    total = counts.agg((own("cnt") / own("n")).alias("foreground"))
     # One row on each side.
     rows = wide.join(F.broadcast(total), F.col("foreground").between(MIN_FOREGROUND, MAX_FOREGROUND)).join(F.broadcast(split), F.lit(True))
     cover = (F.col("x_high") - F.col("x_low")) * (F.col("y_high") - F.col("y_low"))

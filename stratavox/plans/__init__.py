@@ -1,3 +1,3 @@
-from . import catalogue, column_queries
+from . import catalogue, column_queries, stack_queries
 
-__all__ = ["catalogue", "column_queries"]
+__all__ = ["catalogue", "column_queries", "stack_queries"]

@@ -424,29 +424,6 @@ def obj_lines(spark, sf_dir):
     return sinks.obj_lines(*_points(spark, sf_dir)).select("line", F.col("ord.at").alias("at"))
 
 
-@query(
-    f"""WITH {VOX}, o AS (SELECT a.i AS oz, b.i AS oy, c.i AS ox FROM range(5) a(i), range(5) b(i), range(5) c(i)),
-g AS (SELECT i AS o, CAST(least(floor(i * 1.75::DOUBLE), 6) AS BIGINT) AS lo, i * 1.75::DOUBLE - least(floor(i * 1.75::DOUBLE), 6) AS f FROM range(5) r(i)),
-ax AS (SELECT o, lo AS i, 1 - f AS w FROM g UNION ALL SELECT o, lo + 1, f FROM g)
-SELECT oz AS z, oy AS y, ox AS x, CAST(floor(round(sum(a.w * b.w * c.w * v), 9) + 0.5) AS BIGINT) AS v FROM o JOIN ax a ON a.o = oz JOIN ax b ON b.o = oy JOIN ax c ON c.o = ox
-JOIN vox ON vox.z = a.i AND vox.y = b.i AND vox.x = c.i GROUP BY oz, oy, ox"""
-)
-def trilinear_zoom(spark, sf_dir):
-    return mesh.trilinear(standin.volume(spark, sf_dir).filter("z < 8"), (8, 8, 8), (5, 5, 5))
-
-
-@query()
-def volume_zoom(spark, sf_dir):
-    n = standin.depth(spark, sf_dir)
-    return mesh.trilinear(standin.volume(spark, sf_dir), (n, 8, 8), (mesh.zoom_size(n, 0.625), 5, 5))
-
-
-@query()
-def marching_cubes(spark, sf_dir):
-    vertices, triangles = mesh.indexed(mesh.marching_cubes(standin.volume(spark, sf_dir), (standin.depth(spark, sf_dir), 8, 8), 127.5))
-    return mesh.triangle_normals(vertices, triangles)
-
-
 # Progress
 
 

@@ -183,12 +183,12 @@ def strict_parse(spark, sf_dir):
 
 
 @query(
-    f"""WITH {BOX} SELECT k, CASE WHEN k % 2 = 1 THEN lpad(CAST(k AS VARCHAR), 6, '0') || '.tif' ELSE 's_' || lpad(CAST(k AS VARCHAR), 4, '0') || '.png' END AS first,
- CASE WHEN k + 1 <= 150 THEN CASE WHEN k % 2 = 1 THEN lpad(CAST(k + 1 AS VARCHAR), 6, '0') || '.tif' ELSE 's_' || lpad(CAST(k + 1 AS VARCHAR), 4, '0') || '.png' END END AS second FROM box WHERE k < 10000"""
+    f"""WITH {BOX} SELECT k, CASE WHEN k % 2 = 1 THEN lpad(CAST(k AS VARCHAR), 6, '0') || '.tif' ELSE 's_' || lpad(CAST(k AS VARCHAR), 9, '0') || '.png' END AS first,
+ CASE WHEN k + 1 <= 150 THEN CASE WHEN k % 2 = 1 THEN lpad(CAST(k + 1 AS VARCHAR), 6, '0') || '.tif' ELSE 's_' || lpad(CAST(k + 1 AS VARCHAR), 9, '0') || '.png' END END AS second FROM box"""
 )
 def pair_names(spark, sf_dir):
-    rows = _boxes(spark, sf_dir).filter("k < 10000")
-    names = scalars.pair_names(F.lit("s_"), F.col("k"), F.lit(150), F.lit(4), F.lit("png"), F.col("k") % 2)
+    rows = _boxes(spark, sf_dir)
+    names = scalars.pair_names(F.lit("s_"), F.col("k"), F.lit(150), F.lit(9), F.lit("png"), F.col("k") % 2)
     return rows.select("k", *[c.alias(n) for n, c in names.items()])
 
 
@@ -209,21 +209,13 @@ def image_listing(spark, sf_dir):
 SELECT name, row_number() OVER (ORDER BY dir, word, doc_id, ext) - 1 AS place FROM img"""
 )
 def natural_place(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    rows = sequence.slices_in_order(_files(spark, sf_dir))
-    # The place is what the test is about; a listing of one folder is small.
-    place = F.row_number().over(Window.orderBy(sequence.natural_key(F.col("path")), "path")) - 1
-    return rows.select("name", place.alias("place"))
+    files = _files(spark, sf_dir).filter(safety.has_image_extension(F.col("name")))
+    return sequence.placed(files, [sequence.natural_key(F.col("path")), F.col("path")]).select("name", "place")
 
 
 @query(f"WITH {FILES} SELECT count(*) FILTER (WHERE lower(name) LIKE '%.log') AS logs, min(name) FILTER (WHERE lower(name) LIKE '%.log') AS first, count(*) AS n, CAST(sum(length) AS BIGINT) AS bytes, count(*) FILTER (WHERE doc_id % 5 < 2) > 0 AS images FROM files")
 def folder_summary(spark, sf_dir):
-    files = _files(spark, sf_dir)
-    first = sequence.first_log(files).select(F.col("name").alias("first"))
-    counts = files.sparkSession.createDataFrame([(sequence.count_files(files, ".log"), sequence.count_files(files), sequence.is_image_directory(files))], "logs long, n long, images boolean")
-    # One row each.
-    return counts.join(F.broadcast(first), F.lit(True), "left").join(F.broadcast(sequence.total_bytes(files)), F.lit(True))
+    return sequence.folder_summary(_files(spark, sf_dir))
 
 
 @query("SELECT CAST(level AS BIGINT) AS level FROM (SELECT DISTINCT n_nationkey AS level FROM nation WHERE n_nationkey BETWEEN 1 AND 19 AND n_nationkey < 13)")

@@ -21,6 +21,23 @@ def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("z", div(F.col("p"), SIDE).cast("int").alias("y"), (F.col("p") % SIDE).alias("x"), v.alias("v"))
 
 
+def many_slices(spark: SparkSession, sf_dir: str, wide: int | None = None) -> DataFrame:
+    """The same volume in slice form, as five stacks s0 to s4 of every fifth slice; 8 bits, or 16 with values times ``wide``."""
+    value = lambda e: F.floor((e.cast("double") + 1) * 127.5).cast("int")
+    low = lambda n: F.lpad(F.hex(n), 2, "0")
+    pixel = (lambda e: low(value(e))) if wide is None else (lambda e: F.concat(low(value(e) * wide % 256), low(div(value(e) * wide, 256))))
+    pixels = F.unhex(F.array_join(F.transform("embedding", pixel), ""))
+    k = F.col("vec_id")
+    size = {"width": F.lit(SIDE), "height": F.lit(SIDE), "bit_depth": F.lit(8 if wide is None else 16)}
+    return table(spark, sf_dir, "embeddings").select(F.concat(F.lit("s"), k % 5).alias("stack_id"), F.lit(0).alias("level"), div(k, 5).cast("int").alias("z"), *[c.alias(n) for n, c in size.items()], pixels.alias("pixels"))
+
+
+def slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The volume in slice form, as one stack."""
+    k = F.substring("stack_id", 2, 9).cast("int") + 5 * F.col("z")
+    return many_slices(spark, sf_dir).withColumns({"z": k, "stack_id": F.lit("s")})
+
+
 def depth(spark: SparkSession, sf_dir: str) -> int:
     return (table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] or 0) + 1
 

@@ -53,20 +53,58 @@ def expected(sequence: DataFrame) -> DataFrame:
     return rows.select("index", sequence_name(F.col("prefix"), F.col("index"), F.col("index_length"), F.col("file_type")).alias("name"))
 
 
-def _by_lower_extension(rows: DataFrame) -> DataFrame:
-    stem = F.regexp_replace("name", r"\.[A-Za-z0-9_]+$", "")
-    return rows.withColumns({"__stem": stem, "__ext": F.lower(F.regexp_extract("name", r"\.([A-Za-z0-9_]+)$", 1))})
+#: Numbers of a block in which neighbours are found, and names that one row of a run expands to at most.
+RUN_BLOCK = 1 << 16
+
+
+def numbered(sequence: DataFrame, files: DataFrame) -> DataFrame:
+    """The numbers that ``files`` have of a sequence row, each once, with the columns of the row.
+
+    A file counts if its name is the expected one for its number; extensions compare without case.
+    """
+    rows = parsed(files).select(F.col("prefix").alias("__prefix"), F.col("ext").alias("__ext"), "digits", "number")
+    # A row for each stack.
+    met = rows.join(F.broadcast(sequence), (F.col("__prefix") == F.col("prefix")) & (F.col("__ext") == F.lower("file_type")))
+    digits = F.col("number").cast("string")
+    named = F.when(F.length(digits) >= F.col("index_length"), digits).otherwise(F.lpad(digits, F.col("index_length"), "0"))
+    met = met.filter(F.col("number").between(F.col("seq_begin"), F.col("seq_end")) & (F.col("digits") == named))
+    return met.select(*sequence.columns, "number").distinct()
+
+
+def missing_runs(sequence: DataFrame, files: DataFrame) -> DataFrame:
+    """first, last and the sequence's columns of each maximal run of expected files that do not exist.
+
+    The gaps between neighbouring numbers. Neighbours meet in blocks of ``RUN_BLOCK`` numbers, and the
+    ends of the blocks once more among themselves, so no task sorts a whole stack; no number that is
+    missing is ever made a row.
+    """
+    columns = sequence.columns
+    begin, end = (F.col(c) for c in ("seq_begin", "seq_end"))
+    have = numbered(sequence, files).withColumn("__block", F.floor(F.col("number") / RUN_BLOCK))
+    inside = have.withColumn("__after", F.lead("number").over(Window.partitionBy(*columns, "__block").orderBy("number")))
+    inside = inside.filter("__after > number + 1").select(*columns, (F.col("number") + 1).alias("first"), (F.col("__after") - 1).alias("last"))
+    # Before the first number, after the last one and between blocks; a stack without a file is one run.
+    ends = have.groupBy(*columns, "__block").agg(F.min("number").alias("lo"), F.max("number").alias("hi"))
+    edges = ends.select(*columns, "lo", "hi").unionByName(sequence.select(*columns, (begin - 1).alias("lo"), (begin - 1).alias("hi"))).unionByName(sequence.select(*columns, (end + 1).alias("lo"), (end + 1).alias("hi")))
+    edges = edges.withColumn("__next", F.lead("lo").over(Window.partitionBy(*columns).orderBy("lo", "hi")))
+    between = edges.filter("__next > hi + 1").select(*columns, (F.col("hi") + 1).alias("first"), (F.col("__next") - 1).alias("last"))
+    return inside.unionByName(between)
 
 
 def present(sequence: DataFrame, files: DataFrame) -> DataFrame:
-    """Expected files that exist; extensions compare without case."""
-    on = ["__stem", "__ext"]
-    return _by_lower_extension(expected(sequence)).join(_by_lower_extension(files).select(*on), on, "left_semi").select("index", "name")
+    """index and name of the expected files that exist; extensions compare without case."""
+    rows = numbered(sequence, files)
+    return rows.select(F.col("number").alias("index"), sequence_name(F.col("prefix"), F.col("number"), F.col("index_length"), F.col("file_type")).alias("name"))
 
 
 def missing(sequence: DataFrame, files: DataFrame) -> DataFrame:
-    on = ["__stem", "__ext"]
-    return _by_lower_extension(expected(sequence)).join(_by_lower_extension(files).select(*on), on, "left_anti").select("index", "name")
+    """index and name of the expected files that do not exist: the missing runs, expanded in pieces."""
+    runs = missing_runs(sequence, files)
+    piece = F.explode(F.sequence(F.floor(F.col("first") / RUN_BLOCK), F.floor(F.col("last") / RUN_BLOCK)))
+    rows = runs.withColumn("__piece", piece)
+    low, high = F.greatest(F.col("first"), F.col("__piece") * RUN_BLOCK), F.least(F.col("last"), F.col("__piece") * RUN_BLOCK + RUN_BLOCK - 1)
+    rows = rows.withColumn("index", F.explode(F.sequence(low, high)))
+    return rows.select("index", sequence_name(F.col("prefix"), F.col("index"), F.col("index_length"), F.col("file_type")).alias("name"))
 
 
 def ranked(files: DataFrame) -> DataFrame:
@@ -81,6 +119,38 @@ def natural_key(path):
     return F.transform(tokens, lambda t: F.when(t.rlike("^[0-9]+$"), F.lpad(t, 20, "0")).otherwise(t))
 
 
+#: Ranges into which a ranking deals its rows, and rows of the sample that sets their borders, for each of them.
+RANK_RANGES, RANK_SAMPLE = 256, 20
+
+
+def placed(rows: DataFrame, order: list, name: str = "place") -> DataFrame:
+    """``rows`` with their place (0, 1, ...) in the order of the columns ``order`` over the whole table.
+
+    Borders come from a bounded sample by hash (``RANK_RANGES`` by ``RANK_SAMPLE`` rows); rows are counted
+    by range, and a place is what the ranges before hold and the rank within the range. Rows that are
+    equal in all of ``order`` take any of their places; add columns that tell them apart where that matters.
+    """
+    keyed = rows.withColumn("__key", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]))
+    share = RANK_RANGES * RANK_SAMPLE / max(1, rows.count())
+    picked = keyed.filter(F.pmod(F.xxhash64("__key"), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))).select("__key").distinct()
+    # RANK_RANGES * RANK_SAMPLE rows or so; every RANK_SAMPLE-th is a border.
+    many = picked.select(F.array_sort(F.collect_list("__key")).alias("all"))
+    borders = many.select(F.expr(f"filter(all, (x, i) -> i % {RANK_SAMPLE} = {RANK_SAMPLE - 1})").alias("__borders"))
+    keyed = keyed.join(F.broadcast(borders), F.lit(True))
+    # Two looks at few borders instead of one at all of them.
+    step = int(RANK_RANGES**0.5)
+    under = lambda borders: F.size(F.filter(borders, lambda b: b <= F.col("__key")))
+    keyed = keyed.withColumn("__far", under(F.filter("__borders", lambda b, i: i % step == step - 1)))
+    keyed = keyed.withColumn("__range", F.col("__far") * step + under(F.slice("__borders", F.col("__far") * step + 1, step - 1)))
+    counts = keyed.groupBy("__range").agg(F.count("*").alias("n"))
+    # A row for each range.
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("__range", before.alias("__start"))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy("__key")) - 1
+    found = keyed.withColumn("__own", own).join(F.broadcast(starts), "__range")
+    return found.select(*rows.columns, (F.col("__start") + F.col("__own")).alias(name))
+
+
 def open_directory(spark: SparkSession, path: str) -> DataFrame:
     """The sequence row of a folder that any of Spark's file systems can open.
 
@@ -126,6 +196,13 @@ def count_files(files: DataFrame, suffix: str | None = None) -> int:
     return (files if suffix is None else files.filter(F.lower("name").endswith(suffix.lower()))).count()
 
 
+def folder_summary(files: DataFrame) -> DataFrame:
+    """One row: logs and the first of them, n (files), bytes, images (whether there is one), by one aggregate."""
+    log = F.lower("name").endswith(".log")
+    image = F.coalesce(F.bool_or(has_image_extension(F.col("name"))), F.lit(False))
+    return files.agg(F.count_if(log).alias("logs"), F.min(F.when(log, F.col("name"))).alias("first"), F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), image.alias("images"))
+
+
 def total_bytes(files: DataFrame) -> DataFrame:
     return files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
 

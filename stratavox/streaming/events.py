@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 from .progress import EMA_ALPHA, EMA_CHANGE
 
@@ -57,3 +58,9 @@ def smoothed_stream(events: DataFrame, by: str, value: str) -> DataFrame:
 
     rows = events.select(F.col(by).cast("string").alias("key"), "ts", F.col(value).cast("double").alias("value"))
     return rows.groupBy("key").applyInPandasWithState(step, "key string, n long, smoothed double", "n long, mean double", "update", GroupStateTimeout.NoTimeout)
+
+
+def in_order(results: DataFrame, by: str, index: str, value: str) -> DataFrame:
+    """``results`` without those whose ``value`` is null, with their place by ``index`` within their ``by``."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(index)) - 1
+    return results.filter(F.col(value).isNotNull()).withColumn("place", place)
