@@ -22,8 +22,55 @@ def reduce_square(a: np.ndarray, variant: str = "round") -> np.ndarray:
     return ((total + (2 if variant == "round" else 0)) >> 2).astype(a.dtype)
 
 
+#: Bits of a filter's whole-number weights, and the slope of its cubic at the first neighbours.
+FILTER_BITS, CUBIC = 22, -0.5
+
+
+def _cubic(x: np.ndarray) -> np.ndarray:
+    """The cubic convolution kernel: 1 at 0, 0 at the other whole numbers, of support 2."""
+    x = np.abs(x)
+    near = ((CUBIC + 2) * x - (CUBIC + 3)) * x * x + 1
+    far = CUBIC * (((x - 5) * x + 8) * x - 4)
+    return np.where(x < 1, near, np.where(x < 2, far, 0.0))
+
+
+def filter_weights(n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``m`` places from ``n``: the first source place, and the weights from there in 2^-22.
+
+    The kernel is stretched by the scale, so that it averages where the image shrinks; weights are
+    normalised, rounded halves away from 0, and 0 beyond the ends.
+    """
+    scale = n / m
+    stretch = max(1.0, scale)
+    middle = (np.arange(m) + 0.5) * scale
+    low = np.maximum(np.floor(middle - 2 * stretch + 0.5), 0).astype(int)
+    high = np.minimum(np.floor(middle + 2 * stretch + 0.5), n).astype(int)
+    at = low[:, None] + np.arange((high - low).max())
+    w = np.where(at < high[:, None], _cubic((at - middle[:, None] + 0.5) / stretch), 0.0)
+    w = w / w.sum(1, keepdims=True) * (1 << FILTER_BITS)
+    return low, (np.sign(w) * np.floor(np.abs(w) + 0.5)).astype(np.int64)
+
+
+def resize_filtered(a: np.ndarray, height: int, width: int) -> np.ndarray:
+    """An 8-bit image resized by ``filter_weights``: rows first, then columns, each pass rounded and clipped to 8 bits."""
+    for m in (width, height):
+        low, w = filter_weights(a.shape[1], m)
+        at = np.minimum(low[:, None] + np.arange(w.shape[1]), a.shape[1] - 1)
+        total = sum(a[:, at[:, k]].astype(np.int64) * w[:, k] for k in range(w.shape[1]))
+        # The passes turn the image, so that each works along its rows.
+        a = np.clip((total + (1 << FILTER_BITS - 1)) >> FILTER_BITS, 0, 255).astype(np.uint8).T
+    return a
+
+
 def halve_pair(a: np.ndarray, b: np.ndarray | None, variant: str = "round") -> np.ndarray:
-    """One slice of the next level from two slices, or from a last one alone."""
+    """One slice of the next level from two slices, or from a last one alone.
+
+    ``round`` and ``floor`` are means of 2 by 2; ``filter`` halves 8-bit images by a resampling filter,
+    and 16-bit ones as ``floor`` does.
+    """
+    if variant == "filter" and a.dtype == np.uint8 and min(a.shape) > 1:
+        mean = a if b is None else ((a.astype(np.uint16) + b) >> 1).astype(np.uint8)
+        return resize_filtered(mean, a.shape[0] // 2, a.shape[1] // 2)
     if b is None:
         return reduce_square(a, variant)
     if variant == "round":
@@ -59,6 +106,9 @@ def pyramid(slices: DataFrame, levels: int, variant: str = "round", odd: str = "
 
 
 def _fused(slices: DataFrame, k: int, variant: str, odd: str) -> DataFrame:
+    if variant not in ("round", "floor", "filter"):
+        raise ValueError(f"unknown variant: {variant}")
+
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("z")
         stack, level = rows["stack_id"].iloc[0], int(rows["level"].iloc[0])

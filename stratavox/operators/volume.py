@@ -313,7 +313,8 @@ def merged(*joints: DataFrame) -> DataFrame:
 def histogram_of(joint: DataFrame) -> DataFrame:
     """bin and cnt of all 256 bins, from a joint histogram."""
     own = F.sum(F.when(F.col("axis") == "z", F.col("cnt")).otherwise(0))
-    counts = joint.groupBy("bin").agg(own.alias("cnt"))
+    # No filter gets below the aggregate this way, so all that is derived from one histogram shares its shuffle.
+    counts = joint.groupBy(F.coalesce("bin", F.lit(-1)).alias("bin")).agg(own.alias("cnt"))
     bins = joint.sparkSession.range(BINS).select(F.col("id").alias("bin"))
     return bins.join(counts, "bin", "left").select("bin", F.coalesce("cnt", F.lit(0)).cast("bigint").alias("cnt"))
 

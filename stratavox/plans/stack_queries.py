@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import bricks, levels, mesh, pyramid, resample, volume
 from ..sources import sequence
-from ..streaming import events, progress
+from ..streaming import events, folds, progress
 from . import standin
 from .catalogue import ALL_LEVELS, LOG, PYRAMID, RUNNING, SLICES, VOX, query
 
@@ -131,6 +131,22 @@ def resume_images(spark, sf_dir):
     return volume.voxels(pyramid.missing_levels(slices, existing, 3)).select("level", "z", "y", "x", "v")
 
 
+# Half of 8 places: the kernel is stretched by 2, so its 8 taps lie at odd eighths; ends are normalised.
+FILTER = """tap AS (SELECT o, i, abs((i - (o + 0.5::DOUBLE) * 2 + 0.5::DOUBLE) / 2) AS d FROM range(4) a(o), range(8) b(i) WHERE i >= greatest(2 * o + 1 - 4, 0) AND i < least(2 * o + 1 + 4, 8)),
+cub AS (SELECT o, i, CASE WHEN d < 1 THEN (1.5::DOUBLE * d - 2.5::DOUBLE) * d * d + 1 WHEN d < 2 THEN -0.5::DOUBLE * (((d - 5) * d + 8) * d - 4) ELSE 0 END AS w FROM tap),
+fix AS (SELECT o, i, w / sum(w) OVER (PARTITION BY o) * 4194304 AS w FROM cub), k AS (SELECT o, i, CAST(sign(w) * floor(abs(w) + 0.5::DOUBLE) AS BIGINT) AS w FROM fix)"""
+
+
+@query(
+    f"""WITH {VOX}, {FILTER}, m AS (SELECT z // 2 AS z, y, x, CAST(sum(v) // count(*) AS BIGINT) AS v FROM vox GROUP BY z // 2, y, x),
+h AS (SELECT z, y, o AS x, greatest(0, least(255, CAST(floor((sum(v * w) + 2097152) / 4194304.0::DOUBLE) AS BIGINT))) AS v FROM m JOIN k ON i = x GROUP BY z, y, o)
+SELECT z, o AS y, x, greatest(0, least(255, CAST(floor((sum(v * w) + 2097152) / 4194304.0::DOUBLE) AS BIGINT))) AS v FROM h JOIN k ON i = y GROUP BY z, o, x"""
+)
+def pyramid_filtered(spark, sf_dir):
+    made = pyramid.pyramid(standin.slices(spark, sf_dir), 1, "filter")
+    return volume.voxels(made).select("z", "y", "x", "v")
+
+
 @query(
     """WITH s AS (SELECT n_name AS stack_id, 10 + 13 * n_nationkey AS span, 300 + 91 * n_nationkey AS side FROM nation)
 SELECT stack_id, k AS level, ((span >> (k - 1)) + 1) // 2 + 1 AS images, CAST(floor(side / pow(2.0::DOUBLE, k)) AS BIGINT) AS size, pow(0.25::DOUBLE, k) AS weight FROM s, range(1, 32) r(k) WHERE side / pow(2.0::DOUBLE, k - 1) >= 256"""
