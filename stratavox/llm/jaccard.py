@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import materialise, small_batches
 
 #: Sizes are dealt to levels whose bounds grow by this factor, or by 100 / percent where that is more.
 LADDER = 2
@@ -421,10 +421,11 @@ def link(docs: DataFrame, percent: int = 80, width: int = 5, rounds: int = 1) ->
     an empty table gives no rows. Texts are read whole; no group of documents is gathered in one
     task, and no partner or candidate is left out.
     """
-    described = materialise(describe(docs, percent, width), "sets")
-    groups = shared_regions(described)
-    wanted = described.join(groups.select(F.col("x").alias("set_id")).distinct(), "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    sets = materialise(sets_of(docs, wanted, width), "shingles")
+    with small_batches(docs.sparkSession):
+        described = materialise(describe(docs, percent, width), "sets")
+        groups = shared_regions(described)
+        wanted = described.join(groups.select(F.col("x").alias("set_id")).distinct(), "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+        sets = materialise(sets_of(docs, wanted, width), "shingles")
     measured = materialise(_measured(groups.filter("g <> x").select(F.col("g").alias("a"), F.col("x").alias("b")), sets), "measured")
     edges = materialise(_linked(measured, percent), "edges")
     found = components(edges)
