@@ -353,9 +353,8 @@ def _first_elements(ordered: DataFrame, overlap: Column) -> DataFrame:
     first = F.least(F.size("order"), F.size("order") - F.greatest(F.lit(1), F.ceil(overlap - 1e-9)) + 1).cast("int")
     rows = ordered.withColumn("first", first).filter("first > 0")
     # What lies behind the first elements, and the last of them.
-    rows = rows.withColumns({"rest": F.size("order") - F.col("first"), "last": F.element_at("order", F.col("first"))})
-    rows = rows.select("g", "id", "component", "r", "n", "rest", "last", F.explode(F.slice("order", F.lit(1), F.col("first"))).alias("o"))
-    return rows.withColumn("e", F.col("o.e")).drop("o")
+    rows = rows.withColumns({"rest": F.size("order") - F.col("first"), "last": F.element_at("order", F.col("first")), "firsts": F.transform(F.slice("order", F.lit(1), F.greatest(F.col("first"), F.lit(0))), lambda o: o["e"])})
+    return rows.select("g", "id", "component", "r", "n", "rest", "last", "firsts", F.explode("firsts").alias("e"))
 
 
 def _met(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
@@ -363,17 +362,19 @@ def _met(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
 
     Their sizes and distances must lie in the windows of the triangle inequality. All elements in
     common up to the earlier one of the two last first elements are met; behind it there are at most
-    as many as that set has left.
+    as many as that set has left. A pair meets once in a cell, in the first element that both have
+    among their first ones.
     """
     c = (100 - percent) / (100 + percent)
     side = lambda rows, k: rows.select(*[x if x in ("g", "e") else F.col(x).alias(f"{x}{k}") for x in rows.columns])
     bound = c * (F.col("n1") + F.col("n2")) + 1e-6
     window = (F.abs(F.col("r1") - F.col("r2")) <= bound) & (F.col("n1") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n1") * percent)
     other = (F.col("component1") != F.col("component2")) & ((F.col("id1") < F.col("id2")) if left is right else F.lit(True))
-    met = side(left, 1).join(side(right, 2), ["g", "e"]).filter(other & window)
     behind = F.when(F.col("last1") <= F.col("last2"), F.col("rest1")).otherwise(F.col("rest2"))
     spare = behind - (F.col("r1") + F.col("r2") - bound) / 2
-    pairs = met.groupBy("g", "id1", "id2").agg(F.count("*").alias("shared"), F.max(spare).alias("spare")).filter("shared + spare >= 0")
+    shared = F.array_intersect("firsts1", "firsts2")
+    once = (F.element_at(shared, 1) == F.col("e")) & (F.size(shared) + spare >= 0)
+    pairs = side(left, 1).join(side(right, 2), ["g", "e"]).filter(other & window & once)
     return pairs.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"))
 
 

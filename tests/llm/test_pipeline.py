@@ -94,6 +94,9 @@ CONTRACT = {
     "op8": {"doc_id", "n_shingles", "component_id"},
     "op9": {"doc_id", "held_out", "lang_pred", "score"},
     "op10": {"doc_id", "size", "source_size", "target", "taken"},
+    "op11": {"doc_id", "held_out", "score", "predicted"},
+    "op12": {"doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"},
+    "op13": {"vec_id", "code", "error", "label_error", "codebooks_sha256"},
 }
 
 
@@ -101,4 +104,19 @@ CONTRACT = {
 def test_query_contracts(spark, sf_dir, name):
     got = queries.QUERIES[name](spark, sf_dir)
     assert CONTRACT[name.split("_")[0]] <= set(got.columns)
-    assert got.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    table = "embeddings" if name.startswith("op13_") else "documents"
+    assert got.count() == spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
+
+
+def test_queries_equal_their_sql(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    for name, sql in queries.ORACLE_SQL.items():
+        table = "embeddings" if name.startswith("op13_") else "documents"
+        con.execute(f"create or replace view {table} as select * from '{sf_dir}/{table}.parquet'")
+        got = queries.QUERIES[name](spark, sf_dir)
+        want = con.execute(sql)
+        columns = [d[0] for d in want.description]
+        assert sorted(columns) == sorted(got.columns)
+        assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == sorted(map(tuple, want.fetchall()))
