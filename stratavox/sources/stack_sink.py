@@ -39,14 +39,18 @@ class Written(WriterCommitMessage):
 
 
 class StackWriter(DataSourceWriter):
+    """One job. Its staging folder is there from the start and gone at the end, so a task that is still running then can write nothing."""
+
     def __init__(self, path: str, deflate: bool, overwrite: bool):
         self.path, self.deflate, self.overwrite = path, deflate, overwrite
         self.job = uuid.uuid4().hex
+        system, base = _opened(path)
+        system.create_dir(f"{base}/{STAGING}/{self.job}")
 
     def write(self, iterator: Iterator) -> Written:
         system, base = _opened(self.path)
         folder, names = f"{base}/{STAGING}/{self.job}/{uuid.uuid4().hex}", []
-        system.create_dir(folder)
+        system.create_dir(folder, recursive=False)
         for row in iterator:
             if not row["name"] or "/" in row["name"] or row["pixels"] is None:
                 raise ValueError(f"not an image with a plain name: {row['name']!r}")
