@@ -37,33 +37,56 @@ ENCODINGS = (
 SWITCH_RATE = 0.2
 #: Tokens whose battery against uniform randomness falls below this are not random.
 UNIFORM_LEVEL = 0.001
+#: Elements of an array that a fold goes over at a time.
+CHUNK = 256
 #: p-values are counted in bins of a tenth of a decade.
 BINS = 400
 
 
+def _starts(lengths: Column) -> Column:
+    """What the elements before each one of an array sum up to.
+
+    A fold that appends copies all it has; folds over chunks of ``CHUNK``, and one over the chunks'
+    sums, keep that small for texts of very many matches.
+    """
+    def fold(values: Column, value) -> Column:
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(values, none, lambda acc, x: F.struct((acc["at"] + value(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+
+    def chunked(x: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(x) - 1) / CHUNK).cast("int")))
+        return F.transform(places, lambda i: fold(F.slice(x, i * CHUNK + 1, F.lit(CHUNK)), lambda v: v))
+
+    def joined(parts: Column) -> Column:
+        add = lambda offsets: F.flatten(F.transform(parts, lambda part, i: F.transform(part["out"], lambda v: v + F.get(offsets, i))))
+        return let(fold(parts, lambda part: part["at"])["out"], add)
+
+    return let(let(lengths, chunked), joined)
+
+
 def _spans(text: Column, pattern: str, group: int = 0, least: int = 1) -> Column:
     """start, end and token of the pattern's matches, leftmost first; group ``group`` has ``least`` characters or more.
 
     The pieces between the matches come from ``split``, so places are sums of lengths in code points.
     """
-    none = F.array().cast("array<struct<start:int,end:int,token:string>>")
-
-    def fold(gaps: Column) -> Column:
+    def located(gaps: Column) -> Column:
         found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
         kept = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+        return let(F.arrays_zip(F.slice(gaps, 1, F.size(gaps) - 1).alias("gap"), found.alias("found"), kept.alias("kept")), placed)
+
+    def placed(rows: Column) -> Column:
+        def at(starts: Column) -> Column:
+            def span(x: Column, i: Column) -> Column:
+                start = F.get(starts, i) + F.length(x["gap"])
+                return F.struct(start.alias("start"), (start + F.length(x["found"])).alias("end"), F.when(F.length(x["kept"]) >= least, x["found"]).alias("token"))
 
-        def step(acc: Column, x: Column) -> Column:
-            start = acc["at"] + F.length(x["gap"])
-            end = start + F.length(x["found"])
-            one = F.array(F.struct(start.alias("start"), end.alias("end"), x["found"].alias("token")))
-            return F.struct(end.alias("at"), F.when(F.length(x["kept"]) >= least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+            return F.filter(F.transform(rows, span), lambda x: x["token"].isNotNull())
 
-        rows = F.arrays_zip(F.slice(gaps, 1, F.size(gaps) - 1).alias("gap"), found.alias("found"), kept.alias("kept"))
-        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-        return F.aggregate(rows, start, step)["out"]
+        return let(_starts(F.transform(rows, lambda x: F.length(x["gap"]) + F.length(x["found"]))), at)
 
     # One scan tells whether there is anything; most texts have none.
-    return F.when(text.rlike(pattern), let(F.split(text, pattern, -1), fold)).otherwise(none)
+    none = F.array().cast("array<struct<start:int,end:int,token:string>>")
+    return F.when(text.rlike(pattern), let(F.split(text, pattern, -1), located)).otherwise(none)
 
 
 def _upper_tail(z: Column) -> Column:
@@ -134,14 +157,14 @@ def _judged(tokens: Column) -> Column:
     """The candidates with encoding, p_uniform and p_text; mixed runs by their parts."""
 
     def parts(x: Column) -> Column:
-        def step(acc: Column, piece: Column) -> Column:
-            end = acc["at"] + F.length(piece)
-            one = F.array(F.struct(acc["at"].alias("start"), end.alias("end"), piece.alias("token")))
-            return F.struct((end + 1).alias("at"), F.when(F.length(piece) >= LEAST, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        def cut(pieces: Column) -> Column:
+            def piece(starts: Column) -> Column:
+                span = lambda p, i: F.struct((x["start"] + F.get(starts, i)).alias("start"), (x["start"] + F.get(starts, i) + F.length(p)).alias("end"), p.alias("token"))
+                return F.filter(F.transform(pieces, span), lambda y: F.length(y["token"]) >= LEAST)
+
+            return let(_starts(F.transform(pieces, lambda p: F.length(p) + 1)), piece)
 
-        none = F.array().cast("array<struct<start:int,end:int,token:string>>")
-        cut = F.aggregate(F.split(x["token"], "/"), F.struct(x["start"].alias("at"), none.alias("out")), step)["out"]
-        return F.when(x["token"].rlike(MIXED), cut).otherwise(F.array(x))
+        return F.when(x["token"].rlike(MIXED), let(F.split(x["token"], "/"), cut)).otherwise(F.array(x))
 
     def of(x: Column) -> Column:
         kind = F.coalesce(*[F.when(x["token"].rlike(pattern), F.lit(name)) for name, pattern, _, _ in ENCODINGS])
@@ -193,16 +216,31 @@ def _level(tokens: DataFrame, rate: float) -> float:
     return discovery_level(rows.select(F.col("x.p.p_text").alias("p_text"), (F.col("x.p.p_uniform") >= UNIFORM_LEVEL).alias("random")), rate)
 
 
+def _overlaps(tokens: Column, spans: Column) -> Column:
+    """Whether each of ``tokens`` overlaps one of ``spans``: the spans that start before its end less those that end by its start.
+
+    Tokens are apart and in order. Both counts are running sums over the sorted places of both arrays.
+    """
+    def counted(place: str, token_place: str, span_first: int) -> Column:
+        place_of = lambda x, at, flag, rank: F.struct(x[at].alias("at"), F.lit(rank).alias("rank"), F.lit(flag).alias("flag"))
+        marks = F.array_sort(F.concat(F.transform(spans, lambda x: place_of(x, place, 1, 1 - span_first)), F.transform(tokens, lambda x: place_of(x, token_place, 0, span_first))))
+        of_tokens = lambda m: let(_starts(F.transform(m, lambda x: x["flag"])), lambda n: F.filter(F.transform(m, lambda x, i: F.when(x["flag"] == 0, F.get(n, i))), lambda v: v.isNotNull()))
+        return let(marks, of_tokens)
+
+    return F.zip_with(counted("start", "end", 0), counted("end", "start", 1), lambda a, b: a > b)
+
+
 def _with_random(base: Column, tokens: Column, level: float) -> Column:
     """All spans: the base ones, and the tokens that are discoveries at ``level`` and overlap none of them."""
-    chosen = F.filter(
-        tokens,
-        lambda x: (x["p"]["p_uniform"] >= UNIFORM_LEVEL)
-        & (F.lit(10.0) ** (-_log_bin(x["p"]["p_text"]) / 10.0) <= F.lit(level * 1.0000001))
-        & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
-    )
-    added = F.transform(chosen, lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")))
-    return F.array_sort(F.concat(base, added))
+    found = lambda x: (x["p"]["p_uniform"] >= UNIFORM_LEVEL) & (F.lit(10.0) ** (-_log_bin(x["p"]["p_text"]) / 10.0) <= F.lit(level * 1.0000001))
+    as_span = lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end"))
+
+    def added(chosen: Column) -> Column:
+        free = F.filter(F.zip_with(chosen, _overlaps(chosen, base), lambda x, hit: F.when(~hit, as_span(x))), lambda x: x.isNotNull())
+        # Most texts have no base span or no token: nothing to compare.
+        return F.when((F.size(base) == 0) | (F.size(chosen) == 0), F.transform(chosen, as_span)).otherwise(free)
+
+    return F.array_sort(F.concat(base, let(F.filter(tokens, found), added)))
 
 
 def scan(docs: DataFrame, rate: float = 0.01) -> DataFrame:

@@ -689,3 +689,39 @@ def test_mixed_documents(docs, empty):
     have = Counter(r["doc_id"] for r in got.collect())
     assert all(have[i] == k for i, k in n.items())
     assert mixing.mix_documents(empty).isEmpty() and mixing.mix_sizes(empty).isEmpty()
+
+
+def test_secrets_of_one_long_text(spark):
+    """Fifty thousand tokens and thousands of base spans in one text: linear work, the same spans as by brute force."""
+    import time
+
+    rng = random.Random(6)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    token = lambda: "".join(rng.choice(alphabet) for _ in range(18))
+    words = [token() if i % 10 else "password=" + token() if i % 20 else "deadbeef" * 4 for i in range(50_000)]
+    text = "é𝒳 " + " ".join(words)
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    row = secrets.scan(df).first()
+    assert time.time() - began < 120
+    assert [tuple(x) for x in row["base_spans"]] == base_spans(text)
+    added = [x for x in row["spans"] if x["kind"] == 3]
+    assert len(added) > 20_000 and all(re.fullmatch("[a-zA-Z0-9]{18}", text[x["start"] : x["end"]]) for x in added)
+
+
+def test_running_sums_and_overlaps(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "CHUNK", 4)
+    rng = random.Random(8)
+    for n in (0, 1, 4, 5, 16, 17, 33):
+        x = [rng.randint(0, 9) for _ in range(n)]
+        got = spark.createDataFrame([(x,)], "x array<int>").select(secrets._starts(F.col("x")).alias("y")).first()["y"]
+        assert got == [sum(x[:i]) for i in range(n)]
+    tokens, at = [], 0
+    for _ in range(40):
+        at += rng.randint(1, 8)
+        tokens.append((at, at + rng.randint(1, 6)))
+        at = tokens[-1][1]
+    spans = sorted((a, a + rng.randint(1, 5)) for a in (rng.randint(0, at) for _ in range(12)))
+    df = spark.createDataFrame([(tokens, spans)], "t array<struct<start:int,end:int>>, s array<struct<start:int,end:int>>")
+    got = df.select(secrets._overlaps(F.col("t"), F.col("s")).alias("y")).first()["y"]
+    assert got == [any(b < y and x < e for b, e in spans) for x, y in tokens]
