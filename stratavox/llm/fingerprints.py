@@ -15,6 +15,8 @@ PACKED, STEP = 42, 21
 ONE = 1 | 1 << STEP | 1 << 2 * STEP
 LANE = (1 << 20) - 1
 PACKED_MASK = LANE | LANE << STEP | LANE << 2 * STEP
+#: Units longer than this are cut behind words that end in these characters: an edit moves the cuts beside it alone.
+LONG_UNIT, CUT = 200, r"(?<=[dgklmrty,;:\u0400-\uFFFF])\x20"
 #: At most this many buckets of neighbouring ids.
 MAX_BUCKETS, ROWS_A_BUCKET, COARSE = 65_536, 1_500, 256
 
@@ -24,14 +26,16 @@ def _paragraphs(text: Column) -> Column:
 
 
 def _sentences(text: Column) -> Column:
-    return F.filter(F.split(text, r"\n|(?<=[.!?])\x20"), lambda p: p.rlike(r"[^\x20\x09-\x0D]"))
+    """The units of the likeness lanes: sentences, and those that are longer than ``LONG_UNIT`` cut by their content."""
+    pieces = F.transform(F.split(text, r"\n|(?<=[.!?])\x20"), lambda p: F.when(F.length(p) > LONG_UNIT, F.split(p, CUT)).otherwise(F.array(p)))
+    return F.filter(F.flatten(pieces), lambda p: p.rlike(r"[^\x20\x09-\x0D]"))
 
 
 def fingerprint(text: Column) -> Column:
     """array<long>: WIDE sums over paragraphs, PACKED sums over their sentences, and their number.
 
     Each paragraph contributes one vector: 62-bit hashes of the whole paragraph in the wide lanes,
-    and for each of its sentences one bit a packed lane. The fingerprint is the sum of the
+    and for each of its sentences (or parts of long ones) one bit a packed lane. The fingerprint is the sum of the
     paragraphs' vectors modulo powers of two, so it does not depend on their order, and paragraphs
     can be put in or taken out (``insert``, ``delete``) without the rest of the text. Blank
     paragraphs contribute nothing; a null or empty text has the zero vector. Two texts with equal
@@ -81,7 +85,7 @@ def _signs(f: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of sentences that two fingerprints have in common, 0 to 1.
+    """Share of sentences (and parts of long ones) that two fingerprints have in common, 0 to 1.
 
     The sums of signs are a linear sketch: their scalar products estimate those of the sentence
     multisets, with a standard error of about 1 / sqrt(126). Equal fingerprints give exactly 1, as

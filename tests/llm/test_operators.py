@@ -725,3 +725,11 @@ def test_running_sums_and_overlaps(spark, monkeypatch):
     df = spark.createDataFrame([(tokens, spans)], "t array<struct<start:int,end:int>>, s array<struct<start:int,end:int>>")
     got = df.select(secrets._overlaps(F.col("t"), F.col("s")).alias("y")).first()["y"]
     assert got == [any(b < y and x < e for b, e in spans) for x, y in tokens]
+
+
+def test_likeness_of_texts_without_sentence_marks(spark):
+    rng = random.Random(12)
+    words = lambda n: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 8))) for _ in range(n)]
+    rows = [(i, " ".join(words(2000))) for i in range(6)] + [(10 + i, " ".join(words(30)) + ".") for i in range(3)]
+    got = {r["doc_id"]: r for r in fingerprints.edited_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(0.3 < got[i]["near_edited"] < 0.7 and got[i]["near_next"] < 0.25 for i in range(6))
