@@ -170,7 +170,7 @@ def word_table(model: Model, words: pa.Array) -> np.ndarray:
 
 
 def _scored(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-    cleaned = pc.utf8_lower(pc.fill_null(texts, ""))
+    cleaned = pc.fill_null(texts, "")
     letters = pc.match_substring_regex(cleaned, r"\p{L}").to_numpy(zero_copy_only=False)
     lists = pc.ascii_split_whitespace(cleaned)
     flat = lists.flatten()
@@ -218,4 +218,5 @@ def predict(text: Column, model: Model) -> Column:
                 start = end
             yield pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": pd.Series(scores, dtype=float)})
 
-    return predicted(text)
+    # The same lower case as in learning: that of Spark.
+    return predicted(F.lower(text))

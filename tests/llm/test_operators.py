@@ -733,3 +733,15 @@ def test_likeness_of_texts_without_sentence_marks(spark):
     rows = [(i, " ".join(words(2000))) for i in range(6)] + [(10 + i, " ".join(words(30)) + ".") for i in range(3)]
     got = {r["doc_id"]: r for r in fingerprints.edited_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(0.3 < got[i]["near_edited"] < 0.7 and got[i]["near_next"] < 0.25 for i in range(6))
+
+
+def test_words_are_lowered_alike_in_learning_and_prediction(spark):
+    greek = ["ΟΔΟΣ ΛΟΓΟΣ ΝΟΜΟΣ ΤΟΠΟΣ", "ΛΟΓΟΣ ΟΔΟΣ ΤΟΠΟΣ ΝΟΜΟΣ"] * 8
+    other = ["İSTANBUL İZMİR İYİ İLK", "İLK İYİ İZMİR İSTANBUL"] * 8
+    docs = spark.createDataFrame([(i, t, lang) for lang, texts in (("el", greek), ("tr", other)) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    known = set(model.words.to_pylist())
+    lowered = {w for r in docs.select(F.split(F.lower("text"), " ").alias("w")).collect() for w in r["w"]}
+    assert lowered <= known
+    got = docs.select("lang", langid.predict(F.col("text"), model)["lang_pred"].alias("p"), langid.predict(F.col("text"), model)["score"].alias("s")).collect()
+    assert all(r["lang"] == r["p"] and r["s"] > 0.9 for r in got)
