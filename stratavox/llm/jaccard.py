@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, small_batches
+from .common import materialise, remove, small_batches
 
 #: Sizes are dealt to levels whose bounds grow by this factor, or by 100 / percent where that is more.
 LADDER = 2
@@ -427,6 +427,9 @@ def link(docs: DataFrame, percent: int = 80, width: int = 5, rounds: int = 1) ->
         groups = shared_regions(described)
         wanted = described.join(groups.select(F.col("x").alias("set_id")).distinct(), "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
         sets = materialise(sets_of(docs, wanted, width), "shingles")
+    # The regions, most of what is written so far, are not needed any more.
+    fat, described = described, materialise(described.select("doc_id", "n_shingles", "set_id"), "documents")
+    remove(docs.sparkSession, fat)
     measured = materialise(_measured(groups.filter("g <> x").select(F.col("g").alias("a"), F.col("x").alias("b")), sets), "measured")
     edges = materialise(_linked(measured, percent), "edges")
     found = components(edges)
