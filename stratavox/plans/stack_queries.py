@@ -178,7 +178,7 @@ def joint_histogram(spark, sf_dir):
 
 # Crops
 
-REGIONS = """reg AS (SELECT n_nationkey AS region_id, 's' || n_nationkey % 5 AS stack_id, n_nationkey % 2 AS level, n_nationkey * 2 AS bottom, CASE WHEN n_nationkey % 7 = 0 THEN -1 ELSE n_nationkey * 3 + 4 END AS top,
+REGIONS = """reg AS (SELECT CAST(n_nationkey AS BIGINT) AS region_id, 's' || n_nationkey % 5 AS stack_id, n_nationkey % 2 AS level, n_nationkey * 2 AS bottom, CASE WHEN n_nationkey % 7 = 0 THEN -1 ELSE n_nationkey * 3 + 4 END AS top,
  n_nationkey % 5 AS x1, n_nationkey % 4 AS y1, n_nationkey % 5 + 1 + n_nationkey % 13 AS x2, n_nationkey % 4 + 2 + n_nationkey % 9 AS y2 FROM nation)"""
 CROPS = f"""{VOX}, vs AS (SELECT 's' || z % 5 AS stack_id, z // 5 AS z, y, x, v FROM vox), d AS (SELECT stack_id, max(z) + 1 AS n FROM vs GROUP BY stack_id), {REGIONS},
 a AS (SELECT reg.*, n, CASE WHEN level = 1 THEN n ELSE 2 * n END AS cn, CASE WHEN level = 1 THEN 8 ELSE 16 END AS side FROM reg JOIN d USING (stack_id)),
