@@ -48,14 +48,30 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{uuid.uuid4().hex}/{name}"
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """The session's setting ``key`` is ``value`` for the actions inside."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a re-read of shared files, never a recomputation.
+    The shuffle files of the write go when it is done, as nothing reads them any more.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -66,12 +82,9 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
     JVM and Python worker hold a batch each, several times over while it is written and read.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
+    now = int(spark.conf.get(key))
+    with setting(spark, key, str(min(rows, now) if now > 0 else rows)):
         yield
-    finally:
-        spark.conf.set(key, before)
 
 
 def remove(spark: SparkSession, table: DataFrame) -> None:
