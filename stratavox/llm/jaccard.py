@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ LADDER = 2
 FINER = 1.5
 #: Slots (as powers of two) of the tables that keep sets and regions without a partner out of later passes.
 SET_BITS, REGION_BITS = 22, 26
+#: Passes in which the pivots of regions are found.
+PASSES = 2
 #: Further pivots that a region with several components is split by at once: the member next to its pivot, and others by chance.
 PIVOTS = 2
 
@@ -214,8 +217,10 @@ def shared_regions(described: DataFrame) -> DataFrame:
     (``REGION_BITS``) spares most regions of one set that second shuffle.
     """
     keyed = described.select(F.explode("regions").alias("region"), "set_id")
-    pivots = keyed.groupBy("region").agg(F.min("set_id").alias("g"), F.max("set_id").alias("other")).filter("g < other").select("region", "g")
-    pivots = materialise(pivots, "region_pivots")
+    found = keyed.groupBy("region").agg(F.min("set_id").alias("g"), F.max("set_id").alias("other")).filter("g < other").select("region", "g")
+    # A pass for each part of the regions: only its shuffle is on disk at a time.
+    passes = [materialise(found.filter(F.pmod("region", F.lit(PASSES)) == k), f"region_pivots_{k}") for k in range(PASSES)]
+    pivots = reduce(DataFrame.unionByName, passes)
     mask = (1 << REGION_BITS) - 1
     table = _bit_table(pivots, F.col("region").bitwiseAND(F.lit(mask)).cast("int"), REGION_BITS)
 
@@ -233,9 +238,10 @@ def shared_regions(described: DataFrame) -> DataFrame:
 
 def _side_by_side(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs`` (a, b: set ids, and further columns) with the shingles of both (x, y). Equi-joins only."""
-    some = sets.join(pairs.select(F.col("a").alias("set_id")).distinct(), "set_id", "left_semi")
-    with_b = pairs.join(sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("y")), "b")
-    return with_b.join(some.select(F.col("set_id").alias("a"), F.col("shingles").alias("x")), "a")
+    # Both joins take ``sets`` as it is, by its own key, so that Spark shuffles it once for the two.
+    some = pairs.select(F.col("a").alias("set_id")).distinct().join(sets, "set_id").select(F.col("set_id").alias("a"), F.col("shingles").alias("x"))
+    with_b = pairs.withColumnRenamed("b", "set_id").join(sets, "set_id").withColumnsRenamed({"set_id": "b", "shingles": "y"})
+    return with_b.join(some, "a")
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -396,7 +402,11 @@ def apart_pairs(seen: DataFrame, percent: int) -> DataFrame:
     far = materialise(_first_elements(ordered.filter("not near"), beside_far), "far")
     far_near = materialise(_first_elements(ordered.filter("not near"), any_), "far_near")
     near = materialise(_first_elements(ordered.filter("near"), beside_far), "near")
-    return _met(far, far, percent).unionByName(_met(far_near, near, percent)).distinct()
+    remove(seen.sparkSession, ordered)
+    pairs = materialise(_met(far, far, percent).unionByName(_met(far_near, near, percent)).distinct(), "apart_pairs")
+    for table in (far, far_near, near):
+        remove(seen.sparkSession, table)
+    return pairs
 
 
 def link(docs: DataFrame, percent: int = 80, width: int = 5, rounds: int = 1) -> DataFrame:
@@ -461,13 +471,15 @@ def link(docs: DataFrame, percent: int = 80, width: int = 5, rounds: int = 1) ->
     if not split.isEmpty():
         # Seen from the member next to the pivot, for the reason given above.
         middle = split.groupBy("cell").agg(F.min(F.struct("d", "x"))["x"].alias("q"))
-        seen = _differences(split.drop("q").join(middle, "cell").filter("x <> q"), sets, percent)
+        differences = _differences(split.drop("q").join(middle, "cell").filter("x <> q"), sets, percent)
+        seen = differences
         learn(seen.filter("near").select(F.col("q").alias("a"), F.col("id").alias("b")))
         seen = named(seen.drop("component", "q"), "id")
         best = seen.groupBy("g").agg(F.min(F.struct("u", "id")).alias("z")).select("g", F.col("z.id").alias("z"), F.col("z.u").alias("z_u"))
         sure = seen.join(best, "g").filter((F.col("u") + F.col("z_u") <= 1e-6) & (F.col("id") != F.col("z"))).select(F.col("z").alias("a"), F.col("id").alias("b"))
         learn(_linked(_measured(sure.distinct(), sets), percent))
         pairs = apart_pairs(named(seen.drop("component"), "id"), percent)
+        remove(docs.sparkSession, differences)
         learn(_linked(_measured(pairs, sets), percent))
 
     # Every set's least document, then every component's, then the documents by their sets.
