@@ -18,20 +18,24 @@ def name_parts(name: Column, pattern: str = SEQUENCE_PATTERN) -> dict[str, Colum
     return {"prefix": part(1), "digits": part(2), "number": part(2).try_cast("bigint"), "ext": F.lower(part(3))}
 
 
-def sequence_name(prefix: Column, index: Column, width: Column, ext: Column) -> Column:
-    """prefix, index padded with zeros to ``width``, dot, extension; wider numbers are not cut."""
+def sequence_name(prefix: Column, index: Column, width: Column, ext: Column, fixed: bool = False) -> Column:
+    """prefix, index padded with zeros to ``width``, dot, extension.
+
+    Wider numbers are not cut; names of ``fixed`` width keep their first digits only.
+    """
     digits = index.cast("string")
-    return F.concat(prefix, F.when(F.length(digits) < width, F.lpad(digits, width, F.lit("0"))).otherwise(digits), F.lit("."), ext)
+    padded = F.lpad(digits, width, F.lit("0"))
+    return F.concat(prefix, padded if fixed else F.when(F.length(digits) < width, padded).otherwise(digits), F.lit("."), ext)
 
 
-def level_file_name(index: Column) -> Column:
-    """Name of a pyramid slice: six digits."""
-    return F.format_string("%06d.tif", index)
+def level_file_name(index: Column, fixed: bool = False) -> Column:
+    """Name of a pyramid slice: six digits; wider numbers as in ``sequence_name``."""
+    return sequence_name(F.lit(""), index, F.lit(6), F.lit("tif"), fixed)
 
 
-def pair_names(prefix: Column, index: Column, end: Column, width: Column, ext: Column, level: Column) -> dict[str, Column]:
+def pair_names(prefix: Column, index: Column, end: Column, width: Column, ext: Column, level: Column, fixed: bool = False) -> dict[str, Column]:
     """Source names of a slice and the one after it; null past the end. Levels above 0 use pyramid names."""
-    make = lambda i: F.when(level >= 1, level_file_name(i)).otherwise(sequence_name(prefix, i, width, ext))
+    make = lambda i: F.when(level >= 1, level_file_name(i, fixed)).otherwise(sequence_name(prefix, i, width, ext, fixed))
     return {"first": make(index), "second": F.when(index + 1 <= end, make(index + 1))}
 
 
