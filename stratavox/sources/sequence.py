@@ -54,57 +54,75 @@ def expected(sequence: DataFrame) -> DataFrame:
 
 
 #: Numbers of a block in which neighbours are found, and names that one row of a run expands to at most.
-RUN_BLOCK = 1 << 16
+RUN_BITS = 16
+RUN_BLOCK = 1 << RUN_BITS
 
 
-def numbered(sequence: DataFrame, files: DataFrame) -> DataFrame:
-    """The numbers that ``files`` have of a sequence row, each once, with the columns of the row.
+def numbered(sequence: DataFrame, files: DataFrame, fixed: bool = False) -> DataFrame:
+    """lo and hi of the runs of numbers that each of ``files`` names, each once, with the columns of the sequence row.
 
-    A file counts if its name is the expected one for its number; extensions compare without case.
+    A file counts if its name is the expected one for its number; extensions compare without case. It
+    names that number alone, unless names have a ``fixed`` width: then numbers that are wider by k digits
+    share the name of their first digits, so a name of w digits that begins with no zero also stands for
+    10^k numbers at every k. No two runs have a number in common.
     """
     rows = parsed(files).select(F.col("prefix").alias("__prefix"), F.col("ext").alias("__ext"), "digits", "number")
     # A row for each stack.
     met = rows.join(F.broadcast(sequence), (F.col("__prefix") == F.col("prefix")) & (F.col("__ext") == F.lower("file_type")))
-    digits = F.col("number").cast("string")
-    named = F.when(F.length(digits) >= F.col("index_length"), digits).otherwise(F.lpad(digits, F.col("index_length"), "0"))
-    met = met.filter(F.col("number").between(F.col("seq_begin"), F.col("seq_end")) & (F.col("digits") == named))
-    return met.select(*sequence.columns, "number").distinct()
-
-
-def missing_runs(sequence: DataFrame, files: DataFrame) -> DataFrame:
+    begin, end, number = F.col("seq_begin"), F.col("seq_end"), F.col("number")
+    named = sequence_name(F.lit(""), number, F.col("index_length"), F.lit(""), fixed)
+    met = met.filter(F.concat("digits", F.lit(".")) == named)
+    if not fixed:
+        met = met.filter(number.between(begin, end)).withColumns({"lo": number, "hi": number})
+        return met.select(*sequence.columns, "lo", "hi").distinct()
+    wider = F.greatest(F.length(end.cast("string")) - F.col("index_length"), F.lit(0))
+    met = met.filter(F.length(number.cast("string")) <= F.col("index_length")).select(*sequence.columns, "number").distinct()
+    met = met.withColumn("__power", F.explode(F.sequence(F.lit(0), F.when(F.length(number.cast("string")) == F.col("index_length"), wider).otherwise(0))))
+    scale = F.pow(F.lit(10.0), F.col("__power")).cast("bigint")
+    # What is beyond 64 bits is beyond the end.
+    low = F.try_multiply(number, scale)
+    met = met.withColumns({"lo": F.greatest(low, begin), "hi": F.least(F.try_add(low, scale - 1), end)})
+    return met.filter(low.isNotNull() & (F.col("lo") <= F.col("hi"))).select(*sequence.columns, "lo", "hi")
+
+
+def missing_runs(sequence: DataFrame, files: DataFrame, fixed: bool = False) -> DataFrame:
     """first, last and the sequence's columns of each maximal run of expected files that do not exist.
 
-    The gaps between neighbouring numbers. Neighbours meet in blocks of ``RUN_BLOCK`` numbers, and the
-    ends of the blocks once more among themselves, so no task sorts a whole stack; no number that is
-    missing is ever made a row.
+    The gaps between neighbouring runs of ``numbered``. Neighbours meet in blocks of ``RUN_BLOCK`` numbers, and
+    the ends of the blocks once more among themselves, so no task sorts a whole stack; no number that
+    is missing is ever made a row.
     """
     columns = sequence.columns
     begin, end = (F.col(c) for c in ("seq_begin", "seq_end"))
-    have = numbered(sequence, files).withColumn("__block", F.floor(F.col("number") / RUN_BLOCK))
-    inside = have.withColumn("__after", F.lead("number").over(Window.partitionBy(*columns, "__block").orderBy("number")))
-    inside = inside.filter("__after > number + 1").select(*columns, (F.col("number") + 1).alias("first"), (F.col("__after") - 1).alias("last"))
+    have = numbered(sequence, files, fixed).withColumn("__block", F.shiftright("lo", RUN_BITS))
+    inside = have.withColumn("__after", F.lead("lo").over(Window.partitionBy(*columns, "__block").orderBy("lo")))
+    inside = inside.filter("__after > hi + 1").select(*columns, (F.col("hi") + 1).alias("first"), (F.col("__after") - 1).alias("last"))
     # Before the first number, after the last one and between blocks; a stack without a file is one run.
-    ends = have.groupBy(*columns, "__block").agg(F.min("number").alias("lo"), F.max("number").alias("hi"))
+    ends = have.groupBy(*columns, "__block").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     edges = ends.select(*columns, "lo", "hi").unionByName(sequence.select(*columns, (begin - 1).alias("lo"), (begin - 1).alias("hi"))).unionByName(sequence.select(*columns, (end + 1).alias("lo"), (end + 1).alias("hi")))
     edges = edges.withColumn("__next", F.lead("lo").over(Window.partitionBy(*columns).orderBy("lo", "hi")))
     between = edges.filter("__next > hi + 1").select(*columns, (F.col("hi") + 1).alias("first"), (F.col("__next") - 1).alias("last"))
     return inside.unionByName(between)
 
 
-def present(sequence: DataFrame, files: DataFrame) -> DataFrame:
+def _expanded(runs: DataFrame, first: str, last: str, fixed: bool) -> DataFrame:
+    """index and name of every number of runs, expanded in pieces."""
+    piece = F.explode(F.sequence(F.shiftright(first, RUN_BITS), F.shiftright(last, RUN_BITS)))
+    rows = runs.withColumn("__piece", piece)
+    start = F.shiftleft("__piece", RUN_BITS)
+    low, high = F.greatest(F.col(first), start), F.least(F.col(last), start + (RUN_BLOCK - 1))
+    rows = rows.withColumn("index", F.explode(F.sequence(low, high)))
+    return rows.select("index", sequence_name(F.col("prefix"), F.col("index"), F.col("index_length"), F.col("file_type"), fixed).alias("name"))
+
+
+def present(sequence: DataFrame, files: DataFrame, fixed: bool = False) -> DataFrame:
     """index and name of the expected files that exist; extensions compare without case."""
-    rows = numbered(sequence, files)
-    return rows.select(F.col("number").alias("index"), sequence_name(F.col("prefix"), F.col("number"), F.col("index_length"), F.col("file_type")).alias("name"))
+    return _expanded(numbered(sequence, files, fixed), "lo", "hi", fixed)
 
 
-def missing(sequence: DataFrame, files: DataFrame) -> DataFrame:
+def missing(sequence: DataFrame, files: DataFrame, fixed: bool = False) -> DataFrame:
     """index and name of the expected files that do not exist: the missing runs, expanded in pieces."""
-    runs = missing_runs(sequence, files)
-    piece = F.explode(F.sequence(F.floor(F.col("first") / RUN_BLOCK), F.floor(F.col("last") / RUN_BLOCK)))
-    rows = runs.withColumn("__piece", piece)
-    low, high = F.greatest(F.col("first"), F.col("__piece") * RUN_BLOCK), F.least(F.col("last"), F.col("__piece") * RUN_BLOCK + RUN_BLOCK - 1)
-    rows = rows.withColumn("index", F.explode(F.sequence(low, high)))
-    return rows.select("index", sequence_name(F.col("prefix"), F.col("index"), F.col("index_length"), F.col("file_type")).alias("name"))
+    return _expanded(missing_runs(sequence, files, fixed), "first", "last", fixed)
 
 
 def ranked(files: DataFrame) -> DataFrame:
