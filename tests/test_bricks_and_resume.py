@@ -292,3 +292,16 @@ def test_work_of_many_stacks(spark):
 def test_results_in_order(spark):
     rows = spark.createDataFrame([("r", 3, 1.0), ("r", 1, None), ("r", 2, 5.0), ("q", 9, 2.0)], "run string, i int, v double")
     assert sorted((r["run"], r["i"], r["place"]) for r in events.in_order(rows, "run", "i", "v").collect()) == [("q", 9, 0), ("r", 2, 0), ("r", 3, 1)]
+
+
+def test_vertices_make_their_surface_once_and_small_bricks_together(spark):
+    side = 6
+    image = lambda z: bytes((37 * z + 11 * i) % 256 for i in range(side * side))
+    rows = spark.createDataFrame([("s", 0, z, side, side, 8, image(z)) for z in range(70)], pyramid.SCHEMA)
+    small, large = (bricks.vertices(bricks.surface_of_slices(rows, 127.5, size, "v")) for size in ((4, 2, 2), (80, 64, 64)))
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 1 and "REPARTITION_BY_NUM" in plan
+    own = lambda df: {r["vid"]: tuple(round(r[c], 9) for c in df.columns if c != "stack_id") for r in df.collect()}
+    assert own(small) == own(large) and len(own(large)) == large.count() > 0
+    kinds = lambda k: {r["kind"] for r in bricks.surface_of_slices(rows, 127.5, (4, 2, 2), k).select("kind").distinct().collect()}
+    assert kinds("v") == {"v"} and kinds("t") == {"t"} and kinds("vt") == {"v", "t"}
