@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -79,14 +79,58 @@ def halve_pair(a: np.ndarray, b: np.ndarray | None, variant: str = "round") -> n
     return reduce_square(((a.astype(np.uint32) + b) >> 1).astype(a.dtype), "floor")
 
 
-def _widened(rows: pd.DataFrame) -> list[np.ndarray]:
+def _image(r) -> np.ndarray:
+    return np.frombuffer(r.pixels, f"<u{int(r.bit_depth) // 8}").reshape(int(r.height), int(r.width))
+
+
+def _wide(a: np.ndarray, depth: int) -> np.ndarray:
+    return a.astype(np.uint16) << 8 if depth == 16 and a.dtype.itemsize == 1 else a
+
+
+def _widened(rows: list) -> list[np.ndarray]:
     """Images of one group in a common depth: 16 bits if any has them."""
-    depth = int(rows["bit_depth"].max())
-    out = []
-    for r in rows.itertuples():
-        a = np.frombuffer(r.pixels, f"<u{int(r.bit_depth) // 8}").reshape(int(r.height), int(r.width))
-        out.append(a.astype(np.uint16) << 8 if depth == 16 and r.bit_depth == 8 else a)
-    return out
+    depth = max(int(r.bit_depth) for r in rows)
+    return [_wide(_image(r), depth) for r in rows]
+
+
+def _row(stack: str, level: int, z: int, a: np.ndarray) -> tuple:
+    return stack, level, z, a.shape[1], a.shape[0], a.dtype.itemsize * 8, a.astype(a.dtype.newbyteorder("<")).tobytes()
+
+
+#: Bytes of made images that are handed on at once.
+OUT_BYTES = 8 << 20
+
+
+def _by_group(rows: DataFrame, order: list[str], run: Callable[[list], Iterator[tuple]]) -> DataFrame:
+    """``run`` over the rows of each (stack_id, __group), sorted by ``order``: rows of ``SCHEMA``.
+
+    Groups lie in order within their tasks and are read one after the other, so a task holds a group and
+    a batch, and small groups share the cost of a batch. The number of tasks is given: small images are
+    few bytes and much work, so their tasks aren't to be merged by size.
+    """
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, group, made, size = None, [], [], 0
+        for batch in batches:
+            for r in batch.itertuples(index=False, name="Row"):
+                if (r.stack_id, r.group_of) != key:
+                    for row in run(group) if group else ():
+                        made.append(row)
+                        size += len(row[-1])
+                    key, group = (r.stack_id, r.group_of), []
+                    if size >= OUT_BYTES:
+                        yield pd.DataFrame(made, columns=names)
+                        made, size = [], 0
+                group.append(r)
+        made += run(group) if group else ()
+        if made:
+            yield pd.DataFrame(made, columns=names)
+
+    rows = rows.withColumnRenamed("__group", "group_of")
+    return rows.repartition(tasks, "stack_id", "group_of").sortWithinPartitions("stack_id", "group_of", *order).mapInPandas(each, SCHEMA)
 
 
 def pyramid(slices: DataFrame, levels: int, variant: str = "round", odd: str = "keep", group_levels: int = 3) -> DataFrame:
@@ -109,11 +153,9 @@ def _fused(slices: DataFrame, k: int, variant: str, odd: str) -> DataFrame:
     if variant not in ("round", "floor", "filter"):
         raise ValueError(f"unknown variant: {variant}")
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("z")
-        stack, level = rows["stack_id"].iloc[0], int(rows["level"].iloc[0])
-        images = dict(zip(rows["z"].astype(int), _widened(rows), strict=True))
-        made = []
+    def run(rows: list) -> Iterator[tuple]:
+        stack, level = rows[0].stack_id, int(rows[0].level)
+        images = dict(zip((int(r.z) for r in rows), _widened(rows), strict=True))
         for step in range(1, k + 1):
             following = {}
             for z in sorted({z // 2 for z in images}):
@@ -122,11 +164,10 @@ def _fused(slices: DataFrame, k: int, variant: str, odd: str) -> DataFrame:
                     continue
                 following[z] = halve_pair(a, b, variant)
             images = following
-            made += [(stack, level + step, z, a.shape[1], a.shape[0], a.dtype.itemsize * 8, a.astype(a.dtype.newbyteorder("<")).tobytes()) for z, a in images.items()]
-        return pd.DataFrame(made, columns=["stack_id", "level", "z", "width", "height", "bit_depth", "pixels"])
+            yield from (_row(stack, level + step, z, a) for z, a in images.items())
 
     rows = slices.filter("pixels is not null").select("stack_id", "level", "z", "width", "height", "bit_depth", "pixels")
-    return rows.groupBy("stack_id", div(F.col("z"), 1 << k).alias("__group")).applyInPandas(run, SCHEMA)
+    return _by_group(rows.withColumn("__group", div(F.col("z"), 1 << k)), ["z"], run)
 
 
 def build(slices: DataFrame, path: str, levels: int, *, variant: str = "round", odd: str = "keep", group_levels: int = 3, report: Callable[[int, int], bool | None] | None = None) -> DataFrame:
@@ -179,10 +220,63 @@ def closure(slices: DataFrame, existing: DataFrame, levels: int, odd: str = "kee
     return todo.select(*key, F.lit(True).alias("make")).unionByName(read.select(*key, F.lit(False).alias("make")))
 
 
+#: Levels that a resumed pyramid makes in one pass over its groups of slices.
+GROUP_LEVELS = 3
+
+
+def _missing_at_once(source: DataFrame, existing: DataFrame, levels: int, variant: str, odd: str) -> DataFrame:
+    """``missing_levels`` of few levels: names and images of a group of slices meet in one task, so that each input is read once."""
+    names = source.columns
+    have = existing.filter(F.col("level").between(1, levels))
+    pixels = {"width": "int", "height": "int", "bit_depth": "int", "pixels": "binary"}
+    if "stack_id" not in have.columns:
+        have = have.join(source.select("stack_id").distinct(), F.lit(True))
+    if "pixels" not in have.columns:
+        have = have.select("stack_id", "level", "z", *[F.lit(None).cast(t).alias(c) for c, t in pixels.items()])
+    rows = source.withColumn("level", F.lit(0)).unionByName(have.select(*names))
+    group = F.expr(f"shiftright(z, {levels} - level)").cast("long")
+
+    def run(rows: list) -> Iterator[tuple]:
+        stack = rows[0].stack_id
+        there: list[dict[int, object]] = [{} for _ in range(levels + 1)]
+        for r in rows:
+            if r.pixels is not None or int(r.z) not in there[int(r.level)]:
+                there[int(r.level)][int(r.z)] = r
+        full = [{z: r for z, r in found.items() if r.pixels is not None} for found in there]
+        # An image needs its even slice; without its odd one it is a last slice.
+        wanted = [set(there[0])]
+        for _ in range(levels):
+            below = wanted[-1]
+            wanted.append({z // 2 for z in below if z % 2 == 0 and (odd == "keep" or z + 1 in below)})
+        asked = [wanted[k] - there[k].keys() for k in range(levels + 1)]
+        # From the top down: what is asked for, or needed by what has to be made.
+        make, need = [set() for _ in range(levels + 1)], set()
+        for k in range(levels, 0, -1):
+            make[k] = asked[k] | ((need & wanted[k]) - full[k].keys())
+            need = {2 * z + i for z in make[k] for i in (0, 1)}
+        made: dict[int, np.ndarray] = {}
+        for k in range(1, levels + 1):
+            following = {}
+            for z in sorted(make[k]):
+                pair = [made[i] if i in made else _image(full[k - 1][i]) if i in full[k - 1] else None for i in (2 * z, 2 * z + 1)]
+                if pair[0] is None or (pair[1] is None and odd == "drop"):
+                    continue
+                depth = 8 * max(a.dtype.itemsize for a in pair if a is not None)
+                following[z] = halve_pair(*[None if a is None else _wide(a, depth) for a in pair], variant)
+                if z in asked[k]:
+                    yield _row(stack, k, z, following[z])
+            made = following
+
+    if variant not in ("round", "floor", "filter"):
+        raise ValueError(f"unknown variant: {variant}")
+    return _by_group(rows.withColumn("__group", group), ["level", "z"], run)
+
+
 def missing_levels(slices: DataFrame, existing: DataFrame, levels: int, variant: str = "round", odd: str = "keep") -> DataFrame:
     """The images of levels 1 to ``levels`` that ``existing`` lacks.
 
-    ``existing`` has the columns of ``SCHEMA`` or only stack_id, level, z. Going up level by level, only
+    ``existing`` has the columns of ``SCHEMA`` or only stack_id, level, z. Up to ``GROUP_LEVELS`` levels are made
+    in one pass, by groups of slices; more of them level by level. Going up, only
     the images that are missing are made, each from its two inputs: those of the level below that are
     there with pixels are read, by a semi-join, and those that were missing too have just been made. An
     input that exists without pixels is made again from what it needs.
@@ -190,6 +284,8 @@ def missing_levels(slices: DataFrame, existing: DataFrame, levels: int, variant:
     key = ["stack_id", "level", "z"]
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     source = slices.select(*names)
+    if 0 < levels <= GROUP_LEVELS:
+        return _missing_at_once(source, existing, levels, variant, odd)
     have = existing
     if "stack_id" not in have.columns:
         have = have.join(source.select("stack_id").distinct(), F.lit(True))

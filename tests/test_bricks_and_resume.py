@@ -305,3 +305,17 @@ def test_vertices_make_their_surface_once_and_small_bricks_together(spark):
     assert own(small) == own(large) and len(own(large)) == large.count() > 0
     kinds = lambda k: {r["kind"] for r in bricks.surface_of_slices(rows, 127.5, (4, 2, 2), k).select("kind").distinct().collect()}
     assert kinds("v") == {"v"} and kinds("t") == {"t"} and kinds("vt") == {"v", "t"}
+
+
+@pytest.mark.parametrize("odd", ["keep", "drop"])
+def test_few_missing_levels_are_made_in_one_pass(spark, monkeypatch, odd):
+    rows = spark.createDataFrame([("pq"[z % 2], 0, z // 2, 8, 8, 8 if z % 3 else 16, bytes((z * 7 + i) % 256 for i in range(64 if z % 3 else 128))) for z in range(43) if z not in (10, 25)], pyramid.SCHEMA)
+    there = pyramid.pyramid(rows, 3, odd=odd).filter("(level + z) % 3 <> 0")
+    there = spark.createDataFrame([(*r[:-1], None if r["z"] % 2 else r["pixels"]) for r in there.collect()], pyramid.SCHEMA)
+    own = lambda df: sorted((r["stack_id"], r["level"], r["z"], r["bit_depth"], bytes(r["pixels"])) for r in df.collect())
+    once = pyramid.missing_levels(rows, there, 3, odd=odd)
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "Join" not in plan and "REPARTITION_BY_NUM" in plan
+    got = own(once)
+    monkeypatch.setattr(pyramid, "GROUP_LEVELS", 0)
+    assert got == own(pyramid.missing_levels(rows, there, 3, odd=odd)) and got
