@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -54,8 +54,13 @@ def expected(sequence: DataFrame) -> DataFrame:
 
 
 #: Numbers of a block in which neighbours are found, and names that one row of a run expands to at most.
-RUN_BITS = 16
-RUN_BLOCK = 1 << RUN_BITS
+RUN_BLOCK = 1 << 16
+
+
+def _block(name: str) -> Column:
+    """The block of a number, in whole numbers, so that large ones stay exact."""
+    number = F.col(name)
+    return F.call_function("div", number - F.pmod(number, F.lit(RUN_BLOCK)), F.lit(RUN_BLOCK))
 
 
 def numbered(sequence: DataFrame, files: DataFrame, fixed: bool = False) -> DataFrame:
@@ -94,7 +99,7 @@ def missing_runs(sequence: DataFrame, files: DataFrame, fixed: bool = False) ->
     """
     columns = sequence.columns
     begin, end = (F.col(c) for c in ("seq_begin", "seq_end"))
-    have = numbered(sequence, files, fixed).withColumn("__block", F.shiftright("lo", RUN_BITS))
+    have = numbered(sequence, files, fixed).withColumn("__block", _block("lo"))
     inside = have.withColumn("__after", F.lead("lo").over(Window.partitionBy(*columns, "__block").orderBy("lo")))
     inside = inside.filter("__after > hi + 1").select(*columns, (F.col("hi") + 1).alias("first"), (F.col("__after") - 1).alias("last"))
     # Before the first number, after the last one and between blocks; a stack without a file is one run.
@@ -107,9 +112,9 @@ def missing_runs(sequence: DataFrame, files: DataFrame, fixed: bool = False) ->
 
 def _expanded(runs: DataFrame, first: str, last: str, fixed: bool) -> DataFrame:
     """index and name of every number of runs, expanded in pieces."""
-    piece = F.explode(F.sequence(F.shiftright(first, RUN_BITS), F.shiftright(last, RUN_BITS)))
+    piece = F.explode(F.sequence(_block(first), _block(last)))
     rows = runs.withColumn("__piece", piece)
-    start = F.shiftleft("__piece", RUN_BITS)
+    start = F.col("__piece") * RUN_BLOCK
     low, high = F.greatest(F.col(first), start), F.least(F.col(last), start + (RUN_BLOCK - 1))
     rows = rows.withColumn("index", F.explode(F.sequence(low, high)))
     return rows.select("index", sequence_name(F.col("prefix"), F.col("index"), F.col("index_length"), F.col("file_type"), fixed).alias("name"))
