@@ -80,7 +80,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and ids (an end id last) of every row."""
     model = sp_codec.model_bytes(TOKENIZER)
-    coded = sp_codec.encode(docs.select("doc_id", "text"), model)
+    # The ids replace the text, so that it does not travel back.
+    coded = sp_codec.encode(docs.select("doc_id", "text"), model, to="text").withColumnRenamed("text", "ids")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 

@@ -21,8 +21,8 @@ GRAMS = (5, 4, 3, 2, 1)
 SLOT_BITS, BACKOFF = 19, 0.9
 SLOTS = 1 << SLOT_BITS
 UNDETERMINED = "und"
-#: Words whose n-grams are counted, or scored, at once.
-FIT_WORDS = 10_000
+#: Words whose n-grams are counted at once, and scored at once; bytes of texts that are scored at once.
+FIT_WORDS, SCORE_WORDS, SCORE_BYTES = 10_000, 2_000, 1_000_000
 #: Tasks that count n-grams over the sample's words, each with one table; blocks of so many numbers move between them.
 FIT_PARTS, BLOCK = 4, 1 << 16
 
@@ -151,8 +151,8 @@ def word_table(model: Model, words: pa.Array) -> np.ndarray:
     out[known] = model.word_scores[pc.drop_null(at).to_numpy()]
     unseen = pc.filter(words, pa.array(~known)).to_pylist()
     places = np.flatnonzero(~known)
-    for start in range(0, len(unseen), FIT_WORDS):
-        part = unseen[start : start + FIT_WORDS]
+    for start in range(0, len(unseen), SCORE_WORDS):
+        part = unseen[start : start + SCORE_WORDS]
         owner, left, slots = _gram_slots(part)
         score = np.tile(model.floor - BACKOFF * len(GRAMS), (len(owner), 1))
         open_ = np.ones(len(owner), bool)
@@ -165,7 +165,7 @@ def word_table(model: Model, words: pa.Array) -> np.ndarray:
         sums = np.stack([np.bincount(owner, score[:, j], len(part)) for j in range(score.shape[1])], 1)
         sizes = np.bincount(owner, minlength=len(part))
         # An unseen word counts as one word: the mean over its places.
-        out[places[start : start + FIT_WORDS]] = sums / sizes[:, None]
+        out[places[start : start + SCORE_WORDS]] = sums / sizes[:, None]
     return out
 
 
@@ -193,6 +193,20 @@ def _scored(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     return names, np.where(letters, share[np.arange(n), best], 0.0)
 
 
+def _answers(model: Model, texts: pa.Array) -> pa.Array:
+    """struct(lang_pred, score) of lower-case texts, scored ``SCORE_BYTES`` at a time; they stay Arrow strings."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    names, scores, start = [], [np.zeros(0)], 0
+    while start < len(texts):
+        base = size[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(size, base + SCORE_BYTES, "right")))
+        own_names, own_scores = _scored(model, texts.slice(start, end - start))
+        names += own_names
+        scores.append(own_scores)
+        start = end
+    return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores), pa.float64())], names=["lang_pred", "score"])
+
+
 def predict(text: Column, model: Model) -> Column:
     """struct(lang_pred, score) of each whole text.
 
@@ -201,22 +215,11 @@ def predict(text: Column, model: Model) -> Column:
     stay as they are. The model's bounded tables go along with the function; each distinct word of a
     batch is scored once.
     """
-    @F.pandas_udf("lang_pred string, score double")
-    def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+
+    @F.arrow_udf("lang_pred string, score double")
+    def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            names, scores = [], []
-            rows = batch.tolist()
-            start = 0
-            while start < len(rows):
-                end, size = start, 0
-                while end < len(rows) and size < 1_000_000:
-                    size += len(rows[end] or "")
-                    end += 1
-                a, b = _scored(model, pa.array(rows[start:end], pa.string()))
-                names += a
-                scores += b.tolist()
-                start = end
-            yield pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": pd.Series(scores, dtype=float)})
+            yield _answers(model, batch)
 
     # The same lower case as in learning: that of Spark.
     return predicted(F.lower(text))

@@ -17,6 +17,8 @@ SPACE = "▁"
 SEGMENT = re.compile(r" *[^ ]+| +")
 #: Segments that a task remembers; beyond it, it starts anew.
 REMEMBERED = 150_000
+#: Segments that are encoded at once: each of their characters takes some hundred bytes meanwhile.
+AT_ONCE = 10_000
 NEVER = np.int64(1) << 40
 
 
@@ -289,10 +291,14 @@ class Encoder:
         parts = [SEGMENT.findall(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
         fresh = list(set().union(*parts) - self.known.keys())
         if fresh:
-            ids, ends = self.codec.encode_segments(fresh)
             self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
-            self.ends = np.concatenate([self.ends, ends + len(self.ids)])
-            self.ids = np.concatenate([self.ids, ids])
+            ids, ends, total = [self.ids], [self.ends], len(self.ids)
+            for start in range(0, len(fresh), AT_ONCE):
+                own, own_ends = self.codec.encode_segments(fresh[start : start + AT_ONCE])
+                ids.append(own)
+                ends.append(own_ends + total)
+                total += len(own)
+            self.ids, self.ends = np.concatenate(ids), np.concatenate(ends)
         out = []
         for p in parts:
             rows = np.fromiter(map(self.known.__getitem__, p), np.int64, len(p))
@@ -322,17 +328,19 @@ def _parts(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordB
 def _with_column(docs: DataFrame, source: str, to: str, kind: T.DataType, most: int, start) -> DataFrame:
     """``docs`` with ``to`` computed from ``source`` by the function that ``start()`` returns, part by part."""
     kept = [f for f in docs.schema.fields if f.name.lower() != to.lower() or f.name == source]
+    # What is replaced does not come back from the task.
+    returned = [f.name for f in kept if to != source or f.name != source]
     hidden = "__made" if to == source else to
-    schema = T.StructType([*kept, T.StructField(hidden, kind)])
+    schema = T.StructType([*[f for f in kept if f.name in returned], T.StructField(hidden, kind)])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = start()
         for batch in batches:
             for part in _parts(batch, source, most):
-                yield pa.RecordBatch.from_arrays([*part.columns, make(part.column(source))], names=[f.name for f in schema.fields])
+                yield pa.RecordBatch.from_arrays([*part.select(returned).columns, make(part.column(source))], names=[f.name for f in schema.fields])
 
     out = docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(rows, schema)
-    return out.drop(source).withColumnRenamed(hidden, to) if to == source else out
+    return out.withColumnRenamed(hidden, to) if to == source else out
 
 
 def encode(docs: DataFrame, model: bytes, text: str = "text", to: str = "ids", bytes_a_round: int = 1_000_000) -> DataFrame:

@@ -337,6 +337,18 @@ def test_codec_columns(docs, empty, data, processor):
     assert sp_codec.encode(empty, model).isEmpty()
 
 
+def test_many_segments_are_encoded_in_bounded_memory(processor):
+    import tracemalloc
+
+    encoder = sp_codec.Encoder(sp_codec.model_bytes(MODEL))
+    texts = [" ".join(f"wörter{i * 30_000 + k}" for k in range(30_000)) for i in range(2)]
+    tracemalloc.start()
+    got = encoder.batch(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000
+    assert [x.tolist() for x in got] == [[*processor.encode(t), processor.eos_id()] for t in texts]
+
 # Language models
 
 
@@ -601,6 +613,27 @@ def test_language_edges(docs, empty):
     assert {r["p"]["lang_pred"] for r in docs.select(langid.predict(F.col("text"), nothing).alias("p")).collect()} == {"und"}
 
 
+def test_languages_are_told_in_bounded_memory(monkeypatch):
+    """Long batches cost what a part of them does, and the answers do not depend on how they are cut."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    grams = np.where(rng.random((langid.SLOTS, 1)) < 0.4, np.nan, rng.random((langid.SLOTS, 3))).astype(np.float32)
+    model = langid.Model(["a", "b", "c"], pa.array(["known"]), np.zeros((1, 3), np.float32), grams, np.full(3, -9, np.float32))
+    texts = pa.array([None if i % 50 == 0 else "" if i % 50 == 1 else " ".join(f"unseen{i * 8 + k}word" for k in range(8)) for i in range(2_500)])
+    tracemalloc.start()
+    got = langid._answers(model, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20_000_000
+    assert len(got) == len(texts) and len(langid._answers(model, texts.slice(0, 0))) == 0
+    monkeypatch.setattr(langid, "SCORE_WORDS", 10_000)
+    monkeypatch.setattr(langid, "SCORE_BYTES", 700)
+    assert langid._answers(model, texts).equals(got)
+
 # Mixing
 
 
