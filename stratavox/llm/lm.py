@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, most_frequent
+from .common import materialise, most_frequent, small_batches
 
 #: Slots (as powers of two) of the predictors: order 0 to 4 bytes of the word, and its whole beginning.
 SLOT_BITS = (8, 16, 18, 20, 20, 20)
@@ -35,6 +35,8 @@ WORD_END = 0x20
 ALL = (1 << 64) - 1
 #: Texts of a part at most, so that a text has a 16-bit number in its part.
 PART_TEXTS = 1 << 16
+#: Bytes of texts that are worked on at once, and words whose bits are: a word takes some two thousand bytes meanwhile.
+PART_BYTES, BIT_WORDS = 4_000_000, 4_000
 #: Tokens that share one bucket of word pairs, in the mean.
 BUCKET_TOKENS = 1 << 20
 #: Weight of a token's own probability against the counts of what followed the word before it.
@@ -53,14 +55,24 @@ def tokenised(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return coded.dictionary, coded.indices.to_numpy(), owner
 
 
-def _parts(batch: pa.RecordBatch, chars: int = 12_000_000) -> Iterator[pa.RecordBatch]:
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
-    start = 0
-    while start < batch.num_rows:
-        base = size[start - 1] if start else 0
-        end = min(max(start + 1, int(np.searchsorted(size, base + chars, "right"))), start + PART_TEXTS)
-        yield batch.slice(start, end - start)
-        start = end
+def _parts(batches: Iterable[pa.RecordBatch], most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows in runs whose texts have about ``most`` bytes: small batches are put together, large ones cut."""
+    held, n, used = [], 0, 0
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            base = size[start - 1] if start else 0
+            end = int(np.searchsorted(size, base + most - used, "right"))
+            end = min(end if n else max(start + 1, end), start + PART_TEXTS - n)
+            if end > start:
+                held.append(batch.slice(start, end - start))
+                n, used, start = n + end - start, used + size[end - 1] - base, end
+            if start < batch.num_rows:
+                yield pa.concat_batches(held)
+                held, n, used = [], 0, 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def _stream(part: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -86,11 +98,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """word, n: the tokens over all texts of ``docs``; the end of a text is the empty word."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _parts(batch):
-                words, codes, _ = tokenised(part.column("text"))
-                n = np.append(np.bincount(codes, minlength=len(words)), part.num_rows)
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays([words.cast(pa.string()), pa.array([""])]), pa.array(n.astype(np.int64))], names=["word", "n"])
+        for part in _parts(batches):
+            words, codes, _ = tokenised(part.column("text"))
+            n = np.append(np.bincount(codes, minlength=len(words)), part.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([words.cast(pa.string()), pa.array([""])]), pa.array(n.astype(np.int64))], names=["word", "n"])
 
     plain = docs.select(F.col("text").cast("string").alias("text"))
     return plain.mapInArrow(rows, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -252,7 +263,10 @@ class Mixer:
             self.refined += (np.bincount(at, weight * (bit - self.refined.reshape(-1)[at]), 256 * STEPS)).reshape(256, STEPS) / self.seen
 
     def bits_of(self, words: list[str], stretched: np.ndarray) -> np.ndarray:
-        """Bits that each word with its end takes."""
+        """Bits that each word with its end takes, ``BIT_WORDS`` at a time."""
+        return np.concatenate([np.zeros(0), *[self._bits_of(words[i : i + BIT_WORDS], stretched) for i in range(0, len(words), BIT_WORDS)]])
+
+    def _bits_of(self, words: list[str], stretched: np.ndarray) -> np.ndarray:
         bits = Bits(words)
         total = np.zeros(len(bits.byte))
         flat = self.refined.reshape(-1)
@@ -279,8 +293,8 @@ def gather_counts(words: DataFrame) -> np.ndarray:
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = np.zeros((2, N_SLOTS), np.float32)
         for batch in batches:
-            for i in range(0, len(batch), 50_000):
-                part = batch.iloc[i : i + 50_000]
+            for i in range(0, len(batch), BIT_WORDS):
+                part = batch.iloc[i : i + BIT_WORDS]
                 count_bits(part["word"].tolist(), part["n"].to_numpy(), table)
         flat = table.reshape(-1)
         for b in range(-(-len(flat) // BLOCK)):
@@ -356,7 +370,8 @@ def score_marked(docs: DataFrame, learnt: Column, asked: Column) -> DataFrame:
     extra columns are ignored; with no learnt rows all counts are 0.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(learnt, F.lit(False)).alias("learnt"), F.coalesce(asked, F.lit(False)).alias("asked"))
-    words = materialise(word_counts(plain.filter("learnt")), "word_counts")
+    with small_batches(docs.sparkSession):
+        words = materialise(word_counts(plain.filter("learnt")), "word_counts")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # The end of a text is always among them, as the rare words are those that stand in the text.
     ends = words.filter(F.col("word") == "")
@@ -364,8 +379,7 @@ def score_marked(docs: DataFrame, learnt: Column, asked: Column) -> DataFrame:
     counts = gather_counts(words)
     mixer = learn_mixer(words, counts)
     stretched = _stretch(counts[0], counts[1]).astype(np.float16)
-    price = lambda listed, table: np.concatenate([np.zeros(0), *[mixer.bits_of(listed[i : i + 40_000], table) for i in range(0, len(listed), 40_000)]])
-    costs = price(top["word"].tolist(), stretched.astype(np.float32))
+    costs = mixer.bits_of(top["word"].tolist(), stretched.astype(np.float32))
     common = pa.array(top["word"].tolist(), pa.string())
     logs = np.log10(top["n"].to_numpy(float) + 1)
     gates = np.log2(top["n"].to_numpy(float) / STRENGTH + 1)
@@ -375,11 +389,9 @@ def score_marked(docs: DataFrame, learnt: Column, asked: Column) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = stretched.astype(np.float32)
         number = TaskContext.get().partitionId() << 24
-        for batch in batches:
-            # Smaller than where words are only counted: each token's pair, place and text are in memory.
-            for part in _parts(batch, 4_000_000):
-                yield from one(part, table, number)
-                number += 1
+        for part in _parts(batches):
+            yield from one(part, table, number)
+            number += 1
 
     def one(part: pa.RecordBatch, table: np.ndarray, number: int) -> Iterator[pa.RecordBatch]:
         n = part.num_rows
@@ -397,7 +409,7 @@ def score_marked(docs: DataFrame, learnt: Column, asked: Column) -> DataFrame:
         place = at.fill_null(0).to_numpy()
         cost = costs[place] if len(costs) else np.zeros(m)
         new = np.flatnonzero(~known)
-        cost[new] = price(all_words.take(pa.array(new)).to_pylist(), table)
+        cost[new] = mixer.bits_of(all_words.take(pa.array(new)).to_pylist(), table)
         own = lambda values: np.where(known, values[place] if len(values) else 0.0, 0.0)
         bits = np.bincount(text, (cost + own(gates))[stream], n)
         n_bytes = np.bincount(text, (pc.binary_length(all_words).to_numpy() + 1)[stream], n)
@@ -453,7 +465,8 @@ def score_marked(docs: DataFrame, learnt: Column, asked: Column) -> DataFrame:
     arrow_schema = {c.split()[0]: {"long": pa.int64(), "double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}.get(c.split()[1]) for c in schema.replace("<word:string,times:int>", "").split(", ")}
     arrow_schema["rare"] = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int32())]))
     schema_names = list(arrow_schema)
-    stored = materialise(plain.mapInArrow(rows, schema), "scored")
+    with small_batches(docs.sparkSession):
+        stored = materialise(plain.mapInArrow(rows, schema), "scored")
     found = stored.filter(F.col("row").isNotNull()).select(*schema_names[:8])
     blocks = stored.filter(F.col("bucket") >= 0).select("part", "bucket", "size", "asked", "data")
     states = stored.filter(F.col("bucket") < 0).select("part", "bucket", "size", "items", "data")

@@ -455,6 +455,48 @@ def test_pairs_by_brute_force(spark, monkeypatch):
         assert math.isclose(got[i], -sum(map(math.log2, each)), abs_tol=0.02)
 
 
+def test_texts_reach_lm_tasks_in_small_batches_and_parts(spark, docs, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    sizes = [3, 0, 5, 40, 2, 2, 9, 1, 1, 1]
+    table = pa.table({"doc_id": range(10), "text": [None if n == 0 else "x" * n for n in sizes]})
+    for rows in (1, 3, 10):
+        for most in (1, 8, 1000):
+            parts = list(lm._parts(table.to_batches(max_chunksize=rows), most))
+            assert pa.Table.from_batches(parts).equals(table)
+            held = [[sizes[i] for i in p["doc_id"].to_pylist()] for p in parts]
+            assert all(sum(h) <= most or len([n for n in h if n]) == 1 for h in held)
+            assert all(sum(a) + b[0] > most for a, b in zip(held, held[1:]))
+    monkeypatch.setattr(lm, "PART_TEXTS", 4)
+    assert [p.num_rows for p in lm._parts(table.to_batches(max_chunksize=3), 1000)] == [4, 4, 2]
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", {}
+    before = spark.conf.get(key)
+
+    def kept(df, name):
+        seen[name] = int(spark.conf.get(key))
+        return common.materialise(df, name)
+
+    monkeypatch.setattr(lm, "materialise", kept)
+    lm.score(docs, docs).collect()
+    assert seen == {"word_counts": 1_000, "scored": 1_000} and spark.conf.get(key) == before
+
+
+def test_lm_codes_many_words_in_bounded_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    words = [f"some{i}word" for i in range(40_000)]
+    table, mixer = np.zeros(lm.N_SLOTS, np.float32), lm.Mixer.fresh()
+    tracemalloc.start()
+    got = mixer.bits_of(words, table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30_000_000
+    assert got[-3:].tolist() == mixer.bits_of(words[-3:], table).tolist() and len(got) == len(words)
+    assert len(mixer.bits_of([], table)) == 0
+
 def test_lm_on_nothing(empty):
     assert lm.score(empty, empty).isEmpty()
 
