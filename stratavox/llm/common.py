@@ -10,7 +10,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
 
 _own_dir: str | None = None
+Made = TypeVar("Made")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +90,19 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
         yield
 
 
+def giving_back(made: Iterator[Made]) -> Iterator[Made]:
+    """The Arrow data that a task makes; after each, memory that is free again goes back to the system.
+
+    Arrow's allocator would keep it, and workers stay, idle, through the steps that need it in the JVM.
+    """
+    pool = pa.default_memory_pool()
+    for one in made:
+        yield one
+        del one
+        pool.release_unused()
+    pool.release_unused()
+
+
 def remove(spark: SparkSession, table: DataFrame) -> None:
     """Delete the files of a table that ``materialise`` gave and nothing needs any more."""
     for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, remove, small_batches
+from .common import giving_back, materialise, remove, small_batches
 
 #: Sizes are dealt to levels whose bounds grow by this factor, or by 100 / percent where that is more.
 LADDER = 2
@@ -25,6 +25,8 @@ SET_BITS, REGION_BITS = 22, 26
 PASSES = 2
 #: Further pivots that a region with several components is split by at once: the member next to its pivot, and others by chance.
 PIVOTS = 2
+#: Bytes of texts that are cut up at once: each takes some ten bytes of shingles and regions meanwhile.
+TEXT_BYTES = 500_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -135,13 +137,13 @@ def _list_array(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
 
 
-def _parts(batch: pa.RecordBatch, chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """Rows of together about ``chars`` bytes of text."""
+def _parts(batch: pa.RecordBatch, most: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """Rows of together about ``most`` bytes of text."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
     start = 0
     while start < batch.num_rows:
         base = size[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(size, base + chars, "right")))
+        end = max(start + 1, int(np.searchsorted(size, base + most, "right")))
         yield batch.slice(start, end - start)
         start = end
 
@@ -169,7 +171,7 @@ def describe(docs: DataFrame, percent: int, width: int) -> DataFrame:
                 )
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(rows, "doc_id long, n_shingles long, set_id long, regions array<long>")
+    return plain.mapInArrow(lambda batches: giving_back(rows(batches)), "doc_id long, n_shingles long, set_id long, regions array<long>")
 
 
 def _slot(column: str, bits: int) -> Column:
@@ -206,7 +208,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(_set_ids(flat, ends)), _list_array(flat.view(np.int64), ends)], names=["set_id", "shingles"])
 
     plain = docs.select(_slot("doc_id", SET_BITS).alias("slot"), F.col("text").cast("string").alias("text")).filter("slot is not null")
-    return plain.mapInArrow(rows, "set_id long, shingles array<long>")
+    return plain.mapInArrow(lambda batches: giving_back(rows(batches)), "set_id long, shingles array<long>")
 
 
 def shared_regions(described: DataFrame) -> DataFrame:
@@ -232,7 +234,7 @@ def shared_regions(described: DataFrame) -> DataFrame:
             keep = _has(table, region & mask)
             yield pa.RecordBatch.from_arrays([pa.array(region[keep]), pa.array(own[keep])], names=["region", "x"])
 
-    some = described.filter(F.size("regions") > 0).select("regions", "set_id").mapInArrow(rows, "region long, x long")
+    some = described.filter(F.size("regions") > 0).select("regions", "set_id").mapInArrow(lambda batches: giving_back(rows(batches)), "region long, x long")
     return materialise(some.join(pivots, "region").select("g", "x").distinct(), "groups")
 
 

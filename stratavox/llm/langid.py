@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, materialise
+from .common import WORD, giving_back, materialise
 
 #: Longest to shortest character n-grams that an unseen word falls back to.
 GRAMS = (5, 4, 3, 2, 1)
@@ -104,7 +104,7 @@ def gram_counts(counts: DataFrame, languages: list[str]) -> np.ndarray:
 
     schema = "block int, data binary"
     table = np.zeros(SLOTS * k)
-    for i, data in counts.coalesce(FIT_PARTS).mapInArrow(fill, schema).groupBy("block").applyInPandas(merge, schema).toLocalIterator():
+    for i, data in counts.coalesce(FIT_PARTS).mapInArrow(lambda batches: giving_back(fill(batches)), schema).groupBy("block").applyInPandas(merge, schema).toLocalIterator():
         table[i * BLOCK : (i + 1) * BLOCK] = np.frombuffer(bytes(data), np.float64)
     return table.reshape(SLOTS, k)
 
@@ -218,8 +218,7 @@ def predict(text: Column, model: Model) -> Column:
 
     @F.arrow_udf("lang_pred string, score double")
     def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield _answers(model, batch)
+        yield from giving_back(_answers(model, batch) for batch in batches)
 
     # The same lower case as in learning: that of Spark.
     return predicted(F.lower(text))

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import giving_back
+
 SPACE = "▁"
 #: Pieces of a text that no vocabulary entry can span: a run of spaces and what follows it.
 SEGMENT = re.compile(r" *[^ ]+| +")
@@ -339,7 +341,7 @@ def _with_column(docs: DataFrame, source: str, to: str, kind: T.DataType, most:
             for part in _parts(batch, source, most):
                 yield pa.RecordBatch.from_arrays([*part.select(returned).columns, make(part.column(source))], names=[f.name for f in schema.fields])
 
-    out = docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(rows, schema)
+    out = docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(lambda batches: giving_back(rows(batches)), schema)
     return out.withColumnRenamed(hidden, to) if to == source else out
 
 
