@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import reduce
 from typing import TypeVar
 
 import pyarrow as pa
@@ -78,6 +79,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_parts(part: Callable[[int], DataFrame], parts: int, name: str) -> DataFrame:
+    """The rows of ``part(0)`` to ``part(parts - 1)``, each written on its own: only the shuffle of one is on disk at a time."""
+    return reduce(DataFrame.unionByName, [materialise(part(k), f"{name}_{k}") for k in range(parts)])
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
     """Arrow batches of at most ``rows`` rows for the actions inside: whole texts are large rows.

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, most_frequent, small_batches
+from .common import materialise, materialise_parts, most_frequent, remove, small_batches
 
 #: Slots (as powers of two) of the predictors: order 0 to 4 bytes of the word, and its whole beginning.
 SLOT_BITS = (8, 16, 18, 20, 20, 20)
@@ -39,6 +39,8 @@ PART_TEXTS = 1 << 16
 PART_BYTES, BIT_WORDS = 4_000_000, 4_000
 #: Tokens that share one bucket of word pairs, in the mean.
 BUCKET_TOKENS = 1 << 20
+#: Passes over the buckets, and over the parts of the texts, in which the counts of pairs travel.
+PASSES = 3
 #: Weight of a token's own probability against the counts of what followed the word before it.
 STRENGTH = 40.0
 #: Costs of tokens travel in this fraction of a bit.
@@ -470,7 +472,10 @@ def score_marked(docs: DataFrame, learnt: Column, asked: Column) -> DataFrame:
     found = stored.filter(F.col("row").isNotNull()).select(*schema_names[:8])
     blocks = stored.filter(F.col("bucket") >= 0).select("part", "bucket", "size", "asked", "data")
     states = stored.filter(F.col("bucket") < 0).select("part", "bucket", "size", "items", "data")
-    gains = _pair_gains(states, _pair_totals(blocks))
+    in_pass = lambda rows, column, k: rows.filter(F.pmod(F.xxhash64(column), F.lit(PASSES)) == k)
+    totals = materialise_parts(lambda k: _pair_totals(in_pass(blocks, "bucket", k)), PASSES, "pair_totals")
+    gains = materialise_parts(lambda k: _pair_gains(in_pass(states, "part", k), in_pass(totals, "part", k)), PASSES, "pair_gains")
+    remove(docs.sparkSession, totals)
     rare = found.select("row", F.inline("rare")).join(words, "word").groupBy("row")
     opened = F.col("times") * F.log2(F.col("n") / F.lit(STRENGTH) + 1)
     rare = rare.agg(F.sum("times").alias("rare_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rare_sums"), F.sum(opened).alias("rare_gates"))

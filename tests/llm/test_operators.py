@@ -455,6 +455,18 @@ def test_pairs_by_brute_force(spark, monkeypatch):
         assert math.isclose(got[i], -sum(map(math.log2, each)), abs_tol=0.02)
 
 
+def test_pair_counts_leave_no_shuffle_to_the_result(spark, docs, monkeypatch):
+    scores = {}
+    for passes in (1, 3):
+        monkeypatch.setattr(lm, "PASSES", passes)
+        found = lm.score(docs.repartition(5), docs)
+        # The counts of pairs are written, and their shuffle files gone, before the result is asked for.
+        assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+        scores[passes] = sorted((r["n_tokens"], r["score"]) for r in found.collect())
+    assert len(scores[1]) == len(scores[3]) == docs.count()
+    assert all(a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-3) for a, b in zip(scores[1], scores[3]))
+
+
 def test_texts_reach_lm_tasks_in_small_batches_and_parts(spark, docs, monkeypatch):
     import numpy as np
     import pyarrow as pa
